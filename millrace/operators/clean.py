@@ -12,6 +12,7 @@ from millrace.functions.cast import NULL_SENTINELS, as_number, as_time, nan_to_n
 from millrace.functions.names import numeric_columns, quoted, string_columns
 from millrace.operators.ordering import row_index, trailing
 from millrace.operators.quantiles import exact_quantiles
+from millrace.session import checkpoint
 
 # Name parts that mark a time column or a signal worth smoothing.
 TIME_HINTS = ("date", "time", "timestamp", "datetime", "day")
@@ -284,7 +285,8 @@ def clean(
         out = drop_empty_columns(out)
     out = null_sentinels(dedupe(out))
     log += ["drop empty rows", "drop duplicate rows", "null sentinels"]
-    out, casts = cast_texts(out)
+    # Everything below aggregates this table several times; written once, the dedupe is not repeated.
+    out, casts = cast_texts(checkpoint(out))
     log += casts
     numbers, texts = numeric_columns(out), string_columns(out)
     gaps = out.agg(F.lit(0), *[F.count_if(c(n).isNull()).alias(n) for n in numbers + texts]).first().asDict()
@@ -300,10 +302,12 @@ def clean(
     elif blanks:
         out = mode_impute(out, blanks)
     log += [f"text imputation {n}" for n in blanks]
+    signals = [n for n in numbers if any(h in n.lower() for h in SIGNAL_HINTS)]
+    if holes and ((bins and numbers) or (smoothing and signals)):
+        out = checkpoint(out)
     if bins and numbers:
         out = quantile_bins(out, numbers[:6])
         log += [f"binning {n}" for n in numbers[:6]]
-    signals = [n for n in numbers if any(h in n.lower() for h in SIGNAL_HINTS)]
     if smoothing and signals:
         out = smooth(out, signals, order_by, partition_by=partition_by)
         log += [f"smoothing {n}" for n in signals]

@@ -9,15 +9,24 @@ from pyspark.sql import types as T
 from millrace.functions.cast import as_number, as_time
 from millrace.functions.names import is_number, is_time, normalise, quoted, resolve
 
-PROFILE_SCHEMA = (
-    "column string, type string, rows bigint, non_null bigint, distinct bigint, zeros bigint, "
-    "constant boolean, binary boolean, parsed_times bigint"
-)
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(i, distinct): exact number of values per column position.
+
+    Columns are turned into (position, value) pairs, which shuffle once, combined on the map side. One
+    count(distinct) per column in a single aggregation would expand every row by all columns and is far slower.
+    """
+    values = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.col(quoted(f.name)).cast("string").alias("v"))
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    pairs = df.select(F.explode(values).alias("p")).select("p.*").where("v is not null").distinct()
+    return pairs.groupBy("i").agg(F.count("*").alias("distinct"))
 
 
 def column_profile(df: DataFrame, exact: bool = True, times: bool = True) -> DataFrame:
-    """One row per column. All figures come from a single aggregation over the table."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    """One row per column: an aggregation over the table, plus one for exact distinct counts."""
     aggs = [F.count("*").alias("rows")]
     for i, field in enumerate(df.schema.fields):
         c = F.col(quoted(field.name))
@@ -31,20 +40,22 @@ def column_profile(df: DataFrame, exact: bool = True, times: bool = True) -> Dat
             parsed = F.count(as_time(c, field.dataType))
         aggs += [
             F.count(c).alias(f"n{i}"),
-            distinct(c).alias(f"d{i}"),
             zeros.alias(f"z{i}"),
             F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True)).alias(f"c{i}"),
             (F.count_if(c.isNotNull() & outside) == 0).alias(f"b{i}"),
             parsed.alias(f"t{i}"),
         ]
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
     one = df.agg(*aggs)
     rows = [
         F.struct(
+            F.lit(i).alias("i"),
             F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("type"),
             F.col("rows"),
             F.col(f"n{i}").alias("non_null"),
-            F.col(f"d{i}").alias("distinct"),
+            (F.lit(0).cast("long") if exact else F.col(f"d{i}")).alias("rough"),
             F.col(f"z{i}").alias("zeros"),
             F.col(f"c{i}").alias("constant"),
             F.col(f"b{i}").alias("binary"),
@@ -52,7 +63,15 @@ def column_profile(df: DataFrame, exact: bool = True, times: bool = True) -> Dat
         )
         for i, f in enumerate(df.schema.fields)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    flat = one.select(F.inline(F.array(*rows)))
+    distinct = F.col("rough")
+    if exact:
+        # One row per column on both sides.
+        flat = flat.join(F.broadcast(distinct_counts(df)), "i", "left")
+        distinct = F.coalesce("distinct", F.lit(0).cast("long"))
+    return flat.select(
+        "column", "type", "rows", "non_null", distinct.alias("distinct"), "zeros", "constant", "binary", "parsed_times"
+    )
 
 
 def profile_rows(df: DataFrame, exact: bool = True, times: bool = True) -> dict[str, dict]:

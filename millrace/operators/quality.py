@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns, quoted, resolve, string_columns
 from millrace.operators.anomaly import anomaly_summary
+from millrace.operators.baskets import association_of_highs
 from millrace.operators.density import dbscan_summary
 from millrace.operators.ordering import row_index, trailing
 from millrace.operators.profile import profile_rows, time_name
@@ -273,71 +274,148 @@ def high_cardinality(profile: dict) -> list[str]:
     return [n for n, p in profile.items() if p["distinct"] > max(50, p["rows"] // 2)]
 
 
+class _Report:
+    """The checks of one table. What several checks need is computed once, on first use."""
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], max_rows: int):
+        self.df, self.order_by, self.partition_by, self.max_rows = df, list(order_by), list(partition_by), max_rows
+        self.numbers = numeric_columns(df)
+
+    @cached_property
+    def profile(self) -> dict:
+        return profile_rows(self.df, times=False)
+
+    @cached_property
+    def rows(self) -> int:
+        return next((p["rows"] for p in self.profile.values()), 0)
+
+    @cached_property
+    def complete(self) -> int:
+        return self.df.na.drop(subset=self.numbers).count() if self.numbers else 0
+
+    @cached_property
+    def outliers(self) -> list:
+        return outlier_counts(self.df, self.numbers).collect() if self.numbers else []
+
+    def _short(self, check: str, need: int):
+        if len(self.numbers) >= 2 and self.complete >= need:
+            return None
+        return _row(check, "INFO", f"needs two numeric columns and {need} complete rows")
+
+    def missing(self):
+        cells = max(1, self.rows * len(self.df.columns))
+        share = sum(p["rows"] - p["non_null"] for p in self.profile.values()) / cells
+        return _row("missing", "FAIL" if share > 0.2 else "WARN" if share > 0.05 else "PASS", f"{share:.2%} missing", share=share)
+
+    def constant(self):
+        names = [n for n, p in self.profile.items() if p["constant"]]
+        return _row("constant", "FAIL" if names else "PASS", ", ".join(names) or "none", columns=len(names))
+
+    def zeros(self):
+        share = sum(self.profile[n]["zeros"] for n in self.numbers) / max(1, self.rows * len(self.numbers))
+        return _row("zeros", "WARN" if share > 0.3 else "PASS", f"{share:.1%} zeros", share=share)
+
+    def duplicates(self):
+        n = duplicate_rows(self.df).first()["duplicate_rows"]
+        return _row("duplicates", "WARN" if n else "PASS", f"{n} duplicate rows", rows=n)
+
+    def z_score(self):
+        n = sum(o["z_hits"] for o in self.outliers)
+        return _row("z_score", "WARN" if n else "PASS", f"{n} hits", rows=n)
+
+    def iqr(self):
+        n = sum(o["iqr_hits"] for o in self.outliers)
+        return _row("iqr", "WARN" if n else "PASS", f"{n} hits", rows=n)
+
+    def isolation_forest(self):
+        short = self._short("isolation_forest", 15)
+        if short:
+            return short
+        n = anomaly_summary(self.df, self.numbers).first()["anomalies"]
+        return _row("isolation_forest", "WARN" if n else "PASS", f"{n} anomalies", rows=n)
+
+    def dbscan_noise(self):
+        short = self._short("dbscan_noise", 20)
+        if short:
+            return short
+        used = self.numbers[:3]
+        found = dbscan_summary(self.df, used).first()
+        n = found["noise_points"]
+        return _row("dbscan_noise", "WARN" if n else "PASS", f"{n} noise points over {', '.join(used)}", rows=n, clusters=found["clusters"])
+
+    def kmeans_distance(self):
+        short = self._short("kmeans_distance", 20)
+        if short:
+            return short
+        n = far_from_centre(self.df, self.numbers).first()["far_from_cluster"]
+        return _row("kmeans_distance", "WARN" if n else "PASS", f"{n} far from their cluster", rows=n)
+
+    def impossible_jump(self):
+        jumps = [j for j in impossible_jumps(self.df, self.order_by, self.partition_by).collect() if j["jumps"]]
+        n = sum(j["jumps"] for j in jumps)
+        return _row("impossible_jump", "FAIL" if n else "PASS", ", ".join(f"{j['column']}:{j['jumps']}" for j in jumps) or "none", rows=n)
+
+    def sensor_correlation(self):
+        dead = [r["pair"] for r in sensor_correlations(self.df).collect() if r["dead"]]
+        return _row("sensor_correlation", "WARN" if dead else "PASS", ", ".join(dead) or "none", pairs=len(dead))
+
+    def expectations(self):
+        found = expectations(self.df, self.order_by, self.partition_by, self.max_rows).collect()
+        passed = sum(e["success"] for e in found)
+        return _row("expectations", "PASS" if passed == len(found) else "WARN", f"{passed}/{len(found)} passed", passed=passed, total=len(found))
+
+    def cardinality(self):
+        wide = high_cardinality(self.profile)
+        return _row("cardinality", "WARN" if wide else "PASS", ", ".join(wide) or "none", columns=len(wide))
+
+    def dirty_labels(self):
+        flags = [r for r in dirty_labels(self.df).collect() if r["rows"]]
+        n = sum(r["rows"] for r in flags)
+        return _row("dirty_labels", "WARN" if flags else "PASS", "; ".join(f"{r['rows']} rows: {r['flag']}" for r in flags) or "none", rows=n)
+
+    def pca_drift(self):
+        short = self._short("pca_drift", 30)
+        if short:
+            return short
+        found = pca_drift(self.df, self.order_by, self.numbers).first()
+        return _row("pca_drift", "WARN" if found["concept_drift"] else "PASS", f"drift {found['drift']:.3f}", drift=found["drift"])
+
+    def physics_rules(self):
+        broken = [r for r in physics_rules(self.df, self.order_by, self.partition_by).collect() if r["violated"]]
+        return _row("physics_rules", "FAIL" if broken else "PASS", "; ".join(f"{r['rule']}: {r['rows']} rows" for r in broken) or "none", rules=len(broken))
+
+    def association(self):
+        texts = [n for n in string_columns(self.df) if self.profile[n]["distinct"] <= 12][:4]
+        n = association_of_highs(self.df, texts, self.numbers[:6]).where("suspicious").count()
+        return _row("association", "WARN" if n else "PASS", f"{n} suspicious rules", rows=n)
+
+    def rowcount(self):
+        width = len(self.df.columns)
+        return _row("rowcount", "PASS" if self.rows else "FAIL", f"{self.rows} rows x {width} columns", rows=self.rows, columns=width)
+
+    def timestamp(self):
+        when = time_name(self.df.columns)
+        return _row("timestamp", "PASS" if when else "WARN", when or "missing")
+
+
+CHECKS = (
+    "missing", "constant", "zeros", "duplicates", "z_score", "iqr", "isolation_forest", "dbscan_noise",
+    "kmeans_distance", "impossible_jump", "sensor_correlation", "expectations", "cardinality", "dirty_labels",
+    "pca_drift", "physics_rules", "association", "rowcount", "timestamp",
+)
+
+
 def quality_report(
-    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), max_rows: int = 5_000_000
+    df: DataFrame,
+    order_by: Sequence[str],
+    partition_by: Sequence[str] = (),
+    max_rows: int = 5_000_000,
+    checks: Sequence[str] = CHECKS,
 ) -> DataFrame:
-    """All nineteen checks as (check, status, detail, metrics)."""
-    from millrace.operators.baskets import association_of_highs
-
-    profile = profile_rows(df, times=False)
-    numbers = numeric_columns(df)
-    rows = next(iter(profile.values()))["rows"] if profile else 0
-    cells = max(1, rows * len(df.columns))
-    missing = sum(p["rows"] - p["non_null"] for p in profile.values()) / cells
-    constant = [n for n, p in profile.items() if p["constant"]]
-    zeros = sum(profile[n]["zeros"] for n in numbers) / max(1, rows * len(numbers))
-    copies = duplicate_rows(df).first()["duplicate_rows"]
-    outliers = outlier_counts(df, numbers).collect() if numbers else []
-    z_hits, iqr_hits = sum(o["z_hits"] for o in outliers), sum(o["iqr_hits"] for o in outliers)
-    out = [
-        _row("missing", "FAIL" if missing > 0.2 else "WARN" if missing > 0.05 else "PASS", f"{missing:.2%} missing", share=missing),
-        _row("constant", "FAIL" if constant else "PASS", ", ".join(constant) or "none", columns=len(constant)),
-        _row("zeros", "WARN" if zeros > 0.3 else "PASS", f"{zeros:.1%} zeros", share=zeros),
-        _row("duplicates", "WARN" if copies else "PASS", f"{copies} duplicate rows", rows=copies),
-        _row("z_score", "WARN" if z_hits else "PASS", f"{z_hits} hits", rows=z_hits),
-        _row("iqr", "WARN" if iqr_hits else "PASS", f"{iqr_hits} hits", rows=iqr_hits),
-    ]
-    complete = df.na.drop(subset=numbers).count() if numbers else 0
-    enough = len(numbers) >= 2
-    if enough and complete >= 15:
-        found = anomaly_summary(df, numbers).first()
-        out.append(_row("isolation_forest", "WARN" if found["anomalies"] else "PASS", f"{found['anomalies']} anomalies", rows=found["anomalies"]))
-    else:
-        out.append(_row("isolation_forest", "INFO", "needs two numeric columns and 15 complete rows"))
-    if enough and complete >= 20:
-        noise = dbscan_summary(df, numbers[:3], key=list(order_by)).first()
-        out.append(_row("dbscan_noise", "WARN" if noise["noise_points"] else "PASS", f"{noise['noise_points']} noise points over {numbers[:3]}", rows=noise["noise_points"], clusters=noise["clusters"]))
-        far = far_from_centre(df, numbers).first()["far_from_cluster"]
-        out.append(_row("kmeans_distance", "WARN" if far else "PASS", f"{far} far from their cluster", rows=far))
-    else:
-        out += [_row(n, "INFO", "needs two numeric columns and 20 complete rows") for n in ("dbscan_noise", "kmeans_distance")]
-    jumps = [j for j in impossible_jumps(df, order_by, partition_by).collect() if j["jumps"]]
-    count = sum(j["jumps"] for j in jumps)
-    out.append(_row("impossible_jump", "FAIL" if count else "PASS", ", ".join(f"{j['column']}:{j['jumps']}" for j in jumps) or "none", rows=count))
-    dead = [r["pair"] for r in sensor_correlations(df).collect() if r["dead"]]
-    out.append(_row("sensor_correlation", "WARN" if dead else "PASS", ", ".join(dead) or "none", pairs=len(dead)))
-    expected = expectations(df, order_by, partition_by, max_rows).collect()
-    passed = sum(e["success"] for e in expected)
-    out.append(_row("expectations", "PASS" if passed == len(expected) else "WARN", f"{passed}/{len(expected)} passed", passed=passed, total=len(expected)))
-    wide = high_cardinality(profile)
-    out.append(_row("cardinality", "WARN" if wide else "PASS", ", ".join(wide) or "none", columns=len(wide)))
-    flags = [r for r in dirty_labels(df).collect() if r["rows"]]
-    out.append(_row("dirty_labels", "WARN" if flags else "PASS", "; ".join(f"{r['rows']} rows: {r['flag']}" for r in flags) or "none", rows=sum(r["rows"] for r in flags)))
-    if enough and complete >= 30:
-        drift = pca_drift(df, order_by, numbers).first()
-        out.append(_row("pca_drift", "WARN" if drift["concept_drift"] else "PASS", f"drift {drift['drift']:.3f}", drift=drift["drift"]))
-    else:
-        out.append(_row("pca_drift", "INFO", "needs two numeric columns and 30 complete rows"))
-    broken = [r for r in physics_rules(df, order_by, partition_by).collect() if r["violated"]]
-    out.append(_row("physics_rules", "FAIL" if broken else "PASS", "; ".join(f"{r['rule']}: {r['rows']} rows" for r in broken) or "none", rules=len(broken)))
-    texts = [n for n in string_columns(df) if profile[n]["distinct"] <= 12][:4]
-    highs = association_of_highs(df, texts, numbers[:6])
-    odd = highs.where(F.col("suspicious")).count()
-    out.append(_row("association", "WARN" if odd else "PASS", f"{odd} suspicious rules", rules=odd))
-    out.append(_row("rowcount", "PASS" if rows else "FAIL", f"{rows} rows x {len(df.columns)} columns", rows=rows, columns=len(df.columns)))
-    when = time_name(df.columns)
-    out.append(_row("timestamp", "PASS" if when else "WARN", when or "missing"))
-    return df.sparkSession.createDataFrame(out, CHECK_SCHEMA)
+    """The checks as (check, status, detail, metrics) rows, in the order of ``CHECKS``."""
+    report = _Report(df, order_by, partition_by, max_rows)
+    rows = [getattr(report, name)() for name in CHECKS if name in checks]
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"place int, {CHECK_SCHEMA}")
 
 
 def _row(check: str, status: str, detail: str, **metrics: float):
@@ -346,9 +424,5 @@ def _row(check: str, status: str, detail: str, **metrics: float):
 
 def fail_lines(report: DataFrame, limit: int = 2) -> DataFrame:
     """The first failed or warned checks as sentences."""
-    bad = report.where(F.upper("status").isin("FAIL", "WARN"))
-    return bad.limit(limit).select(F.concat(F.lit("Quality "), "check", F.lit(": "), "detail").alias("line"))
-
-
-def report_json(report: DataFrame) -> str:
-    return json.dumps([r.asDict() for r in report.collect()])
+    bad = report.where(F.upper("status").isin("FAIL", "WARN")).orderBy("place").limit(limit)
+    return bad.select(F.concat(F.lit("Quality "), "check", F.lit(": "), "detail").alias("line"))

@@ -144,21 +144,15 @@ def with_derived(sql: str, using: tuple[str, ...]) -> str:
     return f"WITH {ctes}{joiner}"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
     """Round doubles and widen small types, so that two engines give equal values."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             # Adding 0.0 turns a negative zero into zero.
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double"), (special or {}).get(field.name, digits)) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
     return df.select(*out)
-
-
-def spread_sql(source: str, pairs: dict[str, str], name: str, value: str = "value") -> str:
-    """(name, value) rows from one aggregated row: the check's form of a KPI table."""
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS {name}, CAST({e} AS DOUBLE) AS {value} FROM {source}" for k, e in pairs.items())
-    return f"SELECT {name}, ROUND({value}, 6) + 0.0 AS {value} FROM ({rows})"
