@@ -157,9 +157,7 @@ def frequent_itemsets(source: DataFrame, min_support: float = 0.15, max_k: int =
 def rules_from_itemsets(itemsets: DataFrame, min_confidence: float = 0.5, limit: int | None = 40) -> DataFrame:
     """Every antecedent => consequent split of every frequent set, strongest lift first."""
     parts = itemsets.where("size >= 2").select("items", "support", "size", F.explode(_splits()).alias("mask"))
-    side = lambda bit: F.filter(
-        F.col("items"), lambda x, i: F.shiftright(F.col("mask"), i.cast("int")).bitwiseAND(1) == bit
-    )
+    side = lambda bit: F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1) = {bit})")
     split = parts.select("support", side(1).alias("ant"), side(0).alias("con"))
     known = itemsets.select("items", F.col("support").alias("part_support"))
     left = known.select(F.col("items").alias("ant"), F.col("part_support").alias("ant_support"))

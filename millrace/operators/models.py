@@ -89,6 +89,13 @@ CLASS_TARGETS = ["failure", "fault", "churn", "default", "readmission", "attriti
 VALUE_TARGETS = ["rul", "remaining_useful_life", "revenue", "sales", "amount", "gmv", "temperature", "load", "score"]
 
 FOURIER = 128
+ROWS_PER_PARTITION = 20_000
+
+# Ranges of the random search as (low, high).
+SEARCH_RANGES = {
+    "forest_trees": (50, 300), "forest_depth": (2, 20), "forest_split": (2, 12),
+    "boost_rounds": (50, 250), "boost_depth": (2, 8), "boost_rate": (0.01, 0.3),
+}
 
 
 def pick_target(df: DataFrame, task: str, profile: dict | None = None) -> str | None:
@@ -187,6 +194,10 @@ def prepare(df: DataFrame, target: str, task: str, key: str, features: Sequence[
     rows = data.count()
     if rows < 12:
         raise ValueError(f"need at least 12 rows, have {rows}")
+    # Boosted trees run a job per tree level; a small table in many partitions would only wait for tasks.
+    wanted = math.ceil(rows / ROWS_PER_PARTITION)
+    if wanted < df.sparkSession.sparkContext.defaultParallelism:
+        data = data.coalesce(wanted)
     return Prepared(data, features, task, labels, rows)
 
 
@@ -412,9 +423,13 @@ def bake_off(df: DataFrame, domain: str, key: str, models: Sequence[str] | None
 
 
 def search(
-    df: DataFrame, target: str, key: str, trials: int = 50, folds: int = 5, by_time: bool = True, balanced: bool = True
+    df: DataFrame, target: str, key: str, trials: int = 50, folds: int = 5, by_time: bool = True, balanced: bool = True,
+    ranges: dict[str, tuple] | None = None,
 ) -> dict:
-    """Random search over forests and boosted trees, scored by cross-validation, then holdout metrics."""
+    """Random search over forests and boosted trees, scored by cross-validation, then holdout metrics.
+
+    ``ranges`` narrows ``SEARCH_RANGES``, for instance to fewer boosting rounds on very large tables.
+    """
     task = target_task(df, target, 0.8)
     ready = prepare(df, target, task, key)
     data = ready.data.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(42)), F.lit(folds)).cast("int"))
@@ -429,7 +444,7 @@ def search(
             if task == "classification" else RegressionEvaluator(labelCol="label", metricName="rmse")
         )
         best = None
-        for family, grid in _trials(task, len(ready.labels), trials).items():
+        for family, grid in _trials(task, len(ready.labels), trials, {**SEARCH_RANGES, **(ranges or {})}).items():
             cv = CrossValidator(
                 estimator=family, estimatorParamMaps=grid, evaluator=metric, numFolds=folds, foldCol="fold", parallelism=2
             )
@@ -449,7 +464,7 @@ def search(
     }
 
 
-def _trials(task: str, classes: int, trials: int) -> dict[HasFeaturesCol, list[dict]]:
+def _trials(task: str, classes: int, trials: int, ranges: dict[str, tuple]) -> dict[HasFeaturesCol, list[dict]]:
     """Seeded random settings per model family, within the searched ranges."""
     rng = random.Random(42)
     if task == "regression":
@@ -465,17 +480,17 @@ def _trials(task: str, classes: int, trials: int) -> dict[HasFeaturesCol, list[d
         if boosted is None or i % 2 == 0:
             grid = (
                 ParamGridBuilder()
-                .addGrid(forest.numTrees, [rng.randint(50, 300)])
-                .addGrid(forest.maxDepth, [rng.randint(2, 20)])
-                .addGrid(forest.minInstancesPerNode, [max(1, rng.randint(2, 12) // 2)])
+                .addGrid(forest.numTrees, [rng.randint(*ranges["forest_trees"])])
+                .addGrid(forest.maxDepth, [rng.randint(*ranges["forest_depth"])])
+                .addGrid(forest.minInstancesPerNode, [max(1, rng.randint(*ranges["forest_split"]) // 2)])
             )
             grids[forest] += grid.build()
         else:
             grid = (
                 ParamGridBuilder()
-                .addGrid(boosted.maxIter, [rng.randint(50, 250)])
-                .addGrid(boosted.maxDepth, [rng.randint(2, 8)])
-                .addGrid(boosted.stepSize, [math.exp(rng.uniform(math.log(0.01), math.log(0.3)))])
+                .addGrid(boosted.maxIter, [rng.randint(*ranges["boost_rounds"])])
+                .addGrid(boosted.maxDepth, [rng.randint(*ranges["boost_depth"])])
+                .addGrid(boosted.stepSize, [math.exp(rng.uniform(*(math.log(v) for v in ranges["boost_rate"])))])
             )
             grids[boosted] += grid.build()
     return {family: grid for family, grid in grids.items() if grid}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator relies on. ANSI stays on, so casts use the try_ family.
 SETTINGS = {
@@ -33,21 +34,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a temporary one only in local mode."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    else:
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
-def checkpoint(df):
-    """Cut lineage through the shared checkpoint folder, so that lost executors cost no rework."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the table to the checkpoint folder and read it back.
+
+    Unlike a checkpointed RDD the written table has a known size, so Spark may still broadcast it when it is
+    small, and reads only the columns asked for.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
