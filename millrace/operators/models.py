@@ -30,7 +30,7 @@ from millrace.functions.cast import number
 from millrace.functions.names import is_number, is_time, numeric_columns, quoted, resolve
 from millrace.operators.neighbours import knn_classify
 from millrace.operators.ordering import row_index
-from millrace.operators.profile import profile_rows
+from millrace.operators.profile import bounded_profile
 
 # Model name -> task.
 TASKS = {
@@ -104,7 +104,7 @@ def pick_target(df: DataFrame, task: str, profile: dict | None = None) -> str |
         if found:
             return found
     if task == "classification":
-        profile = profile or profile_rows(df, times=False)
+        profile = profile or bounded_profile(df, 40)
         few = [n for n in df.columns if 2 <= profile[n]["distinct"] <= 8 and not n.lower().endswith("_id")]
         return few[0] if few else None
     numbers = numeric_columns(df)
@@ -160,7 +160,7 @@ def prepare(df: DataFrame, target: str, task: str, key: str, features: Sequence[
 
     ``key`` is a unique column; folds follow its hash, so they survive recomputation.
     """
-    profile = profile_rows(df, times=False)
+    profile = bounded_profile(df, 40)
     features = list(features or [f for f in pick_features(df, target, profile) if f != key])
     if not features:
         raise ValueError("no usable feature columns")
@@ -363,7 +363,7 @@ def _neighbours(train: DataFrame, test: DataFrame, width: int) -> DataFrame:
 
 def run_ols(df: DataFrame, target: str, key: str, features: Sequence[str] | None = None) -> dict:
     """Least squares on up to eight features: first 80 % fitted, rest held out, with p-values, AIC and BIC."""
-    profile = profile_rows(df, times=False)
+    profile = bounded_profile(df, 40)
     features = list(features or [f for f in pick_features(df, target, profile) if f != key and is_number(df.schema[f].dataType)])[:8]
     data = df.select(
         F.col(quoted(key)).alias("key"), number(df, target).alias("label"),

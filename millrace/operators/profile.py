@@ -79,6 +79,21 @@ def profile_rows(df: DataFrame, exact: bool = True, times: bool = True) -> dict[
     return {r["column"]: r.asDict() for r in column_profile(df, exact, times).collect()}
 
 
+def bounded_profile(df: DataFrame, limit: int = 80, times: bool = False) -> dict[str, dict]:
+    """The profile for decisions of the kind "at most ``limit`` values".
+
+    All columns are sketched; only those that may be within the limit are counted exactly, so columns with many
+    values are never shuffled.
+    """
+    profile = profile_rows(df, exact=False, times=times)
+    near = [n for n, p in profile.items() if p["distinct"] <= 2 * limit + 20]
+    if near:
+        exact = {r["i"]: r["distinct"] for r in distinct_counts(df.select(*[F.col(quoted(n)) for n in near])).collect()}
+        for i, n in enumerate(near):
+            profile[n]["distinct"] = exact.get(i, 0)
+    return profile
+
+
 def kind_of(field: T.StructField, stats: dict) -> str:
     """date, number, text, id_like or boolean. The storage type decides before any content test."""
     name, dtype = normalise(field.name), field.dataType

@@ -32,9 +32,9 @@ class _Target:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], small: int = SMALL
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], small: int = SMALL, min_values: int = 1
 ) -> dict[str, list[float | None]]:
-    """``{name: [quantile, ...]}`` for double-typed columns; NULLs are ignored."""
+    """``{name: [quantile, ...]}`` of the known values; None below ``min_values`` of them."""
     if not columns:
         return {}
     data = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
@@ -46,7 +46,7 @@ def exact_quantiles(
         ]
     ).first()
     result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    filled = [n for n in names if stats[n]["n"]]
+    filled = [n for n in names if stats[n]["n"] >= max(1, min_values)]
     direct = [n for n in filled if stats[n]["n"] <= small]
     if direct:
         row = data.agg(*[F.percentile(_q(n), F.array(*[F.lit(float(p)) for p in probs])).alias(n) for n in direct]).first()

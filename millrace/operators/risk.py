@@ -16,6 +16,7 @@ from millrace.operators.anomaly import anomaly_summary
 from millrace.operators.features import add_features
 from millrace.operators.models import balanced_weights
 from millrace.operators.windows import last_rows, latest
+from millrace.session import checkpoint
 
 BASE_RISK = 15.0
 LABELS = ("failure", "fault", "alarm", "label", "churn", "default", "readmission")
@@ -78,7 +79,8 @@ def risk_score(df: DataFrame, domain: str, order_by: Sequence[str], entity: str
     Half of the score is the anomaly rate; with a label of two to five values 60 % of the result is the mean
     forest probability of the last 24 rows. The result stays within 0.5 and 99.5.
     """
-    work = add_features(df, domain, order_by)
+    # Scored, sampled and trained on several times below; the windows behind it run once.
+    work = checkpoint(add_features(df, domain, order_by))
     rules = rule_risk(work, domain, order_by, entity)
     label = resolve(work.columns, *LABELS)
     names = [n for n in numeric_columns(work) if n != label][:12]

@@ -121,11 +121,11 @@ def board_heatmap(t):
 
 @query(
     "board_heatmap_months",
-    """SELECT STRFTIME(order_date, '%Y-%m') AS row, channel AS col, ROUND(AVG(revenue), 6) AS value FROM order_sales GROUP BY 1, 2""",
+    """SELECT STRFTIME(order_date, '%Y-%m') AS row, channel AS col, ROUND(AVG(revenue), 7) AS value FROM order_sales GROUP BY 1, 2""",
     using=("order_sales",),
 )
 def board_heatmap_months(t):
-    return rounded(Board(t.order_sales, ["order_id"], "generic").heatmap())
+    return rounded(Board(t.order_sales, ["order_id"], "generic").heatmap(), 7)
 
 
 _CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

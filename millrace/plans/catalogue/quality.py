@@ -7,7 +7,7 @@ from millrace.operators.anomaly import anomaly_summary, score_rows
 from millrace.operators.baskets import association_of_highs
 from millrace.operators.density import dbscan_points, dbscan_summary
 from millrace.operators.neighbours import knn_outliers
-from millrace.operators.profile import categories, column_kinds, profile_rows
+from millrace.operators.profile import bounded_profile, categories, column_kinds
 from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.catalogue.base import query, rounded
 
@@ -211,7 +211,7 @@ def category_columns(t):
     rows = []
     for name in ("customer", "part", "orders", "events", "lineitem"):
         df = getattr(t, name)
-        rows += [(name, c) for c in categories(df, profile_rows(df, times=False))]
+        rows += [(name, c) for c in categories(df, bounded_profile(df, 80))]
     return t.spark.createDataFrame(rows, "table_name string, column_name string")
 
 
