@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -187,13 +188,20 @@ def bin_number(column: Column, edges: Sequence[float]) -> Column:
     return F.when(column.isNotNull(), number.cast("int"))
 
 
-def _label(x: float) -> str:
-    return f"{round(x, 3):.3f}".rstrip("0").rstrip(".") if "." in f"{round(x, 3):.3f}" else f"{x}"
+def _shorten(x: float, digits: int) -> float:
+    """Three decimals, or as many significant digits below one."""
+    if x != 0 and abs(x) < 1:
+        digits += -math.floor(math.log10(abs(x))) - 1
+    return round(x, digits)
 
 
 def bin_labels(edges: Sequence[float]) -> list[str]:
-    shown = [edges[0] - 0.001] + list(edges[1:]) if edges else []
-    return [f"({_label(a)}, {_label(b)}]" for a, b in zip(shown, shown[1:])]
+    """Interval texts; digits are added until the shortened edges differ, and the first edge opens a little below."""
+    digits = next((d for d in range(3, 20) if len({_shorten(e, d) for e in edges}) == len(edges)), 3)
+    shown = [_shorten(e, digits) for e in edges]
+    if shown:
+        shown[0] = _shorten(shown[0] - 10.0**-digits, digits)
+    return [f"({a}, {b}]" for a, b in zip(shown, shown[1:])]
 
 
 def quantile_bins(

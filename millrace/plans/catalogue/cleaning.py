@@ -140,7 +140,7 @@ def bins_quantile(t):
 @query(
     "bins_repeated_edges",
     """WITH e AS (SELECT QUANTILE_CONT(failure, 0) AS lo, QUANTILE_CONT(failure, 1) AS hi FROM readings)
-       SELECT event_id, CASE WHEN lo < hi THEN '(-0.001, 1]' END AS failure_bin FROM readings, e""",
+       SELECT event_id, CASE WHEN lo < hi THEN '(-0.001, 1.0]' END AS failure_bin FROM readings, e""",
     using=("readings",),
 )
 def bins_repeated_edges(t):
