@@ -98,7 +98,7 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, size:
     depth = math.ceil(math.log2(size))
     names = [f"x{i}" for i in range(len(columns))]
 
-    def grow(key, group: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         nodes = _grow(group[names].to_numpy(float), depth, seed + int(key[0]))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "path"])
         out.insert(0, "tree", int(key[0]))

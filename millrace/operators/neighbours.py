@@ -113,7 +113,7 @@ def knn(
     sent = sent.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), block_count).cast("int"))
     stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1)))
 
-    def match(group_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def match(group_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
         right = right.sort_values("key")
