@@ -14,8 +14,16 @@ NULL_SENTINELS = ["", "NA", "N/A", "null", "NULL", "None", "-", "--"]
 # A plain cast would also accept Java suffixes such as 1d or 2f.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Formats tried after the ISO form.
-TIME_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy", "dd-MMM-yyyy", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss"]
+# Shape of a text -> format it is parsed with; None is the ISO form. Parsing is tried only on a text of the right
+# shape, because every failed attempt costs an exception.
+TIME_SHAPES = {
+    r"^\d{4}-\d{1,2}(-\d{1,2}([ T].*)?)?$": None,
+    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
+    r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
+    r"^\d{2}-[A-Za-z]{3}-\d{4}$": "dd-MMM-yyyy",
+    r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$": "MM/dd/yyyy HH:mm:ss",
+    r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$": "yyyy/MM/dd HH:mm:ss",
+}
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:
@@ -39,8 +47,11 @@ def as_time(column: Column, dtype: T.DataType) -> Column:
         return column.cast("timestamp")
     if isinstance(dtype, T.StringType):
         text = F.trim(column)
-        tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]
-        return F.coalesce(*tries)
+        found = F.lit(None).cast("timestamp")
+        for shape, layout in reversed(TIME_SHAPES.items()):
+            parsed = F.try_to_timestamp(text, F.lit(layout)) if layout else F.try_to_timestamp(text)
+            found = F.when(text.rlike(shape), parsed).otherwise(found)
+        return found
     return F.lit(None).cast("timestamp")
 
 
