@@ -12,6 +12,7 @@ import datetime as dt
 import json
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -45,12 +46,10 @@ def bucket_count(rows: int, rows_per_bucket: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)))
 
 
-def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> tuple[list, T.DataType]:
-    """At most buckets-1 sort keys, evenly spaced in a bounded sample of all keys."""
+def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> tuple[list, list, T.DataType]:
+    """At most buckets-1 sort keys, evenly spaced in a bounded sample, and the last sampled key of every bucket."""
     keys = df.select(key.alias("key"))
     dtype = keys.schema["key"].dataType
-    if buckets <= 1:
-        return [], dtype
     fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / max(rows, 1))
     drawn = keys.sample(False, fraction, seed=42) if fraction < 1.0 else keys
     sample = [r["key"] for r in drawn.sort("key").collect()]
@@ -59,7 +58,13 @@ def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> tuple[li
     for pick in picks:
         if not cuts or pick != cuts[-1]:
             cuts.append(pick)
-    return cuts, dtype
+    ends: list = [None] * (len(cuts) + 1)
+    at = 0
+    for value in sample:
+        if at < len(cuts) and value == cuts[at]:
+            at += 1
+        ends[at] = value
+    return cuts, ends, dtype
 
 
 def _plain(value):
@@ -91,26 +96,41 @@ def _bucket(key: Column, cuts: Sequence, dtype: T.DataType) -> Column:
     return (block - 1) * step + _passed(F.element_at(table, block), key)
 
 
-def bucketed(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int | None = None) -> tuple[DataFrame, list[int]]:
-    """Add ``_bucket`` (ascending along the sort key) and return the row count of every bucket."""
+@dataclass
+class Buckets:
+    """A table with its ``_bucket`` column, ascending along the sort key."""
+
+    table: DataFrame
+    sizes: list[int]
+    # True for the rows among which the last rows of every bucket are sure to be; None when that is not known.
+    near_end: Column | None = None
+
+
+def bucketed(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int | None = None, back: int = 0) -> Buckets:
     rows = df.count()
     buckets = bucket_count(rows, rows_per_bucket or ROWS_PER_BUCKET)
     if buckets == 1:
-        return df.withColumn("_bucket", F.lit(0)), [rows]
+        return Buckets(df.withColumn("_bucket", F.lit(0)), [rows])
     key = _sort_key(df, order_by)
-    cuts, dtype = _cut_points(df, key, rows, buckets)
+    cuts, ends, dtype = _cut_points(df, key, rows, buckets)
     out = df.withColumn("_bucket", _bucket(key, cuts, dtype))
-    sizes = {r["_bucket"]: r["n"] for r in out.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-    return out, [sizes.get(b, 0) for b in range(len(cuts) + 1)]
+    near_end = F.lit(True)
+    if back and all(e is not None for e in ends):
+        near_end = key >= F.element_at(_literal_array(ends, dtype), F.col("_bucket") + 1)
+    counted = out.groupBy("_bucket").agg(F.count("*").alias("n"), F.count_if(near_end).alias("late")).collect()
+    sizes = {r["_bucket"]: r["n"] for r in counted}
+    enough = all(r["late"] >= min(back, r["n"]) for r in counted)
+    return Buckets(out, [sizes.get(b, 0) for b in range(len(cuts) + 1)], near_end if enough else None)
 
 
 def row_index(
     df: DataFrame, order_by: Sequence[str], name: str = "row_index", rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Dense 0-based position of every row along ``order_by`` (which should end in a unique column)."""
-    out, sizes = bucketed(df, order_by, rows_per_bucket)
+    cut = bucketed(df, order_by, rows_per_bucket)
+    out = cut.table
     starts, total = [], 0
-    for size in sizes:
+    for size in cut.sizes:
         starts.append(total)
         total += size
     window = Window.partitionBy("_bucket").orderBy(*[F.col(quoted(c)).asc_nulls_first() for c in order_by])
@@ -157,14 +177,17 @@ def trailing(
             return apply(df, Window.partitionBy(*[quoted(c) for c in partition_by]).orderBy(*ordering))
 
     full_order = partition_by + order_by
-    cut, sizes = bucketed(df, full_order, limit)
+    buckets = bucketed(df, full_order, limit, back)
+    cut, sizes = buckets.table, buckets.sizes
     groups = ["_bucket"] + [quoted(c) for c in partition_by]
     window = Window.partitionBy(*groups).orderBy(*ordering)
     pairs = _lenders(sizes, back)
     if not pairs:
         return apply(cut, window).drop("_bucket")
     newest = Window.partitionBy("_bucket").orderBy(*[F.col(quoted(c)).desc_nulls_last() for c in full_order])
-    tails = cut.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back).drop("_rank")
+    # Few rows are ranked: those past the last sampled key of their bucket, if these are proven to be enough.
+    late = cut if buckets.near_end is None else cut.where(buckets.near_end)
+    tails = late.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back).drop("_rank")
     targets = [[t for s, t in pairs if s == b] for b in range(len(sizes))]
     lending = F.from_json(F.lit(json.dumps(targets)), "array<array<int>>")
     halo = tails.withColumn("_bucket", F.explode(F.element_at(lending, F.col("_bucket") + 1)))

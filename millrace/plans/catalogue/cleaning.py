@@ -273,7 +273,8 @@ def diff_std_global(t):
        QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
 )
 def latest_per_entity(t):
-    return win.latest(t.events, ["ts", "event_id"], ["user_id"]).select("user_id", "event_id", "event_type", "value")
+    narrow = t.events.select("user_id", "event_id", "event_type", "value", "ts")
+    return win.latest(narrow, ["ts", "event_id"], ["user_id"]).drop("ts")
 
 
 @query("latest_row", "SELECT event_id, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
