@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns
 from millrace.operators.quantiles import exact_quantiles
+from millrace.session import checkpoint
 
 TREES = 100
 SAMPLE = 256
@@ -122,23 +123,27 @@ def anomaly_score(forest: Forest, columns: Sequence[Column]) -> Column:
     return score(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(columns)]))
 
 
+def _scored(df: DataFrame, columns: Sequence[str], contamination: float, seed: int):
+    """The table with scores, the scores alone as a written table, and the score above which a row is anomalous."""
+    forest = fit_forest(df, columns, seed=seed)
+    scored = df.withColumn("anomaly_score", anomaly_score(forest, [number(df, n) for n in columns]))
+    # The cut takes several passes; they read eight bytes per row instead of scoring again.
+    scores = checkpoint(scored.select("anomaly_score"))
+    cut = exact_quantiles(scores, {"s": F.col("anomaly_score")}, [1.0 - contamination])["s"][0]
+    return scored, scores, F.lit(cut).cast("double")
+
+
 def score_rows(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = 0.08, seed: int = 42):
     """Every row with ``anomaly_score`` and ``anomaly`` (incomplete rows get neither).
 
     Rows above the (1 - contamination) quantile of the scores are anomalies.
     """
-    columns = list(columns or numeric_columns(df))
-    forest = fit_forest(df, columns, seed=seed)
-    scored = df.withColumn("anomaly_score", anomaly_score(forest, [number(df, n) for n in columns]))
-    cut = exact_quantiles(scored, {"s": F.col("anomaly_score")}, [1.0 - contamination])["s"][0]
-    return scored.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))
+    scored, _, cut = _scored(df, list(columns or numeric_columns(df)), contamination, seed)
+    return scored.withColumn("anomaly", F.col("anomaly_score") > cut)
 
 
 def anomaly_summary(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = 0.08) -> DataFrame:
-    scored = score_rows(df, columns, contamination)
+    _, scores, cut = _scored(df, list(columns or numeric_columns(df)), contamination, 42)
+    anomalies = F.count_if(F.col("anomaly_score") > cut)
     known = F.count("anomaly_score")
-    return scored.agg(
-        known.alias("rows"),
-        F.count_if("anomaly").alias("anomalies"),
-        F.try_divide(F.count_if("anomaly"), known).alias("rate"),
-    )
+    return scores.agg(known.alias("rows"), anomalies.alias("anomalies"), F.try_divide(anomalies, known).alias("rate"))

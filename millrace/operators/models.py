@@ -160,8 +160,9 @@ def prepare(df: DataFrame, target: str, task: str, key: str, features: Sequence[
 
     ``key`` is a unique column; folds follow its hash, so they survive recomputation.
     """
-    profile = bounded_profile(df, 40)
-    features = list(features or [f for f in pick_features(df, target, profile) if f != key])
+    if not features:
+        features = [f for f in pick_features(df, target, bounded_profile(df, 40)) if f != key]
+    features = list(features)
     if not features:
         raise ValueError("no usable feature columns")
     data = df.where(F.col(quoted(target)).isNotNull())
@@ -363,8 +364,10 @@ def _neighbours(train: DataFrame, test: DataFrame, width: int) -> DataFrame:
 
 def run_ols(df: DataFrame, target: str, key: str, features: Sequence[str] | None = None) -> dict:
     """Least squares on up to eight features: first 80 % fitted, rest held out, with p-values, AIC and BIC."""
-    profile = bounded_profile(df, 40)
-    features = list(features or [f for f in pick_features(df, target, profile) if f != key and is_number(df.schema[f].dataType)])[:8]
+    if not features:
+        picked = pick_features(df, target, bounded_profile(df, 40))
+        features = [f for f in picked if f != key and is_number(df.schema[f].dataType)]
+    features = list(features)[:8]
     data = df.select(
         F.col(quoted(key)).alias("key"), number(df, target).alias("label"),
         *[number(df, n).alias(f"f{i}") for i, n in enumerate(features)],

@@ -49,12 +49,15 @@ def _score(document: Column, question: str) -> Column:
 def keyword_search(docs: DataFrame, question: str, top_k: int = 6, key: str = "row_id", text: str = "document") -> DataFrame:
     """The best documents by shared words; if none shares any, the first three with score 0."""
     scored = docs.select(F.col(quoted(key)).alias("row_id"), F.col(quoted(text)).alias("document"), _score(F.col(quoted(text)), question).alias("score"))
-    hits = scored.where("score > 0").orderBy(F.desc("score"), "row_id").limit(top_k).withColumn("source", F.lit("keyword"))
-    first = scored.orderBy("row_id").limit(3).withColumn("source", F.lit("fallback"))
-    # At most six rows are looked at here: the hits are a top-k result.
-    none = hits.agg(F.count("*").alias("found"))
-    fallback = first.join(F.broadcast(none), F.col("found") == 0).drop("found")
-    return hits.unionByName(fallback)
+    ranked = scored.orderBy(F.desc("score"), "row_id").limit(max(top_k, 3))
+    # A handful of rows from here on. Without any hit all scores are 0 and the order is that of the rows.
+    whole = Window.partitionBy(F.lit(0))
+    place = F.row_number().over(whole.orderBy(F.desc("score"), "row_id"))
+    placed = ranked.withColumns({"place": place, "best": F.max("score").over(whole)})
+    hit = (F.col("score") > 0) & (F.col("place") <= top_k)
+    kept = placed.where(hit | ((F.col("best") <= 0) & (F.col("place") <= 3)))
+    source = F.when(F.col("score") > 0, "keyword").otherwise("fallback")
+    return kept.orderBy("place").select("row_id", "document", "score", source.alias("source"))
 
 
 def keyword_search_many(docs: DataFrame, questions: DataFrame, top_k: int = 6, key: str = "row_id", text: str = "document") -> DataFrame:

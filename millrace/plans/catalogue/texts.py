@@ -85,7 +85,61 @@ def _catalogue(t, kinds=False):
     return dm.catalogue(t.spark, _tables(t), kinds=kinds)
 
 
-@query("catalog_heuristic")
+# Column names and share of numeric columns of the derived tables, as their SELECTs give them.
+_COLUMNS = {
+    "sales": ("order_id customer_id sku region order_date revenue units product", 5 / 8),
+    "readings": ("event_id timestamp machine_id location temperature vibration pressure speed rul failure", 7 / 10),
+    "patients": ("event_id patient_id age bp glucose weight height readmission", 1.0),
+    "students": ("student_id math_score attendance course", 3 / 4),
+    "subscribers": ("subscriber_id churn tenure arpu data_usage plan", 5 / 6),
+    "loans": ("application_id loan_amount income default_flag credit_score", 1.0),
+    "stock": ("sku inventory demand lead_time shipments warehouse", 5 / 6),
+    "meters": ("event_id timestamp load voltage current", 4 / 5),
+    "fields": ("event_id timestamp moisture rainfall ph crop_yield", 5 / 6),
+    "staff": ("employee_id salary department attrition", 3 / 4),
+    "plant": ("event_id date asset_id downtime_minutes scrap availability oee", 5 / 7),
+}
+
+
+def _column_of(hint: str, columns: list[str]) -> str | None:
+    return hint if hint in columns else next((c for c in columns if hint in c), None)
+
+
+def _scorer_check() -> str:
+    """The keyword scorer in SQL: words matched against joined column names, medians taken from the data."""
+    words = [(d, "keyword", w.rstrip("*"), 1.2) for d, text in dm.KEYWORDS.items() for w in text.split()]
+    words += [(d, "exclusive", w[:-1], 3.5) for d, text in dm.KEYWORDS.items() for w in text.split() if w.endswith("*")]
+    words += [(d, "against", w, -2.5) for d, text in dm.AGAINST.items() for w in text.split()]
+    boosts = [(d, w) for d, text in dm.BOOSTERS.items() for w in text.split()]
+    medians = []
+    for table, (names, _) in _COLUMNS.items():
+        for domain, ranges in dm.RANGES.items():
+            for hint, (low, high) in ranges.items():
+                column = _column_of(hint, names.split())
+                if column:
+                    medians.append(
+                        f"SELECT '{table}' AS tab, '{domain}' AS domain, CASE WHEN COUNT({column}) < 5 THEN 0.0 WHEN "
+                        f"QUANTILE_CONT({column}, 0.5) BETWEEN {low} AND {high} THEN 1.8 ELSE -0.8 END AS points FROM {table}"
+                    )
+    tables = ", ".join(f"('{t}', '{n}', {share})" for t, (n, share) in _COLUMNS.items())
+    listed = ", ".join(f"('{d}', '{k}', '{w}', {x})" for d, k, w, x in words)
+    numeric = ", ".join(f"'{d}'" for d in dm.NUMERIC_DOMAINS)
+    return f"""WITH t AS (SELECT * FROM (VALUES {tables}) v(tab, joined, share)), w AS (SELECT * FROM (VALUES {listed}) v(domain, kind, word, weight)),
+        b AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{x}')" for d, x in boosts)}) v(domain, word)),
+        m AS (SELECT tab, domain, SUM(points) AS points FROM ({" UNION ALL ".join(medians)}) GROUP BY tab, domain),
+        h AS (SELECT tab, domain, SUM(weight) AS points, COUNT(*) FILTER (WHERE kind = 'exclusive') AS exclusive_hits,
+                     ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT word)), ', ') AS hits FROM t JOIN w ON CONTAINS(joined, word) GROUP BY tab, domain),
+        x AS (SELECT t.tab, d.domain, COALESCE(h.points, 0) + CASE WHEN d.domain IN ({numeric}) AND share > 0.55 THEN 0.8 ELSE 0 END
+                + CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.domain = d.domain AND (LIST_CONTAINS(STR_SPLIT(REPLACE(joined, '_', ' '), ' '), b.word)
+                                    OR LIST_CONTAINS(STR_SPLIT(joined, ' '), b.word))) THEN 1.5 ELSE 0 END AS points,
+                COALESCE(exclusive_hits, 0) AS exclusive_hits, COALESCE(hits, '') AS hits
+              FROM t CROSS JOIN (SELECT DISTINCT domain FROM w) d LEFT JOIN h ON h.tab = t.tab AND h.domain = d.domain)
+        SELECT x.tab AS "table", x.domain AS domain, ROUND(CAST(GREATEST(CASE WHEN x.domain = 'healthcare' AND exclusive_hits = 0 THEN LEAST(x.points, 0.8)
+               ELSE x.points END + COALESCE(m.points, 0), 0) AS DOUBLE), 4) AS score, exclusive_hits, hits
+        FROM x LEFT JOIN m ON m.tab = x.tab AND m.domain = x.domain"""
+
+
+@query("catalog_heuristic", _scorer_check(), using=tuple(_COLUMNS))
 def catalog_heuristic(t):
     return rounded(dm.heuristic_scores(_catalogue(t)).withColumn("hits", F.array_join("hits", ", ")), 4)
 

@@ -71,8 +71,8 @@ def read_buffer(spark: SparkSession, folder: str, rows: int | None = BUFFER_ROWS
 
 def expired_days(buffer: DataFrame, keep_days: int) -> DataFrame:
     """Day partitions a retention job may drop."""
-    newest = buffer.agg(F.max("day").alias("newest"))
-    return buffer.select("day").distinct().join(F.broadcast(newest), F.col("day") < F.date_sub("newest", keep_days)).select("day")
+    newest = buffer.agg(F.max("day").alias("newest")).first()["newest"]
+    return buffer.select("day").distinct().where(F.col("day") < F.date_sub(F.lit(newest), keep_days))
 
 
 def latest_values(df: DataFrame, entity: str, time: str, tie: str | None = None, columns: list[str] | None = None) -> DataFrame:
