@@ -188,7 +188,9 @@ def trailing(
     # Few rows are ranked: those past the last sampled key of their bucket, if these are proven to be enough.
     late = cut if buckets.near_end is None else cut.where(buckets.near_end)
     tails = late.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back).drop("_rank")
-    targets = [[t for s, t in pairs if s == b] for b in range(len(sizes))]
+    targets: list[list[int]] = [[] for _ in sizes]
+    for source, target in pairs:
+        targets[source].append(target)
     lending = F.from_json(F.lit(json.dumps(targets)), "array<array<int>>")
     halo = tails.withColumn("_bucket", F.explode(F.element_at(lending, F.col("_bucket") + 1)))
     marked = cut.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))

@@ -255,7 +255,7 @@ def far_from_centre(df: DataFrame, columns: Sequence[str] | None = None, k: int
 
 def explained_share(df: DataFrame, columns: Sequence[str], components: int = 3) -> float:
     data = _vectors(df, columns)
-    # A constant column scales to zero and carries no variance, as in the reference report.
+    # A constant column scales to zero and carries no variance.
     return float(sum(PCA(k=min(components, len(columns)), inputCol="features", outputCol="pc").fit(data).explainedVariance))
 
 

@@ -29,7 +29,7 @@ _JUNK = """
        ELSE event_type END AS kind, event_type FROM events""",
 )
 def clean_dedupe_sentinels(t):
-    base = t.sql(_JUNK).join(t.events.select("event_id", "event_type"), "event_id").select(" user_id".strip(), "kind", "event_type")
+    base = t.sql(_JUNK).join(t.events.select("event_id", "event_type"), "event_id").select("user_id", "kind", "event_type")
     twice = base.unionByName(base).toDF(" user_id", "kind ", "event_type")
     return cl.null_sentinels(cl.dedupe(cl.drop_empty_rows(cl.tidy_names(twice))))
 
@@ -180,7 +180,7 @@ def smooth_keyed(t):
 )
 def smooth_keyed_split(t):
     """Few large groups: every group is cut into buckets."""
-    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, ["event_type"], rows_per_bucket=100)
+    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, ["event_type"], rows_per_bucket=400)
     return rounded(out.select("event_id", "value_smooth"))
 
 
