@@ -113,3 +113,12 @@ def first_seen(df: DataFrame, text: str, order_by: Sequence[str], partition_by:
     whole = F.struct(*[c(n) for n in df.columns])
     kept = keyed.groupBy(*[quoted(p) for p in partition_by], "_key").agg(F.min_by(whole, rank).alias("_row"))
     return kept.select("_row.*")
+
+
+def describe_recent(df: DataFrame, value: str, order_by: Sequence[str], last: int = 200) -> DataFrame:
+    """(statistic, value): count, mean, deviation, smallest and largest of the newest known values."""
+    known = df.where(c(value).isNotNull()).select(*[c(n) for n in dict.fromkeys([*order_by, value])])
+    v = x(value)
+    stats = {"count": F.count(v).cast("double"), "mean": F.avg(v), "stddev": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    one = last_rows(known, last, order_by).agg(*[s.alias(n) for n, s in stats.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in stats])))

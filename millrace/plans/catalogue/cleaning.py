@@ -312,6 +312,18 @@ def trend_slope(t):
     return rounded(parts[0].unionByName(parts[1]), 8)
 
 
+@query(
+    "describe_recent",
+    """WITH l AS (SELECT temperature AS v FROM readings WHERE temperature IS NOT NULL ORDER BY event_id DESC LIMIT 200)
+       SELECT 'count' AS statistic, CAST(COUNT(v) AS DOUBLE) AS value FROM l UNION ALL SELECT 'mean', ROUND(AVG(v), 6) FROM l
+       UNION ALL SELECT 'stddev', ROUND(STDDEV_SAMP(v), 6) FROM l UNION ALL SELECT 'min', ROUND(MIN(v), 6) FROM l
+       UNION ALL SELECT 'max', ROUND(MAX(v), 6) FROM l""",
+    using=("readings",),
+)
+def describe_recent(t):
+    return rounded(win.describe_recent(t.readings, "temperature", ["event_id"]))
+
+
 @query(
     "last_per_time",
     """SELECT STRFTIME(o_orderdate, '%Y-%m-%d') AS day, o_orderkey, o_totalprice FROM orders
