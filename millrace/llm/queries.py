@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, tokens
+from millrace.llm import licenses, mixing, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,15 @@ def op5_mixing(t):
 def op10_token_counts(t):
     """Exact token counts of all documents with the public 32k piece model."""
     return tokens.count_tokens(t("documents"))
+
+
+@query()
+def op1_license_scan(t):
+    """License phrases in all documents."""
+    return licenses.scan(t("documents"))
+
+
+@query()
+def op7_secret_scan(t):
+    """Secrets in all documents."""
+    return secrets.scan(t("documents"))
