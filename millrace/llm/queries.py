@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import licenses, mixing, secrets, tokens
+from millrace.llm import decontaminate, licenses, mixing, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,42 @@ def op1_license_scan(t):
 def op7_secret_scan(t):
     """Secrets in all documents."""
     return secrets.scan(t("documents"))
+
+
+# Windows as lists of words; a document's words are numbered, and each occurrence of a window marks its words.
+DECONTAMINATE = r"""
+WITH dw AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+    FROM documents
+), bw AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+    FROM benchmark
+), windows AS (
+    SELECT item_id, w[i:i + 12] AS win, least(len(w), 13) AS size
+    FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM bw WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), places AS (
+    SELECT row, size, unnest(generate_series(1, len(w) - size + 1)) AS i, w FROM dw, sizes WHERE len(w) >= size
+), found AS (
+    SELECT DISTINCT p.row, p.i, p.size, x.item_id FROM (SELECT row, i, size, w[i:i + size - 1] AS win FROM places) p
+    JOIN windows x ON p.win = x.win AND p.size = x.size
+), hit AS (
+    SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(generate_series(i, i + size - 1)) FROM found) GROUP BY row
+), per_item AS (
+    SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM found) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (row) LEFT JOIN per_item USING (row)
+"""
+
+
+@query(DECONTAMINATE)
+def op6_decontamination(t):
+    """Benchmark windows in all documents."""
+    return decontaminate.overlaps(t("documents"), t("benchmark"))
