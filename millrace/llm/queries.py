@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, licenses, mixing, secrets, tokens
+from millrace.llm import decontaminate, licenses, mixing, quality, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ FROM dw LEFT JOIN hit USING (row) LEFT JOIN per_item USING (row)
 def op6_decontamination(t):
     """Benchmark windows in all documents."""
     return decontaminate.overlaps(t("documents"), t("benchmark"))
+
+
+@query()
+def op3_quality_classifier(t):
+    """Quality of all documents, learned from the labels outside the held-out third."""
+    return quality.score(t("documents"), t("labels"))
