@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, licenses, mixing, quality, secrets, tokens
+from millrace.llm import decontaminate, licenses, mixing, neardup, quality, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def op6_decontamination(t):
 def op3_quality_classifier(t):
     """Quality of all documents, learned from the labels outside the held-out third."""
     return quality.score(t("documents"), t("labels"))
+
+
+@query()
+def op2_jaccard_join(t):
+    """Near duplicates among all documents: five-word shingles, similarity 0.8 or more."""
+    return neardup.near_duplicates(t("documents"))
