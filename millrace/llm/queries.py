@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, licenses, mixing, neardup, quality, secrets, tokens
+from millrace.llm import ann, decontaminate, langid, licenses, mixing, neardup, quality, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,16 @@ def op3_quality_classifier(t):
 def op2_jaccard_join(t):
     """Near duplicates among all documents: five-word shingles, similarity 0.8 or more."""
     return neardup.near_duplicates(t("documents"))
+
+
+@query()
+def op8_language_id(t):
+    """Language of all documents, learned from the labelled ones that are not held out."""
+    return langid.identify(t("documents"))
+
+
+@query()
+def op9_nearest_neighbours(t):
+    """The ten nearest vectors of every hundredth one, among all."""
+    embeddings = t("embeddings")
+    return ann.nearest(embeddings, embeddings.where("vec_id % 100 = 0"))
