@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, decontaminate, langid, licenses, mixing, neardup, quality, secrets, tokens
+from millrace.llm import ann, decontaminate, langid, licenses, mixing, neardup, quality, repeats, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op9_nearest_neighbours(t):
     """The ten nearest vectors of every hundredth one, among all."""
     embeddings = t("embeddings")
     return ann.nearest(embeddings, embeddings.where("vec_id % 100 = 0"))
+
+
+@query()
+def op4_suffix_array_dedup(t):
+    """What is left of all documents without strings of 400 bytes that stand elsewhere too."""
+    return repeats.without_repeats(t("documents")).drop("kept")
