@@ -116,8 +116,8 @@ def sensor_correlations(df: DataFrame) -> DataFrame:
     return correlations(df, pairs).withColumn("dead", F.coalesce(F.abs("corr") < 0.05, F.lit(False)))
 
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation per pair; a row counts for a pair when both values are there."""
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(row, col, corr): Pearson correlation per pair; a row counts for a pair when both values are there."""
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = number(df, a), number(df, b)
@@ -125,10 +125,15 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         value = F.corr(F.when(both, x), F.when(both, y))
         aggs.append(F.when(~F.isnan(value), value).alias(f"c{i}"))
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
+    rows = [F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.inline(F.array(*rows)))
 
 
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, corr) with the two names joined by a bar."""
+    return pair_correlations(df, pairs).select(F.concat_ws("|", "row", "col").alias("pair"), "corr")
+
+
 def physics_rules(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), **options) -> DataFrame:
     """(rule, rows, violated): stuck sensor, leak, rising remaining life, missed failures."""
     t = resolve(df.columns, "temperature", "temp")

@@ -144,6 +144,25 @@ def with_derived(sql: str, using: tuple[str, ...]) -> str:
     return f"WITH {ctes}{joiner}"
 
 
+def kinds_sql(tables: dict[str, list[str]]) -> str:
+    """CTEs ending in ``kinds`` (tab, pos, col, n, kind): the kind of every column, from its type, name and values."""
+    parts = [
+        f"SELECT '{table}' AS tab, {pos} AS pos, '{column}' AS col, ANY_VALUE(TYPEOF({column})) AS ty, COUNT(*) AS n, COUNT({column}) AS known, "
+        f"COUNT(DISTINCT {column}) AS uniq, COUNT(*) FILTER (WHERE TRY_CAST(CAST({column} AS VARCHAR) AS DOUBLE) NOT IN (0, 1)) AS other, "
+        f"COUNT(TRY_CAST(CAST({column} AS VARCHAR) AS TIMESTAMP)) AS times FROM {table}"
+        for table, columns in tables.items()
+        for pos, column in enumerate(columns)
+    ]
+    return f"""facts AS ({" UNION ALL ".join(parts)}),
+        judged AS (SELECT *, known > 0 AND ((uniq / known > 0.85 AND uniq > 5) OR (uniq = known AND known > 3)) AS unique_like FROM facts),
+        kinds AS (SELECT tab, pos, col, n, uniq, CASE WHEN ty = 'BOOLEAN' THEN 'boolean' WHEN ty LIKE 'TIMESTAMP%' OR ty = 'DATE' THEN 'date'
+            WHEN ty <> 'VARCHAR' THEN CASE WHEN uniq BETWEEN 1 AND 2 AND other = 0 THEN 'boolean'
+                WHEN REGEXP_MATCHES(col, 'id|key|code|sku|uuid') OR unique_like THEN 'id_like' ELSE 'number' END
+            WHEN times >= GREATEST(3, n // 2) AND (times / n >= 0.85 OR (times / n >= 0.6 AND REGEXP_MATCHES(col, 'date|time'))) THEN 'date'
+            WHEN REGEXP_MATCHES(col, 'id|key|uuid|customer|order|asset|machine') AND (unique_like OR SUFFIX(col, '_id')) THEN 'id_like'
+            ELSE 'text' END AS kind FROM judged)"""
+
+
 def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
     """Round doubles and widen small types, so that two engines give equal values."""
     out = []

@@ -9,7 +9,7 @@ from millrace.operators.density import dbscan_points, dbscan_summary
 from millrace.operators.neighbours import knn_outliers
 from millrace.operators.profile import bounded_profile, categories, column_kinds
 from millrace.operators.quantiles import exact_quantiles
-from millrace.plans.catalogue.base import query, rounded
+from millrace.plans.catalogue.base import kinds_sql, query, rounded
 
 
 @query(
@@ -198,15 +198,34 @@ def knn_outlier_rows(t):
     return rounded(knn_outliers(wide, [f"x{i}" for i in range(8)], "vec_id", 10))
 
 
-@query("column_kinds")
+_GIVEN = {
+    "customer": "c_custkey c_name c_nationkey c_mktsegment c_acctbal", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "events": "event_id ts user_id event_type value props", "nation": "n_nationkey n_name n_regionkey", "region": "r_regionkey r_name",
+}
+
+
+@query("column_kinds", f"""WITH {kinds_sql({t: c.split() for t, c in _GIVEN.items()})} SELECT tab AS "table", col AS "column", kind FROM kinds""")
 def kinds(t):
     rows = []
     for name in ("customer", "supplier", "part", "orders", "events", "nation", "region"):
         rows += [(name, column, kind) for column, kind in column_kinds(getattr(t, name)).items()]
-    return t.spark.createDataFrame(rows, '"table" string, "column" string, kind string'.replace('"', "`"))
+    return t.spark.createDataFrame(rows, "`table` string, `column` string, kind string")
+
 
+def _few(tables: dict[str, str]) -> str:
+    """Columns with 2 to 80 values, numbers with 2 to 20."""
+    parts = [f"SELECT '{t}' AS tab, '{c}' AS col, ANY_VALUE(TYPEOF({c})) AS ty, COUNT(DISTINCT {c}) AS uniq FROM {t}" for t, cs in tables.items() for c in cs.split()]
+    kinds = "'TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE'"
+    return f"SELECT tab AS table_name, col AS column_name FROM ({' UNION ALL '.join(parts)}) WHERE uniq BETWEEN 2 AND CASE WHEN ty IN ({kinds}) THEN 20 ELSE 80 END"
 
-@query("category_columns")
+
+@query(
+    "category_columns",
+    _few({**{t: _GIVEN[t] for t in ("customer", "part", "orders", "events")},
+          "lineitem": "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"}),
+)
 def category_columns(t):
     rows = []
     for name in ("customer", "part", "orders", "events", "lineitem"):

@@ -8,7 +8,8 @@ from millrace.operators import domains as dm
 from millrace.operators.briefs import impact_line, latest_versions, top_actions, weekly_briefs
 from millrace.operators.retrieval import extract_answer, keyword_search, keyword_search_many, row_documents, vector_search
 from millrace.operators.star import money_impact
-from millrace.plans.catalogue.base import query, rounded
+from millrace.plans.catalogue import words
+from millrace.plans.catalogue.base import kinds_sql, query, rounded
 from millrace.session import checkpoint_dir
 from millrace.streaming import live
 
@@ -105,12 +106,21 @@ def _column_of(hint: str, columns: list[str]) -> str | None:
     return hint if hint in columns else next((c for c in columns if hint in c), None)
 
 
-def _scorer_check() -> str:
-    """The keyword scorer in SQL: words matched against joined column names, medians taken from the data."""
-    words = [(d, "keyword", w.rstrip("*"), 1.2) for d, text in dm.KEYWORDS.items() for w in text.split()]
-    words += [(d, "exclusive", w[:-1], 3.5) for d, text in dm.KEYWORDS.items() for w in text.split() if w.endswith("*")]
-    words += [(d, "against", w, -2.5) for d, text in dm.AGAINST.items() for w in text.split()]
-    boosts = [(d, w) for d, text in dm.BOOSTERS.items() for w in text.split()]
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _all(tables: dict, kind: str, weight: float) -> list[tuple]:
+    return [(domain, kind, w, weight) for domain, its in tables.items() for w in its]
+
+
+def _scored() -> str:
+    """CTEs ending in ``scored`` (tab, domain, nth, score, exclusive_hits, hits): the keyword scorer in SQL.
+
+    Words are matched against joined column names, medians are taken from the data.
+    """
+    listed = _all(words.KEYWORDS, "keyword", 1.2) + _all(words.EXCLUSIVE, "exclusive", 3.5) + _all(words.AGAINST, "against", -2.5)
+    boosts = [(d, w) for d, its in words.BOOSTERS.items() for w in its]
     medians = []
     for table, (names, _) in _COLUMNS.items():
         for domain, ranges in dm.RANGES.items():
@@ -121,30 +131,87 @@ def _scorer_check() -> str:
                         f"SELECT '{table}' AS tab, '{domain}' AS domain, CASE WHEN COUNT({column}) < 5 THEN 0.0 WHEN "
                         f"QUANTILE_CONT({column}, 0.5) BETWEEN {low} AND {high} THEN 1.8 ELSE -0.8 END AS points FROM {table}"
                     )
-    tables = ", ".join(f"('{t}', '{n}', {share})" for t, (n, share) in _COLUMNS.items())
-    listed = ", ".join(f"('{d}', '{k}', '{w}', {x})" for d, k, w, x in words)
-    numeric = ", ".join(f"'{d}'" for d in dm.NUMERIC_DOMAINS)
-    return f"""WITH t AS (SELECT * FROM (VALUES {tables}) v(tab, joined, share)), w AS (SELECT * FROM (VALUES {listed}) v(domain, kind, word, weight)),
-        b AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{x}')" for d, x in boosts)}) v(domain, word)),
+    domains = [(d, i) for i, d in enumerate(words.KEYWORDS)]
+    return f"""t AS (SELECT * FROM {_values([(t, n, share) for t, (n, share) in _COLUMNS.items()])} v(tab, joined, share)),
+        w AS (SELECT * FROM {_values(listed)} v(domain, kind, word, weight)), b AS (SELECT * FROM {_values(boosts)} v(domain, word)),
         m AS (SELECT tab, domain, SUM(points) AS points FROM ({" UNION ALL ".join(medians)}) GROUP BY tab, domain),
         h AS (SELECT tab, domain, SUM(weight) AS points, COUNT(*) FILTER (WHERE kind = 'exclusive') AS exclusive_hits,
                      ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT word)), ', ') AS hits FROM t JOIN w ON CONTAINS(joined, word) GROUP BY tab, domain),
-        x AS (SELECT t.tab, d.domain, COALESCE(h.points, 0) + CASE WHEN d.domain IN ({numeric}) AND share > 0.55 THEN 0.8 ELSE 0 END
+        x AS (SELECT t.tab, d.domain, d.nth, COALESCE(h.points, 0)
+                + CASE WHEN d.domain IN ('predictive_maintenance', 'energy_utilities', 'agriculture_iot') AND share > 0.55 THEN 0.8 ELSE 0 END
                 + CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.domain = d.domain AND (LIST_CONTAINS(STR_SPLIT(REPLACE(joined, '_', ' '), ' '), b.word)
                                     OR LIST_CONTAINS(STR_SPLIT(joined, ' '), b.word))) THEN 1.5 ELSE 0 END AS points,
                 COALESCE(exclusive_hits, 0) AS exclusive_hits, COALESCE(hits, '') AS hits
-              FROM t CROSS JOIN (SELECT DISTINCT domain FROM w) d LEFT JOIN h ON h.tab = t.tab AND h.domain = d.domain)
-        SELECT x.tab AS "table", x.domain AS domain, ROUND(CAST(GREATEST(CASE WHEN x.domain = 'healthcare' AND exclusive_hits = 0 THEN LEAST(x.points, 0.8)
-               ELSE x.points END + COALESCE(m.points, 0), 0) AS DOUBLE), 4) AS score, exclusive_hits, hits
-        FROM x LEFT JOIN m ON m.tab = x.tab AND m.domain = x.domain"""
-
-
-@query("catalog_heuristic", _scorer_check(), using=tuple(_COLUMNS))
+              FROM t CROSS JOIN {_values(domains)} d(domain, nth) LEFT JOIN h ON h.tab = t.tab AND h.domain = d.domain),
+        scored AS (SELECT x.tab, x.domain, nth, CAST(GREATEST(CASE WHEN x.domain = 'healthcare' AND exclusive_hits = 0 THEN LEAST(x.points, 0.8)
+               ELSE x.points END + COALESCE(m.points, 0), 0) AS DOUBLE) AS score, exclusive_hits, hits
+        FROM x LEFT JOIN m ON m.tab = x.tab AND m.domain = x.domain)"""
+
+
+def _decided() -> str:
+    """CTEs ending in ``decided`` (tab, domain, confidence): the vote with the keyword scorer alone, and its corrections."""
+    return f"""{_scored()},
+        v AS (SELECT *, 0.35 * score / GREATEST(MAX(score) OVER (PARTITION BY tab), 1.0) + CASE WHEN exclusive_hits >= 2 THEN 0.35 ELSE 0 END AS raw FROM scored),
+        c AS (SELECT *, CASE WHEN domain = 'healthcare' AND exclusive_hits = 0 THEN LEAST(raw, 0.15) ELSE raw END AS vote FROM v),
+        e AS (SELECT tab, score AS ed_score, exclusive_hits AS ed_hits FROM c WHERE domain = 'education'),
+        f AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY tab ORDER BY vote DESC, nth) = 1),
+        g AS (SELECT f.*, ed_score, ed_hits, LEAST(0.99, GREATEST(0.3, vote)) AS sure, f.domain = 'healthcare' AND exclusive_hits = 0 AS hollow FROM f JOIN e USING (tab)),
+        decided AS (SELECT tab, CASE WHEN hollow AND ed_hits >= 1 THEN 'education' WHEN hollow THEN 'generic'
+                WHEN ed_hits >= 1 AND ed_score >= score THEN 'education' WHEN score <= 0 THEN 'generic' ELSE domain END AS domain,
+              CASE WHEN hollow AND ed_hits >= 1 THEN GREATEST(sure, 0.7) WHEN hollow THEN LEAST(sure, 0.4)
+                WHEN ed_hits >= 1 AND ed_score >= score THEN GREATEST(sure, LEAST(0.95, 0.55 + 0.05 * ed_score)) ELSE sure END AS confidence FROM g)"""
+
+
+def _packed() -> str:
+    """CTEs ending in ``best``: the second scorer in SQL, from names, kinds and medians."""
+    listed = _all(words.STRONG, "strong", 3.0) + _all(words.WEAK, "weak", 0.6) + _all(words.PACK_AGAINST, "against", -2.0)
+    fits = []
+    for table, (names, _) in _COLUMNS.items():
+        for hint, (low, high) in dm.RANGES["predictive_maintenance"].items():
+            column = _column_of(hint, names.split())
+            if column:
+                fits.append(f"SELECT '{table}' AS tab, CASE WHEN COUNT({column}) >= 5 AND QUANTILE_CONT({column}, 0.5) BETWEEN {low} AND {high} THEN 1.5 ELSE 0 END AS points FROM {table}")
+    return f"""{kinds_sql({t: n.split() for t, (n, _) in _COLUMNS.items()})},
+        t AS (SELECT * FROM {_values([(t, n) for t, (n, _) in _COLUMNS.items()])} v(tab, joined)),
+        w AS (SELECT * FROM {_values(listed)} v(domain, sort, word, weight)),
+        h AS (SELECT tab, domain, SUM(weight) FILTER (WHERE sort <> 'against') AS good, SUM(weight) FILTER (WHERE sort = 'against') AS bad,
+                     COUNT(*) FILTER (WHERE sort = 'strong') AS strong FROM t JOIN w ON CONTAINS(joined, word) GROUP BY tab, domain),
+        f AS (SELECT tab, SUM(points) AS points FROM ({" UNION ALL ".join(fits)}) GROUP BY tab),
+        k AS (SELECT tab, COUNT(*) FILTER (WHERE kind = 'date') AS dates, COUNT(*) FILTER (WHERE kind = 'number') / COUNT(*) AS numbers,
+                     COUNT(*) FILTER (WHERE CONTAINS(col, 'churn') AND kind IN ('boolean', 'number', 'text')) AS churny FROM kinds GROUP BY tab),
+        x AS (SELECT t.tab, d.domain, nth, GREATEST(0, CASE WHEN d.domain = 'health' AND COALESCE(strong, 0) = 0 THEN LEAST(COALESCE(good, 0), 0.4) ELSE COALESCE(good, 0) END
+                + CASE WHEN d.domain = 'forecasting' AND dates > 0 THEN 2 ELSE 0 END + CASE WHEN d.domain = 'predictive_maintenance' AND numbers >= 0.45 THEN 1.5 ELSE 0 END
+                + COALESCE(bad, 0) + CASE WHEN d.domain = 'churn' THEN 2.5 * churny ELSE 0 END
+                + CASE WHEN d.domain = 'predictive_maintenance' THEN COALESCE(f.points, 0) ELSE 0 END)::DOUBLE AS score
+              FROM t CROSS JOIN {_values([(d, i) for i, d in enumerate(words.STRONG)])} d(domain, nth) JOIN k ON k.tab = t.tab
+              LEFT JOIN h ON h.tab = t.tab AND h.domain = d.domain LEFT JOIN f ON f.tab = t.tab),
+        r AS (SELECT *, LEAD(score) OVER o AS next, ROW_NUMBER() OVER o AS place FROM x WINDOW o AS (PARTITION BY tab ORDER BY score DESC, nth)),
+        best AS (SELECT tab, CASE WHEN score >= 2 THEN domain ELSE 'generic' END AS domain,
+              CASE WHEN score >= 2 THEN LEAST(0.97, 0.45 + 0.08 * score + 0.15 * (score - next) / GREATEST(score, 1)) ELSE 0.35 END AS confidence FROM r WHERE place = 1)"""
+
+
+def _printed() -> str:
+    """The schema fingerprints in SQL: four keyword figures for each domain, then five facts about the table."""
+    parts = []
+    for i, d in enumerate(words.KEYWORDS):
+        groups = (words.KEYWORDS[d], words.EXCLUSIVE[d], words.AGAINST[d], words.KEYWORDS[d])
+        for j, its in enumerate(groups):
+            found = f"LEN(LIST_FILTER({list(its)}, lambda x: CONTAINS(joined, x)))"
+            parts.append((4 * i + j, f"{found} / {len(its)}" if j == 3 else found))
+    n = 4 * len(words.KEYWORDS)
+    parts += [(n, "share"), (n + 1, "texts / width"), (n + 2, "CASE WHEN REGEXP_MATCHES(joined, 'timestamp|date|time') THEN 1 ELSE 0 END"), (n + 3, "row_count"), (n + 4, "width")]
+    return f"""{kinds_sql({t: n.split() for t, (n, _) in _COLUMNS.items()})},
+        t AS (SELECT * FROM {_values([(t, n, share) for t, (n, share) in _COLUMNS.items()])} v(tab, joined, share)),
+        k AS (SELECT tab, COUNT(*) FILTER (WHERE kind = 'text') AS texts, COUNT(*) AS width, MAX(n) AS row_count FROM kinds GROUP BY tab),
+        p AS (SELECT tab, UNNEST([{", ".join(f"{{'position': {i}, 'value': ({x})::DOUBLE}}" for i, x in parts)}]) AS c FROM t JOIN k USING (tab))"""
+
+
+@query("catalog_heuristic", f"""WITH {_scored()} SELECT tab AS "table", domain, ROUND(score, 4) AS score, exclusive_hits, hits FROM scored""", using=tuple(_COLUMNS))
 def catalog_heuristic(t):
     return rounded(dm.heuristic_scores(_catalogue(t)).withColumn("hits", F.array_join("hits", ", ")), 4)
 
 
-@query("catalog_domain")
+@query("catalog_domain", f"""WITH {_decided()} SELECT tab AS "table", domain, ROUND(confidence, 4) AS confidence FROM decided""", using=tuple(_COLUMNS))
 def catalog_domain(t):
     return rounded(dm.decide(dm.vote(dm.heuristic_scores(_catalogue(t)))), 4)
 
@@ -156,36 +223,83 @@ def catalog_classifier(t):
     return rounded(dm.decide(dm.vote(scores, dm.classify_schemas(tables))), 4)
 
 
-@query("catalog_packs")
+@query(
+    "catalog_packs",
+    f"""WITH {_packed()} SELECT tab AS "table", domain, ROUND(confidence, 4) AS confidence, CASE domain WHEN 'sales' THEN 'sales_forecasting'
+        WHEN 'forecasting' THEN 'sales_forecasting' WHEN 'churn' THEN 'telecom_churn' WHEN 'predictive_maintenance' THEN 'predictive_maintenance'
+        WHEN 'quality' THEN 'warehouse_logistics' WHEN 'education' THEN 'education' WHEN 'health' THEN 'healthcare' ELSE 'generic' END AS app_domain FROM best""",
+    using=tuple(_COLUMNS),
+)
 def catalog_packs(t):
     return rounded(dm.pack_domain(dm.pack_scores(_catalogue(t, kinds=True))), 4)
 
 
-@query("catalog_fingerprints")
+@query("catalog_fingerprints", f"""WITH {_printed()} SELECT tab AS "table", CAST(c.position AS BIGINT) AS position, ROUND(c.value, 6) AS value FROM p""", using=tuple(_COLUMNS))
 def catalog_fingerprints(t):
     prints = dm.schema_fingerprints(_catalogue(t, kinds=True))
     return rounded(prints.select("table", F.posexplode("fingerprint").alias("position", "value")), 6)
 
 
-@query("catalog_plant")
+@query(
+    "catalog_plant",
+    f"""WITH t AS (SELECT * FROM {_values([(t, n) for t, (n, _) in _COLUMNS.items()])} v(tab, joined)),
+             n AS ({" UNION ALL ".join(f"SELECT '{t}' AS tab, COUNT(*) AS row_count FROM {t}" for t in _COLUMNS)}),
+             s AS (SELECT tab, LIST_DISTINCT(STR_SPLIT(REPLACE(joined, '_', ' '), ' ')) AS tokens FROM t),
+             p AS (SELECT tab, 2 * LEN(LIST_INTERSECT(tokens, ['availability', 'oee', 'downtime', 'scrap', 'planned', 'performance', 'reject']))
+                      + LEN(LIST_INTERSECT(tokens, ['quality', 'asset', 'machine', 'runtime', 'run', 'good', 'line', 'shift'])) AS score FROM s)
+        SELECT tab AS "table", row_count AS rows, score, score >= 4 AND row_count > 0 AS match FROM p JOIN n USING (tab)""",
+    using=tuple(_COLUMNS),
+)
 def catalog_plant(t):
-    return rounded(dm.plant_score(_catalogue(t)))
+    return rounded(dm.plant_score(_catalogue(t, kinds=True)))
 
 
-@query("catalog_override")
+@query(
+    "catalog_override",
+    f"""WITH {_decided()} SELECT tab AS "table", CASE WHEN tab = 'stock' THEN 'sales_forecasting' ELSE domain END AS domain, domain AS detected,
+        ROUND(confidence, 4) AS confidence, tab = 'stock' AS overridden FROM decided""",
+    using=tuple(_COLUMNS),
+)
 def catalog_override(t):
     decided = dm.decide(dm.vote(dm.heuristic_scores(_catalogue(t))))
     chosen = t.spark.createDataFrame([("stock", "sales_forecasting")], "table string, chosen string")
     return rounded(dm.with_override(decided, chosen), 4)
 
 
-@query("catalog_roles")
+_ROLE_TABLES = {"sales": "sales", "readings": "predictive_maintenance", "patients": "health", "students": "education", "subscribers": "churn", "plant": "plant_oee"}
+# The role each column has by its name, written out; `kind` where only the kind of the data decides.
+_NAMED = [
+    ("sales", "order_id", "id"), ("sales", "customer_id", "customer"), ("sales", "sku", "product"), ("sales", "region", "region"),
+    ("sales", "order_date", "date"), ("sales", "revenue", "revenue"), ("sales", "units", "quantity"), ("sales", "product", "kind"),
+    ("readings", "event_id", "id"), ("readings", "timestamp", "date"), ("readings", "machine_id", "asset"), ("readings", "location", "category"),
+    ("readings", "temperature", "sensor"), ("readings", "vibration", "sensor"), ("readings", "pressure", "sensor"), ("readings", "speed", "kind"),
+    ("readings", "rul", "rul_target"), ("readings", "failure", "failure_label"),
+    ("patients", "event_id", "id"), ("patients", "patient_id", "patient_id"), ("patients", "age", "kind"), ("patients", "bp", "kind"),
+    ("patients", "glucose", "kind"), ("patients", "weight", "kind"), ("patients", "height", "kind"), ("patients", "readmission", "readmission"),
+    ("students", "student_id", "id"), ("students", "math_score", "score"), ("students", "attendance", "attendance"), ("students", "course", "course"),
+    ("subscribers", "subscriber_id", "id"), ("subscribers", "churn", "churn_flag"), ("subscribers", "tenure", "tenure"), ("subscribers", "arpu", "kind"),
+    ("subscribers", "data_usage", "kind"), ("subscribers", "plan", "subscription"),
+    ("plant", "event_id", "id"), ("plant", "date", "date"), ("plant", "asset_id", "asset"), ("plant", "downtime_minutes", "downtime"),
+    ("plant", "scrap", "scrap"), ("plant", "availability", "availability"), ("plant", "oee", "kind"),
+]
+
+
+@query(
+    "catalog_roles",
+    f"""WITH {kinds_sql({t: _COLUMNS[t][0].split() for t in _ROLE_TABLES})}, named AS (SELECT * FROM {_values(_NAMED)} v(tab, col, named)),
+             r AS (SELECT k.tab, k.col, CASE WHEN named <> 'kind' THEN named WHEN kind = 'id_like' THEN CASE WHEN k.tab = 'subscribers' THEN 'customer_id' ELSE 'id' END
+                   WHEN kind = 'number' THEN CASE WHEN k.tab = 'readings' THEN 'sensor' ELSE 'metric' END
+                   WHEN kind = 'boolean' AND k.tab = 'subscribers' THEN 'churn_flag' WHEN kind = 'text' THEN 'category' END AS role
+                   FROM kinds k JOIN named n ON n.tab = k.tab AND n.col = k.col)
+        SELECT tab AS table_name, col AS column_name, role FROM r WHERE role IS NOT NULL""",
+    using=tuple(_ROLE_TABLES),
+)
 def catalog_roles(t):
-    domains = {"sales": "sales", "readings": "predictive_maintenance", "patients": "health", "students": "education", "subscribers": "churn", "plant": "plant_oee"}
     tables = _tables(t)
-    kinds = {r["table"]: r["kinds"] for r in dm.catalogue(t.spark, {n: tables[n] for n in domains}).collect()}
-    rows = [(n, c, r) for n, d in domains.items() for c, r in dm.suggest_roles(tables[n].columns, d, kinds[n]).items()]
-    return t.spark.createDataFrame(rows, "table_name string, column_name string, role string")
+    found = dm.catalogue(t.spark, {n: tables[n] for n in _ROLE_TABLES})
+    domains = t.spark.createDataFrame(list(_ROLE_TABLES.items()), "table string, domain string")
+    roles = dm.suggest_roles(found.join(domains, "table"))
+    return roles.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "role")
 
 
 @query(

@@ -45,9 +45,23 @@ def test_override(spark, found):
     assert got["shop"] == ("generic", "sales_forecasting", True) and not got["school"][2]
 
 
-def test_roles_and_mapping():
-    roles = dm.suggest_roles(["timestamp", "machine_id", "vibration", "temperature", "rul", "failure"], "predictive_maintenance", {"timestamp": "date"})
-    assert roles["timestamp"] == "date" and roles["vibration"] == roles["temperature"] == "sensor" and roles["rul"] == "rul_target"
+def test_roles_and_mapping(spark):
+    columns = ["timestamp", "Machine ID", "vibration", "temperature", "rul", "failure", "torque_2", "asset", "when", "note", "date of rul"]
+    kinds = {"timestamp": "date", "when": "date", "note": "text", "asset": "id_like"}
+    tables = spark.createDataFrame(
+        [("m", "predictive_maintenance", columns, kinds), ("s", "sales", ["rev_2", "cust", "net_sales", "amount", "x"], {"rev_2": "number", "amount": "number", "x": "boolean"}),
+         ("c", "churn", ["key", "left"], {"key": "id_like", "left": "boolean"}), ("g", "unheard", ["key", "value"], {"key": "id_like"}), ("none", "generic", [], {})],
+        "table string, domain string, columns array<string>, kinds map<string,string>",
+    )
+    got = {}
+    for r in dm.suggest_roles(tables).collect():
+        got.setdefault(r["table"], {})[r["column"]] = r["role"]
+    assert got["m"] == {
+        "timestamp": "date", "Machine ID": "id", "vibration": "sensor", "temperature": "sensor", "rul": "rul_target", "failure": "failure_label",
+        "torque_2": "sensor", "asset": "asset", "note": "category",
+    }
+    assert got["s"] == {"rev_2": "revenue", "net_sales": "revenue", "amount": "revenue"}
+    assert got["c"] == {"key": "customer_id", "left": "churn_flag"} and got["g"] == {"key": "id", "value": "metric"} and "none" not in got
     saved = {"revenue": "revenue", "customer": "customer", "zzz": "region"}
     assert dm.match_mapping(["Revenue", "customer_name", "qty"], saved) == {"Revenue": "revenue", "customer_name": "customer"}
 
