@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.cast import number
-from millrace.functions.names import numeric_columns
+from millrace.functions.names import numeric_columns, quoted
 from millrace.operators.quantiles import exact_quantiles
 from millrace.session import checkpoint
 
 TREES = 100
 SAMPLE = 256
-POOL = 100_000
 TREE_SCHEMA = "tree int, node int, feature int, cut double, path double"
 
 
@@ -50,17 +49,19 @@ def _grow(points: np.ndarray, depth_limit: int, seed: int) -> list[tuple]:
 
 
 def _samples(data: DataFrame, rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """At most ``size`` rows per tree, drawn from a bounded random pool of the table."""
-    pool = data.sample(False, POOL / rows, seed) if rows > POOL else data
-    pooled = min(rows, POOL)
-    # Thin out before ranking; the margin leaves every tree with enough rows.
-    share = min(1.0, 2.0 * size / max(pooled, 1))
-    draw = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("_u"), t), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)),
+    """At most ``size`` rows per tree, drawn from the whole table by the hash ``_u`` of each row.
+
+    A row offers itself to a tree of its own choice, several times when the table has fewer rows than the trees need, so
+    the draw follows the rows alone and not how they are spread over tasks. Twice the rows needed offer themselves.
+    """
+    turns = max(1, math.ceil(2.0 * trees * size / max(rows, 1)))
+    share = min(1.0, 2.0 * trees * size / max(rows * turns, 1))
+    offer = F.transform(
+        F.sequence(F.lit(0), F.lit(turns - 1)),
+        lambda t: F.when(F.pmod(F.xxhash64("_u", t, F.lit(seed)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))), F.pmod(F.xxhash64("_u", t, F.lit(seed + 1)), F.lit(trees))),
     )
-    spread = pool.withColumn("_u", F.rand(seed)).withColumn("tree", F.explode(draw))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("_u", "tree", F.lit(seed)))
+    spread = data.withColumn("tree", F.explode(F.array_distinct(F.array_compact(offer)).cast("array<int>")))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("_u", "tree", F.lit(seed)), *[c for c in data.columns if c != "_u"])
     return spread.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).drop("_r", "_u")
 
 
@@ -93,7 +94,9 @@ class Forest:
 
 
 def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, size: int = SAMPLE, seed: int = 42) -> Forest:
-    data = df.select(*[number(df, n).alias(f"x{i}") for i, n in enumerate(columns)]).na.drop()
+    # All columns make the hash of a row, so equal points of different rows are drawn apart.
+    whole = F.xxhash64(*[F.col(quoted(f.name)) for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+    data = df.select(*[number(df, n).alias(f"x{i}") for i, n in enumerate(columns)], whole.alias("_u")).na.drop()
     rows = data.count()
     size = max(2, min(size, rows))
     depth = math.ceil(math.log2(size))

@@ -128,7 +128,8 @@ def frequent_itemsets(source: DataFrame, min_support: float = 0.15, max_k: int =
     baskets, items, total = _short_baskets(source, min_support)
     names = [name for name, _ in items]
     found = {(i,): n for i, (_, n) in enumerate(items)}
-    max_k = max(2, min(3, max_k))
+    if max_k not in (2, 3):
+        raise ValueError(f"sets of up to 2 or 3 items are counted, got {max_k}")
     tiles = [(lo, min(lo + TILE, len(names))) for lo in range(0, len(names), TILE)]
     frequent_pairs: set[tuple[int, int]] = set()
     for a, b in itertools.combinations_with_replacement(tiles, 2):

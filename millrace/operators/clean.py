@@ -282,10 +282,12 @@ def clean(
     partition_by: Sequence[str] = (),
     bins: bool = True,
     smoothing: bool = True,
+    bin_first: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """The full cleaning run. ``impute="median"`` is the variant that drops empty columns and fills medians.
 
-    ``order_by`` gives the row order that positions and trailing means follow, ending in a unique column.
+    ``order_by`` gives the row order that positions and trailing means follow, ending in a unique column. Binning takes
+    the first ``bin_first`` numeric columns, all by default.
     """
     log = ["strip column names"]
     out = drop_empty_rows(nan_to_null(tidy_names(df)))
@@ -314,8 +316,9 @@ def clean(
     if holes and ((bins and numbers) or (smoothing and signals)):
         out = checkpoint(out)
     if bins and numbers:
-        out = quantile_bins(out, numbers[:6])
-        log += [f"binning {n}" for n in numbers[:6]]
+        binned = numbers[:bin_first]
+        out = quantile_bins(out, binned)
+        log += [f"binning {n}" for n in binned]
     if smoothing and signals:
         out = smooth(out, signals, order_by, partition_by=partition_by)
         log += [f"smoothing {n}" for n in signals]

@@ -23,7 +23,8 @@ def _assembled(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 
 def assign_kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, silhouette: bool = True, seed: int = 42):
     """The table with ``cluster_id`` (NULL for incomplete rows) and a summary of the fit."""
-    k = max(2, min(12, k))
+    if k < 2:
+        raise ValueError(f"k must be 2 or more, got {k}")
     data = _assembled(df, columns)
     rows = data.count()
     if rows < k:

@@ -3,7 +3,8 @@
 Cells are so narrow that two points of one cell are always within eps. A cell with enough points is therefore
 all core and needs no distances. Only points of thin cells (fewer than ``min_points``) are compared, against
 the few cells around them, so the work grows linearly even when one cell holds most rows. Equal points are
-merged first and carry a weight.
+merged first and carry a weight. With many columns the cells around a point are found by their first coordinates
+alone, as all combinations of steps would be too many; the distance then decides as before.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns
 from millrace.session import checkpoint
 
-MAX_DIMENSIONS = 4
+MAX_OFFSETS = 700  # combinations of cell steps that are listed
 MAX_LEVELS = 60
 
 
@@ -40,19 +41,25 @@ def _distance2(a: Column, b: Column) -> Column:
 
 
 def _offsets(dims: int) -> list[tuple[int, ...]]:
-    """Cell steps whose boxes can hold a point within eps, in units of eps / sqrt(dims)."""
+    """Steps of the first cell coordinates, as many as can be listed, whose boxes can hold a point within eps."""
     reach = math.ceil(math.sqrt(dims))
+    listed = max(1, min(dims, int(math.log(MAX_OFFSETS, 2 * reach + 1))))
     out = []
-    for step in itertools.product(range(-reach, reach + 1), repeat=dims):
+    for step in itertools.product(range(-reach, reach + 1), repeat=listed):
         gap = sum(max(abs(s) - 1, 0) ** 2 for s in step)
         if gap <= dims + 1e-9:
             out.append(step)
     return out
 
 
+def _head(cell: str | Column, offsets: list[tuple[int, ...]]) -> Column:
+    """The coordinates that the steps cover."""
+    return F.slice(cell, 1, len(offsets[0]))
+
+
 def _around(cell: Column, offsets: list[tuple[int, ...]]) -> Column:
     steps = F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in offsets])
-    return F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda a, b: a + b)))
+    return F.explode(F.transform(steps, lambda s: F.zip_with(_head(cell, offsets), s, lambda a, b: a + b)))
 
 
 def _cells(points: DataFrame, width: float) -> DataFrame:
@@ -65,16 +72,16 @@ def dbscan_points(
     """Distinct points as (z, m, cell, dense, core, noise); ``m`` counts the equal rows."""
     columns = list(columns or numeric_columns(df))
     dims = len(columns)
-    if not 1 <= dims <= MAX_DIMENSIONS:
-        raise ValueError(f"the grid handles 1 to {MAX_DIMENSIONS} columns, got {dims}")
+    if not dims:
+        raise ValueError("no numeric columns")
     points = _cells(standardised(df, columns), eps / math.sqrt(dims))
     weights = points.groupBy("cell").agg(F.sum("m").alias("cell_rows"))
     points = checkpoint(points.join(weights, "cell").withColumn("dense", F.col("cell_rows") >= min_points))
 
     offsets, limit = _offsets(dims), eps * eps
     thin = points.where(~F.col("dense")).select("z", "m", "cell")
-    reach = thin.select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("cell"))
-    near = points.select("cell", "z", "m", "dense").join(reach, "cell").where(_distance2(F.col("z"), F.col("tz")) <= limit)
+    reach = thin.select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head"))
+    near = points.select(_head("cell", offsets).alias("head"), "z", "m", "dense").join(reach, "head").where(_distance2(F.col("z"), F.col("tz")) <= limit)
     counted = near.groupBy("tz").agg(F.sum("m").alias("around"), F.max("dense").alias("by_dense"))
     judged = checkpoint(
         thin.join(counted, thin["z"] == counted["tz"]).select(
@@ -82,9 +89,9 @@ def dbscan_points(
         )
     )
     # A point that is neither core nor next to a dense cell may still touch a core point of a thin cell.
-    open_points = judged.where("not core and not by_dense").select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("cell"))
+    open_points = judged.where("not core and not by_dense").select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head"))
     touched = (
-        judged.where("core").select("z", "cell").join(open_points, "cell")
+        judged.where("core").select("z", _head("cell", offsets).alias("head")).join(open_points, "head")
         .where(_distance2(F.col("z"), F.col("tz")) <= limit).select("tz").distinct()
     )
     rest = judged.join(touched, judged["z"] == touched["tz"], "left").select(
@@ -99,11 +106,11 @@ def dbscan_points(
 
 def _thin_links(points: DataFrame, offsets, limit: float) -> DataFrame:
     """Links from core points of thin cells to core cells around them."""
-    core = points.where("core").select("cell", "z", "dense")
+    core = points.where("core").select("cell", _head("cell", offsets).alias("head"), "z", "dense")
     reach = core.where("not dense").select(
-        F.col("cell").alias("a"), F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("cell")
+        F.col("cell").alias("a"), F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head")
     )
-    near = core.join(reach, "cell").where((F.col("a") != F.col("cell")) & (_distance2(F.col("z"), F.col("tz")) <= limit))
+    near = core.join(reach, "head").where((F.col("a") != F.col("cell")) & (_distance2(F.col("z"), F.col("tz")) <= limit))
     return near.select("a", F.col("cell").alias("b")).distinct()
 
 
@@ -128,9 +135,9 @@ def _dense_links(points: DataFrame, offsets, eps: float, width: float, dims: int
     limit = eps * eps
     dense = points.where("dense").select("cell", "z")
     boxes = _boxes(dense, width, 0, dims)
-    left = boxes.select(F.col("cell").alias("a"), "sub", "rep", "lo", "hi", _around(F.col("cell"), offsets).alias("b"))
-    right = boxes.select(F.col("cell").alias("b"), *[F.col(n).alias("r_" + n) for n in ("sub", "rep", "lo", "hi")])
-    pairs = left.join(right, "b").where(F.col("a") < F.col("b"))
+    left = boxes.select(F.col("cell").alias("a"), "sub", "rep", "lo", "hi", _around(F.col("cell"), offsets).alias("head"))
+    right = boxes.select(F.col("cell").alias("b"), _head("cell", offsets).alias("head"), *[F.col(n).alias("r_" + n) for n in ("sub", "rep", "lo", "hi")])
+    pairs = left.join(right, "head").where(F.col("a") < F.col("b"))
     links = None
     for level in range(1, MAX_LEVELS):
         gap = F.zip_with(

@@ -71,9 +71,8 @@ def _gram(row, size: int) -> np.ndarray:
 def chained_impute(df: DataFrame, columns: Sequence[str], rounds: int = 8, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """Fill the missing cells of ``columns``; other columns and known cells stay as they are."""
     columns = list(columns)
-    rounds = max(2, min(20, rounds))
-    if len(columns) > 62:
-        raise ValueError("at most 62 columns can be imputed together")
+    if rounds < 1:
+        raise ValueError(f"rounds must be 1 or more, got {rounds}")
     values = [number(df, n) for n in columns]
     stats = df.agg(
         F.count("*").alias("rows"),
@@ -90,10 +89,8 @@ def chained_impute(df: DataFrame, columns: Sequence[str], rounds: int = 8, max_p
         return df.withColumns(dict(zip(columns, filled)))
     means = [m if m is not None else 0.0 for m in means]
     centred = [v - F.lit(m) for v, m in zip(values, means)]
-    bits = F.lit(0).cast("long")
-    for i, v in enumerate(values):
-        bits = bits + F.when(v.isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    marked = df.withColumn("_mask", bits)
+    # One character for each column, 1 where it is missing.
+    marked = df.withColumn("_mask", F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values]))
     if marked.select("_mask").distinct().limit(max_patterns + 1).count() > max_patterns:
         return _by_column(marked, columns, values, means, order, rounds).drop("_mask")
 
@@ -103,17 +100,17 @@ def chained_impute(df: DataFrame, columns: Sequence[str], rounds: int = 8, max_p
     for r in marked.groupBy("_mask").agg(*_gram_aggs(centred)).collect():
         mask = r["_mask"]
         grams[mask] = _gram(r, size)
-        known = np.array([1.0] + [0.0 if mask >> i & 1 else 1.0 for i in range(len(columns))])
+        known = np.array([1.0] + [0.0 if gap == "1" else 1.0 for gap in mask])
         lift[mask] = np.diag(known)
     for _ in range(rounds):
         for j in order:
-            train = sum(lift[m] @ grams[m] @ lift[m].T for m in grams if not m >> j & 1)
+            train = sum(lift[m] @ grams[m] @ lift[m].T for m in grams if m[j] == "0")
             coef = _regress(train, j + 1)
             for m in grams:
-                if m >> j & 1:
+                if m[j] == "1":
                     lift[m][j + 1] = coef @ lift[m]
-    rows = [(m, [[float(v) for v in lift[m][j + 1]] for j in range(len(columns))]) for m in lift if m]
-    table = df.sparkSession.createDataFrame(rows, "_mask bigint, _coef array<array<double>>")
+    rows = [(m, [[float(v) for v in lift[m][j + 1]] for j in range(len(columns))]) for m in lift if "1" in m]
+    table = df.sparkSession.createDataFrame(rows, "_mask string, _coef array<array<double>>")
     # One row per missing pattern, at most max_patterns.
     joined = marked.join(F.broadcast(table), "_mask", "left")
     filled = []
@@ -136,7 +133,7 @@ def _by_column(marked: DataFrame, columns, values, means, order, rounds: int) ->
     names = [f"_f{i}" for i in range(len(columns))]
     for _ in range(rounds):
         for j in order:
-            missing = F.col("_mask").bitwiseAND(F.lit(1 << j).cast("long")) != 0
+            missing = F.substring("_mask", j + 1, 1) == "1"
             row = current.where(~missing).agg(*_gram_aggs([F.col(n) for n in names])).first()
             coef = _regress(_gram(row, size), j + 1)
             guess = F.lit(float(coef[0]))

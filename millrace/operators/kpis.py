@@ -129,8 +129,11 @@ def _aggregate(df: DataFrame, kind: str, hints) -> Column | None:
     }[kind]
 
 
-def kpi_table(df: DataFrame, domain: str = "generic") -> DataFrame:
-    """(kpi, value) rows, unrounded; NULL where the table has no such column or no readable value."""
+def kpi_table(df: DataFrame, domain: str = "generic", means: int | None = None) -> DataFrame:
+    """(kpi, value) rows, unrounded; NULL where the table has no such column or no readable value.
+
+    A table of no known domain gets the mean of its first `means` numeric columns, of all by default.
+    """
     missing = F.lit(0).cast("long")
     for name in df.columns:
         missing = missing + F.count_if(F.col(quoted(name)).isNull())
@@ -149,7 +152,7 @@ def kpi_table(df: DataFrame, domain: str = "generic") -> DataFrame:
         if domain == "healthcare" and weight and height:
             measures["Mean_BMI"] = F.avg(body_mass(number(df, weight), number(df, height)))
     else:
-        for name in numeric_columns(df)[:4]:
+        for name in numeric_columns(df)[:means]:
             measures[f"Mean_{name}"] = F.avg(number(df, name))
     one = df.agg(*[m.cast("double").alias(f"m{i}") for i, m in enumerate(measures.values())])
     rows = [F.struct(F.lit(k).alias("kpi"), F.col(f"m{i}").alias("value")) for i, k in enumerate(measures)]

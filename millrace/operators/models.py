@@ -363,11 +363,11 @@ def _neighbours(train: DataFrame, test: DataFrame, width: int) -> DataFrame:
 
 
 def run_ols(df: DataFrame, target: str, key: str, features: Sequence[str] | None = None) -> dict:
-    """Least squares on up to eight features: first 80 % fitted, rest held out, with p-values, AIC and BIC."""
+    """Least squares: first 80 % fitted, rest held out, with p-values, AIC and BIC. Without `features` all numeric ones."""
     if not features:
         picked = pick_features(df, target, bounded_profile(df, 40))
         features = [f for f in picked if f != key and is_number(df.schema[f].dataType)]
-    features = list(features)[:8]
+    features = list(features)
     data = df.select(
         F.col(quoted(key)).alias("key"), number(df, target).alias("label"),
         *[number(df, n).alias(f"f{i}") for i, n in enumerate(features)],
@@ -411,7 +411,7 @@ def briefing(metrics: DataFrame) -> DataFrame:
 
 
 def bake_off(df: DataFrame, domain: str, key: str, models: Sequence[str] | None = None) -> tuple[list[dict], DataFrame]:
-    """Up to four recommended models on the domain's target, best cross-validated score first."""
+    """The given or recommended models on the domain's target, best cross-validated score first."""
     target = domain_target(df, domain)
     if target is None:
         raise ValueError("no target column found for this domain")
@@ -419,7 +419,7 @@ def bake_off(df: DataFrame, domain: str, key: str, models: Sequence[str] | None
     names = list(models or [m for m in RECOMMENDED.get(domain, []) if TASKS[m] == task])
     if not names:
         names = ["RandomForestRegressor", "XGBRegressor"] if task == "regression" else ["RandomForestClassifier", "XGBClassifier"]
-    results = [run_model(df, m, key, target, by_time=True) for m in names[:4]]
+    results = [run_model(df, m, key, target, by_time=True) for m in names]
     results.sort(key=lambda r: -r["metrics"]["cv_score"])
     board = [(i + 1, r["model"], target, float(r["metrics"]["cv_score"])) for i, r in enumerate(results)]
     return results, df.sparkSession.createDataFrame(board, "place int, model string, target string, score double")
@@ -474,13 +474,12 @@ def _trials(task: str, classes: int, trials: int, ranges: dict[str, tuple]) -> d
         forest, boosted = RandomForestRegressor(seed=42), GBTRegressor(seed=42)
     else:
         forest = RandomForestClassifier(seed=42, weightCol="weight")
-        # Boosted classifiers separate two classes only.
-        boosted = GBTClassifier(seed=42, weightCol="weight") if classes <= 2 else None
-    grids: dict = {forest: []}
-    if boosted is not None:
-        grids[boosted] = []
+        boosted = GBTClassifier(seed=42, weightCol="weight")
+    # Boosted classifiers separate two classes; for more, one is fitted for each class against the rest.
+    booster = OneVsRest(classifier=boosted, weightCol="weight") if task == "classification" and classes > 2 else boosted
+    grids: dict = {forest: [], booster: []}
     for i in range(trials):
-        if boosted is None or i % 2 == 0:
+        if i % 2 == 0:
             grid = (
                 ParamGridBuilder()
                 .addGrid(forest.numTrees, [rng.randint(*ranges["forest_trees"])])
@@ -495,5 +494,5 @@ def _trials(task: str, classes: int, trials: int, ranges: dict[str, tuple]) -> d
                 .addGrid(boosted.maxDepth, [rng.randint(*ranges["boost_depth"])])
                 .addGrid(boosted.stepSize, [math.exp(rng.uniform(*(math.log(v) for v in ranges["boost_rate"])))])
             )
-            grids[boosted] += grid.build()
+            grids[booster] += grid.build()
     return {family: grid for family, grid in grids.items() if grid}

@@ -350,10 +350,9 @@ class _Report:
         short = self._short("dbscan_noise", 20)
         if short:
             return short
-        used = self.numbers[:3]
-        found = dbscan_summary(self.df, used).first()
+        found = dbscan_summary(self.df, self.numbers).first()
         n = found["noise_points"]
-        return _row("dbscan_noise", "WARN" if n else "PASS", f"{n} noise points over {', '.join(used)}", rows=n, clusters=found["clusters"])
+        return _row("dbscan_noise", "WARN" if n else "PASS", f"{n} noise points", rows=n, clusters=found["clusters"])
 
     def kmeans_distance(self):
         short = self._short("kmeans_distance", 20)
@@ -397,8 +396,8 @@ class _Report:
         return _row("physics_rules", "FAIL" if broken else "PASS", "; ".join(f"{r['rule']}: {r['rows']} rows" for r in broken) or "none", rules=len(broken))
 
     def association(self):
-        texts = [n for n in string_columns(self.df) if self.profile[n]["distinct"] <= 12][:4]
-        n = association_of_highs(self.df, texts, self.numbers[:6]).where("suspicious").count()
+        texts = [n for n in string_columns(self.df) if self.profile[n]["distinct"] <= 12]
+        n = association_of_highs(self.df, texts, self.numbers).where("suspicious").count()
         return _row("association", "WARN" if n else "PASS", f"{n} suspicious rules", rows=n)
 
     def rowcount(self):

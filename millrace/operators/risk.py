@@ -83,7 +83,7 @@ def risk_score(df: DataFrame, domain: str, order_by: Sequence[str], entity: str
     work = checkpoint(add_features(df, domain, order_by))
     rules = rule_risk(work, domain, order_by, entity)
     label = resolve(work.columns, *LABELS)
-    names = [n for n in numeric_columns(work) if n != label][:12]
+    names = [n for n in numeric_columns(work) if n != label]
     filled = work.select(
         *[F.col(quoted(o)).alias(f"_o{i}") for i, o in enumerate(order_by)],
         *[F.coalesce(number(work, n), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)],

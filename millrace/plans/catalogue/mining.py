@@ -134,15 +134,15 @@ def knn_join(t):
 @query(
     "knn_classify",
     """WITH d AS (SELECT a.vec_id AS vec_id, b.label AS label, ROW_NUMBER() OVER (PARTITION BY a.vec_id
-                  ORDER BY LIST_DISTANCE(a.embedding[1:8]::DOUBLE[], b.embedding[1:8]::DOUBLE[]), b.vec_id) AS rank
-                  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label < 3 AND b.label >= 3),
+                  ORDER BY LIST_DISTANCE(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
+                  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
             v AS (SELECT vec_id, label, COUNT(*) AS votes FROM d WHERE rank <= 5 GROUP BY 1, 2)
        SELECT vec_id, label AS prediction FROM v QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) = 1""",
 )
 def knn_class(t):
-    wide = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].alias(f"x{i}") for i in range(8)])
-    names = [f"x{i}" for i in range(8)]
-    return rounded(knn_classify(wide.where("label >= 3"), wide.where("label < 3"), names, "label", "vec_id", 5))
+    names = [f"x{i}" for i in range(64)]
+    wide = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    return rounded(knn_classify(wide.where("vec_id % 5 <> 0"), wide.where("vec_id % 5 = 0"), names, "label", "vec_id", 5))
 
 
 @query("iterative_impute")
@@ -192,7 +192,7 @@ for _model in mo.TASKS:
     def _fit(t, model=_model):
         target = "churn" if mo.TASKS[model] == "classification" else "paid"
         columns = [c for c in _FEATURES if model != "StatsmodelsOLS" or c in ("balance", "line_count", "qty")]
-        result = mo.run_model(_lines(t), model, "o_orderkey", target, cross_validate=model in ("LogisticRegression", "Ridge"), features=columns)
+        result = mo.run_model(_lines(t), model, "o_orderkey", target, features=columns)
         return rounded(mo.metrics_table(t.spark, [result]), 4)
 
 
@@ -213,7 +213,7 @@ def ols_coefficients(t):
 @query("model_briefing")
 def model_briefing(t):
     fits = [
-        mo.run_model(_lines(t), m, "o_orderkey", target, cross_validate=False, features=_FEATURES)
+        mo.run_model(_lines(t), m, "o_orderkey", target, features=_FEATURES)
         for m, target in (("DecisionTreeClassifier", "churn"), ("LinearRegression", "paid"))
     ]
     return mo.briefing(mo.metrics_table(t.spark, fits))
@@ -221,7 +221,7 @@ def model_briefing(t):
 
 @query("model_bake_off")
 def bake_off(t):
-    _, board = mo.bake_off(_lines(t).drop("revenue"), "telecom_churn", "o_orderkey", ["DecisionTreeClassifier", "LogisticRegression"])
+    _, board = mo.bake_off(_lines(t).drop("revenue"), "telecom_churn", "o_orderkey")
     return rounded(board, 4)
 
 

@@ -165,7 +165,7 @@ def iforest_rows(t):
 
 @query("dbscan_summary")
 def dbscan(t):
-    return dbscan_summary(t.readings, ["vibration", "speed"])
+    return dbscan_summary(t.readings, ["vibration", "speed", "pressure", "temperature", "rul"])
 
 
 @query(
@@ -186,7 +186,7 @@ def dbscan_noise(t):
 
 @query(
     "knn_outliers",
-    """WITH d AS (SELECT a.vec_id AS vec_id, b.vec_id AS other, LIST_DISTANCE(a.embedding[1:8]::DOUBLE[], b.embedding[1:8]::DOUBLE[]) AS distance
+    """WITH d AS (SELECT a.vec_id AS vec_id, b.vec_id AS other, LIST_DISTANCE(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
                   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
             k AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY distance, other) <= 10),
             m AS (SELECT vec_id, AVG(distance) AS knn_distance FROM k GROUP BY vec_id)
@@ -194,8 +194,9 @@ def dbscan_noise(t):
               knn_distance > (SELECT AVG(knn_distance) + 3 * STDDEV_POP(knn_distance) FROM m) AS outlier FROM m""",
 )
 def knn_outlier_rows(t):
-    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    return rounded(knn_outliers(wide, [f"x{i}" for i in range(8)], "vec_id", 10))
+    names = [f"x{i}" for i in range(64)]
+    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return rounded(knn_outliers(wide, names, "vec_id", 10))
 
 
 _GIVEN = {

@@ -476,7 +476,7 @@ def live_alerts_stream(t):
 def live_buffer(t):
     out = _scratch(t, "buffer")
     live.append_buffer(_stream(t), out, _scratch(t, "buffer-state"), key=("event_id",)).awaitTermination()
-    return live.read_buffer(t.spark, out, tie=("event_id",)).select("device", "event_id", "vibration")
+    return live.read_buffer(t.spark, out, 50_000, tie=("event_id",)).select("device", "event_id", "vibration")
 
 
 @query(

@@ -28,7 +28,6 @@ REGISTERS = {
     "load": (9, 0.1),
 }
 METRICS = list(REGISTERS) + ["voltage", "current"]
-BUFFER_ROWS = 50_000
 POLL = "5 seconds"
 
 
@@ -63,8 +62,8 @@ def append_buffer(stream: DataFrame, folder: str, checkpoint: str, once: bool =
     return writer.outputMode("append").start()
 
 
-def read_buffer(spark: SparkSession, folder: str, rows: int | None = BUFFER_ROWS, tie: tuple[str, ...] = ("device",)) -> DataFrame:
-    """The buffer table, limited to the newest rows on reading."""
+def read_buffer(spark: SparkSession, folder: str, rows: int | None = None, tie: tuple[str, ...] = ("device",)) -> DataFrame:
+    """The buffer table; `rows` is a retention rule that keeps the newest ones on reading, by default all."""
     df = spark.read.parquet(folder).drop("day")
     return df if rows is None else last_rows(df, rows, ["timestamp", *tie])
 

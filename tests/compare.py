@@ -41,7 +41,7 @@ def _plain(value):
 def rows_of(columns, rows) -> tuple[list[str], list[tuple]]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     plain = [tuple(_plain(r[i]) for i in order) for r in rows]
-    return [columns[i] for i in order], sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r) if False else repr(r))
+    return [columns[i] for i in order], sorted(plain, key=repr)
 
 
 def compare(df, con, sql: str) -> str | None:
@@ -65,7 +65,7 @@ def main() -> int:
     names = sys.argv[2:] or list(QUERIES)
     names = [q for q in QUERIES if any(q == n or (n.endswith("*") and q.startswith(n[:-1])) for n in names)]
     spark = build_session("compare", "local[8]", {
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.codegen.cache.maxEntries": "400",
     })
     spark.sparkContext.setLogLevel("ERROR")
