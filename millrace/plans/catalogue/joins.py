@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.joins import join_many, join_two
 from millrace.operators.shape import append
-from millrace.plans.catalogue.base import query, rounded
-from millrace.plans.sql_lab import run_sql
+from millrace.plans.catalogue.base import query, rounded, with_derived
+from millrace.plans.sql_lab import Workspace, run_sql, summarize
 
 
 def _keyed(t):
@@ -224,3 +224,62 @@ sql_query(
     """SELECT event_type, AVG(value) AS avg_value, COUNT(*) AS n FROM events GROUP BY event_type ORDER BY avg_value DESC""",
     """SELECT event_type, ROUND(AVG(value), 6) AS avg_value, COUNT(*) AS n FROM events GROUP BY event_type""",
 )
+
+sql_query(
+    "sql_full_right",
+    """SELECT COALESCE(c_nationkey, s_nationkey) AS nation, COUNT(c_custkey) AS customers, COUNT(s_suppkey) AS suppliers, r_name AS region
+       FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON c_nationkey = s_nationkey
+       RIGHT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) n ON n_nationkey = COALESCE(c_nationkey, s_nationkey)
+       GROUP BY COALESCE(c_nationkey, s_nationkey), r_name""",
+)
+sql_query(
+    "sql_cross_theta",
+    """SELECT a.n_name AS one, b.n_name AS two, r_name FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey
+       CROSS JOIN region WHERE r_regionkey = b.n_regionkey""",
+)
+sql_query(
+    "sql_lateral",
+    """SELECT n_name, best.c_custkey, best.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer
+       WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) best""",
+)
+sql_query(
+    "sql_unpivot",
+    """SELECT l_returnflag, measure, ROUND(SUM(v), 4) AS total FROM (SELECT l_returnflag, l_discount, l_tax FROM lineitem)
+       UNPIVOT (v FOR measure IN (l_discount, l_tax)) GROUP BY l_returnflag, measure""",
+)
+sql_query(
+    "sql_range_frame",
+    """SELECT o_orderkey, SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near
+       FROM orders""",
+    """SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING), 2) AS near
+       FROM orders""",
+    2,
+)
+
+
+def _summary_check(table: str, columns: dict[str, str]) -> str:
+    parts = []
+    for name, kind in columns.items():
+        avg, std = (f"AVG({name})", f"STDDEV_SAMP({name})") if kind in ("bigint", "int", "double") else ("NULL", "NULL")
+        parts.append(
+            f"SELECT '{name}' AS column_name, '{kind}' AS column_type, ROUND(CAST({avg} AS DOUBLE), 4) AS avg, ROUND(CAST({std} AS DOUBLE), 4) AS std, COUNT({name}) AS count, "
+            f"ROUND(100.0 * (COUNT(*) - COUNT({name})) / COUNT(*), 4) AS null_percentage FROM {table}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("sql_summarize", with_derived(_summary_check("patients", {"event_id": "bigint", "patient_id": "bigint", "age": "double", "bp": "double"}), ("patients",)))
+def sql_summarize(t):
+    found = summarize(t.patients.select("event_id", "patient_id", "age", "bp"))
+    return rounded(found.drop("min", "max", "approx_unique"), 4)
+
+
+@query(
+    "joined_workspace",
+    """SELECT n_name, COUNT(*) AS customers, ROUND(SUM(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+)
+def joined_workspace(t):
+    """A join becomes the table `joined`, and SQL goes on from there."""
+    work = Workspace(t.spark, {"customer": t.customer, "nation": t.nation})
+    work.join("customer", "nation", "inner", left_on="c_nationkey", right_on="n_nationkey")
+    return rounded(work.sql("SELECT n_name, COUNT(*) AS customers, SUM(c_acctbal) AS balance FROM joined GROUP BY n_name"), 2)

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 
 from millrace.operators.joins import join_many, join_two, suggest_keys
-from millrace.plans.sql_lab import example_queries, run_sql
+from millrace.plans.sql_lab import Workspace, example_queries, run_sql
 
 
 def frames(spark):
@@ -64,9 +64,27 @@ def test_gate_accepts_queries(spark, loads):
         "WITH t AS (SELECT * FROM my_table) INSERT INTO my_table SELECT * FROM t",
         "FROM my_table INSERT INTO my_table SELECT *", "SELECT 1; SELECT 2",
         "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+        "SELECT java_method('java.lang.System', 'setProperty', 'zz', '1') FROM my_table",
+        "SELECT * FROM my_table WHERE id IN (SELECT reflect('java.lang.Math', 'abs', 1))",
+        "WITH t AS (SELECT try_reflect('java.lang.System', 'exit', 0) AS x) SELECT x FROM t",
+        "SELECT id FROM my_table ORDER BY (SELECT MAX(java_method('java.lang.Math', 'abs', id)) FROM my_table)",
+        "SELECT no_such_function(id) FROM my_table", "SELECT * FROM other_table", "SELECT * FROM spark_catalog.default.my_table",
+        "SELECT * FROM IDENTIFIER('my_table')",
     ],
 )
 def test_gate_refuses(spark, loads, text):
     with pytest.raises(ValueError):
         run_sql(spark, text, loads)
-    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_gate_refuses_own_functions(spark, loads):
+    spark.udf.register("twice", lambda x: 2 * x, "int")
+    with pytest.raises(ValueError):
+        run_sql(spark, "SELECT twice(id) FROM my_table", loads)
+
+
+def test_workspace(spark, loads):
+    work = Workspace(spark, {**loads, "names": spark.createDataFrame([(1, "x")], "id int, name string")})
+    assert work.active == "names" and work.join("my table", "names", "left", on=["id"]).count() == 2
+    assert work.active == "joined" and ("joined", 3, True) in work.listing() and work.working().columns == ["id", "load", "name"]
+    assert work.sql("SELECT COUNT(name) AS n FROM joined").first()["n"] == 1
