@@ -13,25 +13,33 @@ from millrace.functions.cast import moment
 from millrace.operators.clean import cast_texts
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the columns are typed by their content in one aggregation."""
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_text_table(
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header. Without a schema the columns are typed by their content in one aggregation.
+
+    Files are split among the tasks unless `multi_line` says that quoted values hold line breaks; then one task reads a file.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return cast_texts(reader.csv(path))[0]
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a file or folder by its extension; a ``timestamp`` column is parsed, unreadable values become NULL."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Read a file or folder by its extension; a ``timestamp`` column is parsed, unreadable values become NULL.
+
+    JSON has one object, or one array of objects, on each line; `multi_line` reads records that go over several lines.
+    """
     low = path.lower().rstrip("/")
     if low.endswith((".xlsx", ".xls", ".xlsm")):
         return read_excel(spark, path, schema)
     if low.endswith(".json"):
-        reader = spark.read.option("multiLine", True)
+        reader = spark.read.option("multiLine", multi_line)
         return (reader.schema(schema) if schema is not None else reader).json(path)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
-    df = read_text_table(spark, path, "\t" if low.endswith(".tsv") else ",", schema)
+    df = read_text_table(spark, path, "\t" if low.endswith(".tsv") else ",", schema, multi_line)
     if "timestamp" in df.columns and not low.endswith(".tsv"):
         df = df.withColumn("timestamp", moment(df, "timestamp"))
     return df
