@@ -43,7 +43,7 @@ def top_with_other(groups: DataFrame, n: int = 8, label: str = "label", value: s
 
 def repeatable_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows chosen by a hash of a unique key: the same rows in every run and layout."""
-    order = F.xxhash64(*[c(k) for k in key], F.lit(seed))
+    order = F.md5(F.concat_ws("|", *[F.coalesce(c(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed))))
     return df.orderBy(order, *[c(k) for k in key]).limit(n)
 
 

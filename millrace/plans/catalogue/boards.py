@@ -57,6 +57,9 @@ def board_share(t):
 
 @query(
     "board_scatter",
+    """SELECT ROUND(vibration, 6) AS x, ROUND(temperature, 6) AS y, CAST(failure AS VARCHAR) AS colour FROM readings
+       WHERE vibration IS NOT NULL AND temperature IS NOT NULL ORDER BY MD5(event_id || '|42'), event_id LIMIT 3500""",
+    using=("readings",),
 )
 def board_scatter(t):
     return rounded(Board(t.readings, ["event_id"], "predictive_maintenance").scatter())
@@ -172,6 +175,9 @@ def head_preview(t):
     return t.orders.orderBy("o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("repeatable_sample")
+@query(
+    "repeatable_sample",
+    """SELECT * FROM orders ORDER BY MD5(o_orderkey || '|' || o_custkey || '|42'), o_orderkey, o_custkey LIMIT 1500""",
+)
 def sample(t):
-    return repeatable_sample(t.lineitem, 3500, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return repeatable_sample(t.orders, 1500, ["o_orderkey", "o_custkey"])

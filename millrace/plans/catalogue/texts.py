@@ -433,9 +433,9 @@ def live_latest(t):
 )
 def live_latest_stream(t):
     """The same rows from the events read as a stream."""
-    name = f"latest_{uuid.uuid4().hex}"
-    live.start_latest(_stream(t), "device", "timestamp", "event_id", name).awaitTermination()
-    return t.spark.table(name).drop("timestamp")
+    out = _scratch(t, "latest")
+    live.start_latest(_stream(t), "device", "timestamp", "event_id", out, _scratch(t, "latest-state")).awaitTermination()
+    return live.read_latest(t.spark, out).drop("timestamp", "event_id")
 
 
 _ALERTS = """, w AS (SELECT CAST(timestamp AS DATE) AS day, device, COUNT(*) AS rows, AVG(vibration) AS mean_vibration,
@@ -489,6 +489,42 @@ def live_trend(t):
     return rounded(live.recent_trend(_live_rows(t.events), "vibration", ["timestamp", "event_id"]), 8)
 
 
-@query("live_insights")
+@query(
+    "live_trend_stream",
+    f"""WITH {_DECODED}, l AS (SELECT * FROM d ORDER BY timestamp DESC, event_id DESC LIMIT 50),
+             i AS (SELECT vibration, ROW_NUMBER() OVER (ORDER BY timestamp, event_id) - 1 AS pos FROM l)
+        SELECT ROUND(REGR_SLOPE(vibration, pos), 8) AS slope, COUNT(*) AS points, ROUND(ARG_MAX(vibration, pos), 6) AS last_value FROM i""",
+)
+def live_trend_stream(t):
+    """The trend of the newest rows, kept up to date by a stream job."""
+    out = _scratch(t, "trend")
+    live.start_trend(_stream(t), "vibration", ["timestamp", "event_id"], out, _scratch(t, "trend-state")).awaitTermination()
+    return rounded(live.read_latest(t.spark, out).drop("_rows"), 8)
+
+
+@query(
+    "live_forecast",
+    f"""WITH {_DECODED}, l AS (SELECT * FROM d ORDER BY timestamp DESC, event_id DESC LIMIT 500),
+             i AS (SELECT vibration, ROW_NUMBER() OVER (ORDER BY timestamp, event_id) - 1 AS pos FROM l),
+             f AS (SELECT REGR_SLOPE(vibration, pos) AS a, REGR_INTERCEPT(vibration, pos) AS b, COUNT(*) AS n FROM i)
+        SELECT CAST(s AS BIGINT) AS step, ROUND(b + a * (n - 1 + s), 6) AS yhat FROM f, UNNEST(GENERATE_SERIES(1, 24)) u(s)""",
+)
+def live_forecast(t):
+    """A straight line through the newest 500 values, 24 steps on."""
+    return rounded(live.recent_forecast(_live_rows(t.events), "vibration", ["timestamp", "event_id"]))
+
+
+@query(
+    "live_insights",
+    f"""WITH {_DECODED}, l AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1),
+             m AS (SELECT device, AVG(vibration) AS mean_v, COUNT(*) AS n FROM d GROUP BY device),
+             b AS (SELECT device, LIST_FILTER([FORMAT('Buffer {{}} rows', n),
+                     CASE WHEN vibration > mean_v * 1.5 + 0.1 THEN FORMAT('Vibration spike {{:.3f}} (mean {{:.3f}}): inspect bearings.', vibration, mean_v)
+                          ELSE FORMAT('Vibration {{:.3f}} within recent envelope.', vibration) END,
+                     FORMAT('Temperature {{:.2f}}', temperature),
+                     CASE WHEN failure >= 1 THEN 'Failure flag 1 on the latest packet: open a maintenance ticket.' END], lambda x: x IS NOT NULL) AS lines
+                   FROM l JOIN m USING (device))
+        SELECT device, UNNEST(GENERATE_SERIES(0, LEN(lines) - 1)) AS seq, UNNEST(lines) AS line FROM b""",
+)
 def live_insights(t):
     return rounded(live.insights(_live_rows(t.events), "device", "timestamp", "event_id"))

@@ -6,12 +6,14 @@ stream. Times are event times; late rows are cut off by the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ordering import row_index
 from millrace.operators.windows import last_rows, trend_slope
 
 # Register name -> (address, scale).
@@ -114,19 +116,85 @@ def start_alerts(stream: DataFrame, entity: str, time: str, tie: str, folder: st
     return writer.outputMode("append").start()
 
 
-def start_latest(stream: DataFrame, entity: str, time: str, tie: str, name: str, checkpoint: str | None = None, once: bool = True):
-    """Keep the latest values per machine in an in-memory view, for boards."""
-    writer = latest_values(stream, entity, time, tie).writeStream.format("memory").queryName(name).outputMode("complete")
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+def _replace(df: DataFrame, folder: str, batch: int) -> None:
+    """Write a state beside the former one and point to it last, so readers and repeated batches see a whole one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{folder}/state={batch}")
+    spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{folder}/done")
+
+
+def _state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest whole state, or the newest before a batch that is being repeated."""
+    try:
+        done = spark.read.schema("batch long").parquet(f"{folder}/done")
+    except AnalysisException:
+        return None
+    newest = (done if before is None else done.where(F.col("batch") < before)).agg(F.max("batch").alias("b")).first()["b"]
+    return None if newest is None else spark.read.parquet(f"{folder}/state={newest}")
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """What a job of this module has kept up to date in a folder."""
+    state = _state(spark, folder)
+    if state is None:
+        raise ValueError(f"nothing has been written to {folder} yet")
+    return state
+
+
+def _upsert(stream: DataFrame, folder: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], once: bool):
+    """Merge every batch into the table kept in a folder; nothing passes through the driver."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        _replace(merge(_state(batch.sparkSession, folder, number), batch), folder, number)
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
 
 
+def start_latest(stream: DataFrame, entity: str, time: str, tie: str, folder: str, checkpoint: str, once: bool = True):
+    """Keep the latest values per machine as a table of one row for each."""
+    columns = [c for c in METRICS if c in stream.columns]
+
+    def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        both = batch.select(entity, time, tie, *columns)
+        if state is not None:
+            both = both.unionByName(state)
+        rank = F.struct(time, tie)
+        return both.groupBy(entity).agg(F.max_by(F.struct(time, tie, *columns), rank).alias("_last")).select(entity, "_last.*")
+
+    return _upsert(stream, folder, checkpoint, merge, once)
+
+
+def start_trend(stream: DataFrame, value: str, order_by: list[str], folder: str, checkpoint: str, last: int = 50, once: bool = True):
+    """Keep the slope over the newest rows up to date; between batches only those rows are kept, beside the figures."""
+
+    def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.select(*order_by, value).where(F.col(value).isNotNull())
+        if state is not None:
+            rows = rows.unionByName(state.select(F.explode("_rows").alias("r")).select("r.*"))
+        newest = last_rows(rows, last, order_by)
+        # At most `last` rows are gathered.
+        kept = newest.agg(F.collect_list(F.struct(*order_by, value)).alias("_rows"))
+        # One row on either side.
+        return trend_slope(newest, value, order_by).join(kept)
+
+    return _upsert(stream, folder, checkpoint, merge, once)
+
+
 def recent_trend(buffer: DataFrame, value: str, order_by: list[str], last: int = 50) -> DataFrame:
     """Slope over the newest rows of the buffer."""
     return trend_slope(buffer, value, order_by, last)
 
 
+def recent_forecast(buffer: DataFrame, value: str, order_by: list[str], last: int = 500, steps: int = 24) -> DataFrame:
+    """(step, yhat): the least-squares line through the newest known values, carried on."""
+    known = last_rows(buffer.where(F.col(value).isNotNull()).select(*order_by, value), last, order_by)
+    at, y = F.col("_at").cast("double"), F.col(value).cast("double")
+    line = row_index(known, order_by, "_at").agg(F.regr_slope(y, at).alias("a"), F.regr_intercept(y, at).alias("b"), F.count("*").alias("n"))
+    ahead = line.select("a", "b", "n", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    return ahead.select(F.col("step").cast("long").alias("step"), (F.col("b") + F.col("a") * (F.col("n") - 1 + F.col("step"))).alias("yhat"))
+
+
 def insights(df: DataFrame, entity: str, time: str, tie: str) -> DataFrame:
     """(entity, seq, line): what a right-hand rail would say about every machine."""
     latest = latest_values(df, entity, time, tie).alias("l")

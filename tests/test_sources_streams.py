@@ -94,11 +94,28 @@ def test_late_rows_are_cut(spark, tmp_path):
 def test_latest_stream_equals_batch(spark, tmp_path):
     rows = [(m, f"M{m % 3}", [700 + m] * 10) for m in range(30)]
     landed = str(tmp_path / "landed")
-    raw(spark, rows).write.parquet(landed)
-    stream = live.decode(live.as_stream(spark, landed, raw(spark, []).schema))
-    live.start_latest(stream, "device", "timestamp", "source", "latest_test").awaitTermination()
+    kept, state = str(tmp_path / "kept"), str(tmp_path / "state")
     batch = live.latest_values(live.decode(raw(spark, rows)), "device", "timestamp", "source")
-    assert sorted(map(str, spark.table("latest_test").collect())) == sorted(map(str, batch.collect()))
+    with pytest.raises(ValueError):
+        live.read_latest(spark, kept)
+    # Landed and read in two goes; the second run goes on from the first.
+    for part in (rows[:17], rows[17:]):
+        raw(spark, part).write.mode("append").parquet(landed)
+        stream = live.decode(live.as_stream(spark, landed, raw(spark, []).schema, per_trigger=1))
+        live.start_latest(stream, "device", "timestamp", "source", kept, state).awaitTermination()
+    assert sorted(map(str, live.read_latest(spark, kept).drop("source").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_trend_stream_equals_batch(spark, tmp_path):
+    rows = [(m, "M1", [700 + (m * 7) % 13, 100 + (m * 5) % 11, 50, 2400, 100, 1500, 30, 90, 0, 400]) for m in range(40)]
+    landed, kept, state = (str(tmp_path / n) for n in ("landed", "kept", "state"))
+    for part in (rows[:25], rows[25:]):
+        raw(spark, part).write.mode("append").parquet(landed)
+        stream = live.decode(live.as_stream(spark, landed, raw(spark, []).schema, per_trigger=1))
+        live.start_trend(stream, "vibration", ["timestamp"], kept, state, last=20).awaitTermination()
+    want = live.recent_trend(live.decode(raw(spark, rows)), "vibration", ["timestamp"], 20).first()
+    got = live.read_latest(spark, kept).first()
+    assert got["points"] == want["points"] == 20 and abs(got["slope"] - want["slope"]) < 1e-12 and got["last_value"] == want["last_value"]
 
 
 def test_expired_days(spark):
