@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +20,25 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "millrace", master: str | None = None, extra: dict | None = None) -> SparkSession:
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, for sessions whose workers don't have it installed."""
+    root = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    return spark
+
+
+def build_session(app: str = "millrace", master: str | None = None, extra: dict | None = None, shipped: bool = False) -> SparkSession:
+    """A session with this package's settings. `shipped` sends the package to the executors."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate()) if shipped else builder.getOrCreate()
 
 
 def tune(spark: SparkSession) -> SparkSession:
