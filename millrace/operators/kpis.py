@@ -9,6 +9,7 @@ from millrace.functions.cast import as_time, moment, number
 from millrace.functions.names import is_time, numeric_columns, quoted, resolve
 from millrace.operators.ordering import row_index
 from millrace.operators.windows import trend_slope
+from millrace.operators.profile import distinct_counts
 
 # KPI name -> (aggregate, column hints in order of preference).
 PACKS = {
@@ -143,9 +144,12 @@ def kpi_table(df: DataFrame, domain: str = "generic", means: int | None = None)
         "Cols": F.lit(float(len(df.columns))),
         "Missing%": missing / cells * 100,
     }
+    counted: dict[str, str] = {}
     if domain in PACKS:
         for kpi, (kind, *hints) in PACKS[domain].items():
             agg = _aggregate(df, kind, hints)
+            if kind.startswith("distinct") and resolve(df.columns, *hints):
+                counted[kpi] = resolve(df.columns, *hints)
             if agg is not None or kind in ("mean", "sum"):
                 measures[kpi] = F.lit(None).cast("double") if agg is None else agg
         weight, height = resolve(df.columns, "weight"), resolve(df.columns, "height")
@@ -154,9 +158,20 @@ def kpi_table(df: DataFrame, domain: str = "generic", means: int | None = None)
     else:
         for name in numeric_columns(df)[:means]:
             measures[f"Mean_{name}"] = F.avg(number(df, name))
+    if len(counted) > 1:
+        # Several count(distinct) in one aggregation would copy every row for each; pairs are counted beside it.
+        measures.update({k: F.lit(None) for k in counted})
     one = df.agg(*[m.cast("double").alias(f"m{i}") for i, m in enumerate(measures.values())])
     rows = [F.struct(F.lit(k).alias("kpi"), F.col(f"m{i}").alias("value")) for i, k in enumerate(measures)]
-    return one.select(F.inline(F.array(*rows)))
+    flat = one.select(F.inline(F.array(*rows)))
+    if len(counted) < 2:
+        return flat
+    numbers = distinct_counts(df.select(*[F.col(quoted(n)).alias(f"d{i}") for i, n in enumerate(counted.values())]))
+    named = F.get(F.array(*[F.lit(k) for k in counted]), F.col("i"))
+    # One row for each distinct count.
+    joined = flat.join(F.broadcast(numbers.select(named.alias("of"), "distinct")), F.col("kpi") == F.col("of"), "left")
+    value = F.when(F.col("kpi").isin(*counted), F.coalesce("distinct", F.lit(0)).cast("double")).otherwise(F.col("value"))
+    return joined.select("kpi", value.alias("value"))
 
 
 def filter_columns(columns) -> dict[str, str | None]:

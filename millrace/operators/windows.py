@@ -106,8 +106,8 @@ def extremes(df: DataFrame, group: str, metric: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, text: str, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """Drop texts that repeat an earlier one apart from blanks and case."""
-    key = F.lower(F.trim(F.regexp_replace(c(text), r"\s+", " ")))
+    """Drop texts that repeat an earlier one apart from blanks and case. Their 128-bit hashes travel, not the texts."""
+    key = F.md5(F.lower(F.trim(F.regexp_replace(c(text), r"\s+", " "))))
     keyed = df.withColumn("_key", key)
     rank = F.struct(*[c(o) for o in order_by])
     whole = F.struct(*[c(n) for n in df.columns])
