@@ -112,3 +112,20 @@ def outlook(points: DataFrame, target: str, periods: int | None = None) -> DataF
         F.lit(target), direction, F.abs(pct), F.lit(float(last)), F.col("forecast"),
     )
     return ahead.select(F.lit(float(last)).alias("last"), "forecast", "until", pct.alias("pct"), text.alias("sentence"))
+
+
+def forecast_by_series(points: DataFrame, key: str, periods: int = 30) -> DataFrame:
+    """(key, ds, yhat, yhat_lower, yhat_upper): each series of (key, ds date, y) carried on by its own straight line.
+
+    One aggregation fits all series; the band is that of the residuals. Series with fewer than three points are left out.
+    """
+    day = F.datediff("ds", F.lit("1970-01-01")).cast("double")
+    line = points.where("ds IS NOT NULL AND y IS NOT NULL").groupBy(key).agg(
+        F.regr_slope("y", day).alias("a"), F.regr_intercept("y", day).alias("b"), F.regr_sxx("y", day).alias("sxx"),
+        F.regr_syy("y", day).alias("syy"), F.count("*").alias("n"), F.max("ds").alias("last"),
+    ).where("n >= 3 AND sxx > 0")
+    sigma = F.sqrt(F.greatest(F.col("syy") - F.col("a") * F.col("a") * F.col("sxx"), F.lit(0.0)) / F.col("n"))
+    ahead = line.select("*", sigma.alias("sigma"), F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    ds = F.date_add("last", F.col("step"))
+    yhat = F.col("b") + F.col("a") * F.datediff(ds, F.lit("1970-01-01"))
+    return ahead.select(key, ds.alias("ds"), yhat.alias("yhat"), (yhat - INTERVAL * F.col("sigma")).alias("yhat_lower"), (yhat + INTERVAL * F.col("sigma")).alias("yhat_upper"))

@@ -6,7 +6,7 @@ from millrace.functions.cast import moment
 from millrace.operators import models as mo
 from millrace.operators.baskets import baskets_from_pairs, baskets_from_rows, frequent_itemsets, mine_rules
 from millrace.operators.cluster import assign_kmeans, principal_components
-from millrace.operators.forecast import daily_last, forecast, outlook
+from millrace.operators.forecast import forecast_by_series, daily_last, forecast, outlook
 from millrace.operators.impute import chained_impute, imputation_preview
 from millrace.operators.neighbours import knn, knn_classify
 from millrace.plans.catalogue.base import query, rounded
@@ -164,6 +164,23 @@ def forecast_sales(t):
     return rounded(ahead.select(F.date_format("ds", "yyyy-MM-dd").alias("ds"), "yhat", "yhat_lower", "yhat_upper"), 2)
 
 
+@query(
+    "forecast_by_series",
+    """WITH p AS (SELECT o_custkey AS series, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS y FROM orders),
+            l AS (SELECT series, REGR_SLOPE(y, DATE_DIFF('day', DATE '1970-01-01', ds)) AS a, REGR_INTERCEPT(y, DATE_DIFF('day', DATE '1970-01-01', ds)) AS b,
+                         REGR_SXX(y, DATE_DIFF('day', DATE '1970-01-01', ds)) AS sxx, REGR_SYY(y, DATE_DIFF('day', DATE '1970-01-01', ds)) AS syy,
+                         COUNT(*) AS n, MAX(ds) AS last FROM p GROUP BY series),
+            a AS (SELECT series, n, SQRT(GREATEST(syy - a * a * sxx, 0) / n) AS sigma, a, b, last + CAST(s AS INTEGER) AS ds FROM l, UNNEST(GENERATE_SERIES(1, 7)) u(s) WHERE n >= 3 AND sxx > 0),
+            f AS (SELECT series, ds, sigma, b + a * DATE_DIFF('day', DATE '1970-01-01', ds) AS yhat FROM a)
+       SELECT series, STRFTIME(ds, '%Y-%m-%d') AS ds, ROUND(yhat, 2) AS yhat, ROUND(yhat - 1.2816 * sigma, 2) AS yhat_lower,
+              ROUND(yhat + 1.2816 * sigma, 2) AS yhat_upper FROM f""",
+)
+def forecast_series(t):
+    points = t.orders.select(F.col("o_custkey").alias("series"), F.to_date("o_orderdate").alias("ds"), F.col("o_totalprice").alias("y"))
+    found = forecast_by_series(points, "series", 7)
+    return rounded(found.withColumn("ds", F.date_format("ds", "yyyy-MM-dd")), 2)
+
+
 @query("forecast_outlook")
 def forecast_outlook(t):
     points = daily_last(t.events, moment(t.events, "ts"), F.col("value"), F.col("event_id"))
