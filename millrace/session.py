@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +62,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Folders of the tables written inside `temporary_tables` blocks, innermost last.
+_MADE: list[list[str]] = []
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the checkpoint tables written inside the block when it ends.
+
+    Write or collect results inside the block: what still reads those tables cannot be run after it.
+    """
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for folder in _MADE.pop():
+            drop_folder(spark, folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: write the table to the checkpoint folder and read it back.
 
-    Unlike a checkpointed RDD the written table has a known size, so Spark may still broadcast it when it is
+    The table stays until the folder is cleared, or until the `temporary_tables` block it was written in ends. Unlike a checkpointed RDD the written table has a known size, so Spark may still broadcast it when it is
     small, and reads only the columns asked for.
     """
     folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
