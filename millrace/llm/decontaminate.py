@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import spare_name, word_array, words
+from millrace.llm.words import slices, spare_name, word_array, words
 
 WINDOW = 13
 SHINGLE = 3
@@ -70,8 +70,8 @@ def _counted(block: Block):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(v), np.int64) for n, v in known.items()}
-        for batch in batches:
-            parsed = words(batch.column(0))
+        for some in (some for batch in batches for some in slices(batch.column(0))):
+            parsed = words(some)
             for n, values in known.items():
                 found, _ = parsed.shingles(n)
                 place = np.minimum(np.searchsorted(values, found), len(values) - 1)
@@ -101,6 +101,14 @@ def _with_probes(block: Block, held: dict[tuple[int, int], int]) -> Block:
 
 
 def _marks(block: Block, texts: pa.Array, before: pa.Array | None) -> pa.Array:
+    parts, at = [], 0
+    for some in slices(texts):
+        parts.append(_marked(block, some, None if before is None else before.slice(at, len(some))))
+        at += len(some)
+    return pa.concat_arrays(parts) if parts else _marked(block, texts, before)
+
+
+def _marked(block: Block, texts: pa.Array, before: pa.Array | None) -> pa.Array:
     parsed = words(texts)
     owner = parsed.text_of()
     places, windows = [], []

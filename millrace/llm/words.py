@@ -6,6 +6,7 @@ character outside ASCII is 0x80 or more, the split works on UTF-8 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _draw.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def lowered(text: Column) -> Column:
@@ -100,23 +102,40 @@ class Words:
         return b" ".join(self.data[self.start[k] : self.start[k + 1]].tobytes() for k in range(i, i + n))
 
 
+def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
+    """The texts in order, some at a time, of about `most` bytes or one longer text."""
+    _, at = flat(texts)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 def words(texts: pa.Array) -> Words:
+    """Takes about thirty bytes of memory for each byte of the texts; `slices` keeps that small."""
     data, at = flat(texts)
     data = _LOWER[data]
     inside = _IN_WORD[data]
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
     edge = at[:-1][np.diff(at) > 0]
     begins[edge] = inside[edge]
+    edge = at[1:][np.diff(at) > 0] - 1
+    ends[edge] = inside[edge]
     here = np.flatnonzero(begins)
-    first = np.searchsorted(here, at)
-    kept = data[inside]
-    start = np.append(np.cumsum(inside, dtype=np.int64)[here] - 1, len(kept)) if len(here) else np.zeros(1, np.int64)
-    size = np.diff(start)
+    size = np.flatnonzero(ends) - here + 1
+    first, kept = np.searchsorted(here, at), data[inside]
+    start = np.concatenate([[0], np.cumsum(size)])
     if not len(here):
         return Words(kept, start, first, np.empty(0, np.uint64))
-    inner = np.arange(len(kept)) - np.repeat(start[:-1], size)
-    power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
-    value = _BYTE[kept]
-    value *= power[inner]
-    return Words(kept, start, first, mixed(np.add.reduceat(value, start[:-1]) + size.astype(np.uint64)))
+    # Bytes weigh by their place among all; dividing by the weight of a word's place makes equal words equal.
+    value = np.cumprod(np.full(len(kept), _BASE, np.uint64))
+    undo = _undone(len(kept))[start[:-1]]
+    value *= _BYTE[kept]
+    return Words(kept, start, first, mixed(np.add.reduceat(value, start[:-1]) * undo + size.astype(np.uint64)))
+
+
+def _undone(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _BASE_INVERSE, np.uint64)]))
