@@ -6,6 +6,7 @@
 3. Within a group, all pairs are compared in square tiles of bounded size, inside the tasks. MinHash values are compared
    sixteen at a time; after each step a pair is dropped when the posterior probability that it reaches the threshold
    (uniform prior) is below TOLERANCE. What is left is verified on the whole sets.
+   Only texts of nodes in a group travel, and only to the tiles.
 4. A tile returns one row for each node: its number of links and the smallest node it is linked with, directly or not.
    Pairs are never written out. The links give the classes.
 """
@@ -18,11 +19,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.words import mixed, words
+from millrace.llm.sieve import Sieve
+from millrace.llm.words import mixed, slices, words
 from millrace.session import checkpoint
 
 WORDS, THRESHOLD = 5, 0.8
@@ -39,6 +41,10 @@ _BAND = _draw.integers(1, 2**63, BANDS, dtype=np.uint64)
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
     """The sorted shingle hashes of each text; a text of fewer words has one shingle of all of them, or none."""
+    return [s for some in slices(texts) for s in _shingle_sets(some, n)]
+
+
+def _shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     parsed = words(texts)
     value, at = parsed.shingles(n)
     owner = np.searchsorted(at, parsed.first)
@@ -204,6 +210,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
 
+def _row_hash(doc_id: str, h: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), h)
+
+
 def _classes(docs: DataFrame, words_: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, k1, k2), and nodes that have copies or links: k1, k2, root, links, copies, first (doc_id, h)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -212,15 +222,17 @@ def _classes(docs: DataFrame, words_: int, threshold: float, tolerance: float) -
     nodes = checkpoint(rows.where("sig IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("sig").alias("sig"), first))
 
     bands = nodes.select(F.col("k1").alias("v"), F.explode(F.arrow_udf(_bands, "array<bigint>")("sig")).alias("band"))
-    met = bands.groupBy("band").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = components(bands.join(met, "band").select("a", F.col("v").alias("b")))
+    # Written first, so that the join can be split at a band that very many nodes share.
+    met = checkpoint(bands.groupBy("band").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    groups = components(bands.join(met.hint("merge"), "band").select("a", F.col("v").alias("b")))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    member = nodes.join(groups, nodes["k1"] == groups["v"]).join(sizes, "root")
-    member = member.select("root", "v", "copies", "sig", "first.doc_id", "first.h", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
+    member = nodes.join(groups.hint("merge"), nodes["k1"] == groups["v"]).join(sizes.hint("merge"), "root")
+    member = checkpoint(member.select("root", "v", "copies", "sig", "first.doc_id", "first.h", F.ceil(F.col("size") / TILE).cast("int").alias("parts")))
 
     # The sets of the members come from their texts once more: only those travel.
-    me, its = member.alias("m"), _keyed(docs).alias("d")
-    texts = its.join(me, F.col("d.h").eqNullSafe(F.col("m.h")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
+    sieve = Sieve(member.select(_row_hash("doc_id", "h")))
+    its = _keyed(docs).where(sieve.may_hold(_row_hash("doc_id", "h"))).alias("d")
+    texts = its.join(member.alias("m").hint("merge"), F.col("d.h").eqNullSafe(F.col("m.h")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
     texts = texts.select("root", "v", "copies", "sig", "parts", "d.text")
 
     @F.arrow_udf("binary")
@@ -229,7 +241,7 @@ def _classes(docs: DataFrame, words_: int, threshold: float, tolerance: float) -
 
     members = texts.select("root", "v", "copies", "sig", "parts", packed("text").alias("shingles")).dropDuplicates(["v"])
     members = members.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    n_buckets = max(1, groups.count() // TILE)
+    n_buckets = max(1, member.count() // TILE)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tiles = members.withColumn("other", other).select(
         "*",
@@ -241,8 +253,8 @@ def _classes(docs: DataFrame, words_: int, threshold: float, tolerance: float) -
     found = tiles.select("place", "large", "one", "two", "root", "v", "copies", "part", "sig", "shingles").groupBy("place", "large", "one", "two")
     links = checkpoint(found.applyInArrow(_tile_links(threshold, tolerance), "v long, to long, links long"))
     classes = components(links.select(F.col("v").alias("a"), F.col("to").alias("b")))
-    linked = links.groupBy("v").agg(F.sum("links").alias("links")).join(classes, "v", "left")
-    some = nodes.drop("sig").join(linked, F.col("k1") == F.col("v"), "left").where("copies > 1 OR links > 0")
+    linked = links.groupBy("v").agg(F.sum("links").alias("links")).join(classes.hint("merge"), "v", "left")
+    some = nodes.drop("sig").join(linked.hint("merge"), F.col("k1") == F.col("v"), "left").where("copies > 1 OR links > 0")
     some = some.select("k1", "k2", "copies", "first", F.coalesce("root", "k1").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     return rows.drop("sig"), checkpoint(some)
 
@@ -257,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     rows, nodes = _classes(docs, words, threshold, tolerance)
     ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
-    nodes = checkpoint(nodes.join(ids, "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("least.doc_id").alias("its"), (F.col("links") + F.col("copies") - 1).alias("links")))
-    out = rows.join(nodes, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
+    nodes = checkpoint(nodes.join(ids.hint("merge"), "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("least.doc_id").alias("its"), (F.col("links") + F.col("copies") - 1).alias("links")))
+    out = rows.join(nodes.hint("merge"), (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     known = F.col("links").isNotNull()
     return out.select("doc_id", F.when(known, F.col("its")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -267,14 +279,18 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: floa
     """`docs` with one row of each class: that of the smallest id."""
     rows, nodes = _classes(docs, words, threshold, TOLERANCE)
     ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
-    nodes = nodes.join(ids, "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "least")
-    both = rows.join(nodes, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")))
+    nodes = nodes.join(ids.hint("merge"), "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "least")
+    both = rows.join(nodes.hint("merge"), (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
     judged = checkpoint(both.groupBy("doc_id", "h", stays.alias("stays")).agg(F.count("*").alias("n")))
+    # Rows that stay for sure go straight through; the others meet the judgement.
+    sieve = Sieve(judged.where("NOT stays OR n > 1").select(_row_hash("doc_id", "h")))
+    doubt = _row_hash("i", "t")
     all_rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("i"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t"))
+    all_rows = all_rows.withColumn("doubt", sieve.may_hold(doubt))
     here = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("h"))
-    out = all_rows.join(judged.where("NOT stays"), here, "left_anti")
+    doubtful = all_rows.where("doubt").join(judged.where("NOT stays").hint("merge"), here, "left_anti")
     again = judged.where("stays AND n > 1").drop("n")
     if not again.isEmpty():  # the same id with the same text: one of the equal rows
-        out = out.join(again, here, "left_anti").unionByName(out.join(again, here, "left_semi").dropDuplicates(["i", "t"]))
-    return out.select("row.*")
+        doubtful = doubtful.join(again, here, "left_anti").unionByName(doubtful.join(again, here, "left_semi").dropDuplicates(["i", "t"]))
+    return all_rows.where("NOT doubt").unionByName(doubtful).select("row.*")

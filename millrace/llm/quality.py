@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import flat, spare_name, words
+from millrace.llm.sieve import Sieve
+from millrace.llm.words import flat, slices, spare_name, words
 from millrace.session import checkpoint
 
 FEATURES, SEED = 256, 11
@@ -31,6 +32,10 @@ for _n, _some in enumerate((range(65, 91), range(97, 123), range(48, 58), range(
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of numbers for each text; a missing one counts as empty and gives finite numbers like any other."""
+    return np.vstack([_statistics(some) for some in slices(texts)]) if len(texts) else _statistics(texts)
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
     data, at = flat(texts)
     n = len(texts)
     size = np.maximum(np.diff(at), 1).astype(float)
@@ -169,7 +174,7 @@ def _training(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows outside the held-out third with their label; of several labels of one id the mean."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(part_of(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("label"))
-    return stats.join(known, "doc_id").select("stats", "label")
+    return stats.join(known.hint("merge"), "doc_id").select("stats", "label")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,7 +198,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose text is predicted to be good."""
     (name,) = spare_name(docs, "score")
-    some = docs.select("doc_id", "text").join(labels.where("quality IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    # Statistics of labelled texts only, and only those travel.
+    sieve = Sieve(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("doc_id")))
+    some = docs.select("doc_id", "text").where(sieve.may_hold(F.xxhash64("doc_id")))
     model = fit(checkpoint(_training(_with_stats(some), labels)))
 
     @F.arrow_udf("double")
