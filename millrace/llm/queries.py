@@ -29,7 +29,7 @@ def query(check: str | None = None):
 def table(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
     tune(spark)
     # Rows for one Arrow batch; few, as a text may be very long.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -162,4 +162,4 @@ def op9_nearest_neighbours(t):
 @query()
 def op4_suffix_array_dedup(t):
     """What is left of all documents without strings of 400 bytes that stand elsewhere too."""
-    return repeats.without_repeats(t("documents")).drop("kept")
+    return repeats.without_repeats(t("documents"), give_kept=False)

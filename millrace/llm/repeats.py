@@ -25,17 +25,18 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.sieve import Sieve, tested
 from millrace.llm.words import flat, mixed
 from millrace.session import checkpoint
 
 SPAN, GRAM = 400, 128
 PLACES = SPAN - GRAM + 1  # offsets an anchor can have in a window
 CHUNK = 1 << 17  # windows hashed at a time
-PORTION = 4_000_000  # bytes of texts looked at together
-RUN_BYTES = 64_000_000  # strings of one sorted run
+PORTION = 1_000_000  # bytes of texts looked at together
+RUN_BYTES = 16_000_000  # strings of one sorted run
 RANGE = 20_000  # strings of one range
 END = b"\xff"  # in no UTF-8 text, and above every byte of one
 
@@ -114,32 +115,11 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "place", "low", "high", "h", "c1", "c2"])
 
 
-def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(size - 1)
-    return (h >> np.uint64(8)) & mask, mixed(h) & mask
-
-
-def gram_filter(grams: DataFrame, n: int) -> np.ndarray:
-    """A Bloom filter of the hashes `h`, two bits each, of at most 128 MB; it only saves strings from being sent."""
-    size = 1 << min(30, max(16, (16 * n).bit_length()))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, bool)
-        for b in batches:
-            for place in _bits(np.asarray(b.column(0)).view(np.uint64), size):
-                held[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
-
-    parts = grams.select("h").mapInArrow(part, "bits binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
-    return np.unpackbits(parts.treeAggregate(np.zeros(size // 8, np.uint8), np.bitwise_or, np.bitwise_or, depth=3)).astype(bool)
-
-
-def _strings(texts: pa.Array, held: np.ndarray) -> Iterator[bytes]:
+def _strings(texts: pa.Array, bits: np.ndarray) -> Iterator[bytes]:
     """For each anchor whose gram passes: the suffix from it, END, and backwards what its windows hold before it."""
     for _, data, at in _portions(texts):
         place, first, last, h = anchors(data, at)
-        one, two = _bits(h, len(held))
-        some = np.flatnonzero(held[one] & held[two])
+        some = np.flatnonzero(tested(bits, h))
         raw = data.tobytes()
         for p, s, e in zip(place[some].tolist(), first[some].tolist(), (last[some] + SPAN).tolist()):
             yield raw[p:e] + END + raw[s:p][::-1]
@@ -227,11 +207,10 @@ def _runs(sent, cuts: list[bytes]):
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["range", "run"])
 
-        held = np.unpackbits(sent.value).astype(bool)
         strings: set[bytes] = set()
         size = 0
         for b in batches:
-            for s in _strings(b.column(0), held):
+            for s in _strings(b.column(0), sent.value):
                 if s not in strings:
                     strings.add(s)
                     size += len(s)
@@ -304,18 +283,15 @@ def _judged(cuts: list[bytes]):
 
 def _sorted_out(texts: DataFrame, mixed_grams: DataFrame, n: int) -> DataFrame:
     """(c1, c2, begin, end): offsets a of repeated windows, by context, for grams with several contexts."""
-    spark = texts.sparkSession
-    held = gram_filter(mixed_grams, n)
-    sent = spark.sparkContext.broadcast(np.packbits(held))
+    sent = Sieve(mixed_grams.select("h"), n).sent
     ranges, cuts = -(-n // RANGE), []
     if ranges > 1:
         # The cuts only balance the ranges; a few strings from some texts are enough.
         share = max(1, min(1000, 1 + 1000 * 256 * ranges // n))
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(sent.value).astype(bool)
             for b in batches:
-                drawn = sorted(set(_strings(b.column(0), bits)), key=lambda s: xxhash.xxh3_64_intdigest(s))
+                drawn = sorted(set(_strings(b.column(0), sent.value)), key=lambda s: xxhash.xxh3_64_intdigest(s))
                 yield pa.RecordBatch.from_arrays([pa.array(drawn[:2000], pa.binary())], ["s"])
 
         some = texts.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < share).select("text")
@@ -324,10 +300,15 @@ def _sorted_out(texts: DataFrame, mixed_grams: DataFrame, n: int) -> DataFrame:
     runs = texts.select("text").mapInArrow(_runs(sent, cuts), "range int, run binary")
     judged = checkpoint(runs.groupBy("range").applyInArrow(_judged(cuts), "c1 long, c2 long, begin int, end int, w1 long, w2 long"))
     met = judged.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    late = judged.where("w1 IS NOT NULL AND begin >= 0").join(met, ["w1", "w2"])
+    met = checkpoint(met)
+    late = judged.where("w1 IS NOT NULL AND begin >= 0").join(met.hint("merge"), ["w1", "w2"])
     return judged.where("w1 IS NULL").unionByName(late).select("c1", "c2", "begin", "end")
 
 
+def _row_hash(doc_id: str, key: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), key)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans: byte ranges (begin, end) that cover every window standing elsewhere too; key hashes the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -336,38 +317,43 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = checkpoint(texts.mapInArrow(_anchored, columns))
     least = [F.min("c1").alias("a1"), F.max("c1").alias("z1"), F.min("c2").alias("a2"), F.max("c2").alias("z2")]
     grams = every.groupBy("h").agg(F.count("*").alias("n"), *least).where("n > 1").select("h", (F.expr("a1 <> z1 OR a2 <> z2")).alias("several"))
-    again = checkpoint(every.join(grams, "h"))
+    grams = checkpoint(grams)  # so that the join can be split at a gram that very many texts share
+    again = checkpoint(every.join(grams.hint("merge"), "h"))
     begin, end = F.col("place") - F.col("high"), F.col("place") - F.col("low") + SPAN
     who = ["doc_id", "key"]
     spans = again.where("NOT several").select(*who, begin.alias("begin"), end.alias("end"))
     several = again.where("several")
     n = several.agg(F.approx_count_distinct("c1")).first()[0]
     if n:
-        counts = several.groupBy("c1", "c2").agg(F.count("*").alias("n"))
-        several = checkpoint(several.join(counts, ["c1", "c2"]))
+        counts = checkpoint(several.groupBy("c1", "c2").agg(F.count("*").alias("n")))
+        several = checkpoint(several.join(counts.hint("merge"), ["c1", "c2"]))
         spans = spans.unionByName(several.where("n > 1").select(*who, begin.alias("begin"), end.alias("end")))
         found = _sorted_out(texts, several, n)
-        some = several.where("n = 1").join(found.withColumnsRenamed({"begin": "a", "end": "b"}), ["c1", "c2"])
+        some = several.where("n = 1").join(found.withColumnsRenamed({"begin": "a", "end": "b"}).hint("merge"), ["c1", "c2"])
         spans = spans.unionByName(some.select(*who, (F.col("place") - F.col("b")).alias("begin"), (F.col("place") - F.col("a") + SPAN).alias("end")))
     return spans.groupBy(*who).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of `docs` (doc_id, text).
+def without_repeats(docs: DataFrame, give_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept for every row of `docs` (doc_id, text).
 
     A byte goes if a string of SPAN bytes that covers it starts anywhere else too, in another row or the same one. `kept`
     holds the bytes that stay, one after another; a missing text is empty. Shorter texts stay whole. Repeated rows lose what
     their windows cover. An empty table gives an empty result.
     """
     found = checkpoint(repeated_spans(docs)).withColumnsRenamed({"doc_id": "its", "key": "of"})
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    if not give_kept:
+        names, kinds = names[:-1], kinds[:-1]
 
-    @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, sha: string, kept: binary>")
+    @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string" + ", kept: binary>" * give_kept + ">" * (not give_kept))
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for t, some in zip(text.to_pylist(), spans.to_pylist()):
-            raw = (t or "").encode()
+        for t, some in zip(text, spans):
+            raw = (t.as_py() or "").encode()
             runs: list[list[int]] = []
-            for begin, end in sorted((s["begin"], s["end"]) for s in some or ()):
+            for begin, end in sorted((s["begin"], s["end"]) for s in some.as_py() or ()):
                 if runs and begin <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], end)
                 else:
@@ -375,10 +361,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             edges = [0, *(x for run in runs for x in run), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             out.append((len(raw), len(raw) - len(kept), len(runs), sha256(kept).hexdigest(), kept))
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["n_bytes", "n_removed", "n_spans", "sha", "kept"])
+        columns = list(zip(*out)) or [()] * 5
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
 
+    # Only texts that may lose something travel.
+    sieve = Sieve(found.select(_row_hash("its", "of")))
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    out = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("key") == F.col("of")), "left")
-    out = out.select("doc_id", cut("text", "spans").alias("c"))
-    return out.select("doc_id", "c.n_bytes", "c.n_removed", "c.n_spans", F.col("c.sha").alias("kept_sha256"), "c.kept")
+    keyed = keyed.withColumn("doubt", sieve.may_hold(_row_hash("doc_id", "key")))
+    some = keyed.where("doubt").join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("key") == F.col("of")), "left")
+    whole = keyed.where("NOT doubt").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    out = some.select("doc_id", "text", "spans").unionByName(whole.select("doc_id", "text", "spans"))
+    return out.select("doc_id", cut("text", "spans").alias("c")).select("doc_id", *[f"c.{n}" for n in names])
