@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, mixing, neardup, quality, secrets
 from millrace.llm.queries import table
-from millrace.session import checkpoint_dir
+from millrace.session import checkpoint_dir, drop_folder, temporary_tables
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}")
+        with temporary_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{number}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}")
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs
