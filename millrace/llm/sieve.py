@@ -1,6 +1,6 @@
 """A Bloom filter of bounded size, to leave rows out of a shuffle that a join would drop anyway.
 
-Rows that the filter turns away are surely not in the table; an exact join decides about the others. Beyond 67 million
+Rows that the filter turns away are surely not in the table; an exact join decides about the others. Beyond 17 million
 values the filter grows no more and turns fewer rows away, with the same results.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import mixed
 
-LEAST_BITS, MOST_BITS = 16, 30  # powers of two; 128 MB at most
+LEAST_BITS, MOST_BITS = 16, 28  # powers of two; 32 MB at most
 
 
 def places(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,11 +32,11 @@ class Sieve:
         size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(size, bool)
+            held = np.zeros(size // 8, np.uint8)
             for b in batches:
                 for at in places(np.asarray(b.column(0)), size):
-                    held[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
+                    np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
 
         parts = values.mapInArrow(part, "bits binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
         self.bits = parts.treeAggregate(np.zeros(size // 8, np.uint8), np.bitwise_or, np.bitwise_or, depth=3)
