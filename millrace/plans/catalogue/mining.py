@@ -240,12 +240,11 @@ def model_briefing(t):
 
 @query("model_bake_off")
 def bake_off(t):
-    _, board = mo.bake_off(_lines(t).drop("revenue"), "telecom_churn", "o_orderkey", ["LogisticRegression", "RandomForestClassifier"])
+    _, board = mo.bake_off(_lines(t), "telecom_churn", "o_orderkey")
     return rounded(board, 4)
 
 
 @query("model_search")
 def search(t):
-    found = mo.search(_lines(t).select("o_orderkey", "balance", "line_count", "qty", "churn"), "churn", "o_orderkey", trials=4, folds=2,
-        ranges={"forest_trees": (10, 30), "forest_depth": (2, 8), "boost_rounds": (5, 15), "boost_depth": (2, 4)})
+    found = mo.search(_lines(t), "churn", "o_orderkey")
     return rounded(mo.metrics_table(t.spark, [found]), 4)

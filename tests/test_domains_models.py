@@ -4,6 +4,7 @@ import pytest
 
 from millrace.operators import domains as dm
 from millrace.operators import models as mo
+from millrace.plans.catalogue import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +128,19 @@ def test_time_split_and_briefing(spark):
     assert result["predictions"].agg({"key": "min"}).first()[0] == 320
     text = mo.briefing(mo.metrics_table(spark, [result])).first()["sentence"]
     assert text.startswith("DecisionTreeClassifier on kind: accuracy") and "n/a" not in text
+
+
+@pytest.mark.parametrize("name", ["search", "bake_off"])
+def test_registered_queries_run_the_whole_operator(spark, monkeypatch, name):
+    """All columns, and nothing given beyond table, target or domain, and key: trials, folds, ranges and models are the defaults."""
+    seen = []
+
+    def called(df, *args, **named):
+        seen.append((df.columns, args, named))
+        raise InterruptedError
+
+    monkeypatch.setattr(mo, name, called)
+    with pytest.raises(InterruptedError):
+        QUERIES[f"model_{name}"](spark, "/root/testdata/sf0.001")
+    columns = ["o_orderkey", "revenue", "priority", "balance", "segment", "line_count", "qty", "paid", "churn"]
+    assert seen == [(columns, ("churn" if name == "search" else "telecom_churn", "o_orderkey"), {})]
