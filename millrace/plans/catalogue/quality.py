@@ -241,6 +241,12 @@ def quality_report(t):
     return report.select("check", "status", "detail")
 
 
+@query("quality_report_lines")
+def quality_report_lines(t):
+    """The fail lines of the full report; quality_fail_lines is bound to the six checks and four columns of its SQL."""
+    return qa.fail_lines(qa.quality_report(t.readings, ["event_id"]))
+
+
 @query(
     "quality_fail_lines",
     """WITH p AS (SELECT event_id, location, temperature, failure FROM readings),

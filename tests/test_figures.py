@@ -15,6 +15,7 @@ from millrace.operators.risk import risk_score
 from millrace.operators.shape import top_with_other
 from millrace.operators.star import money_impact, star
 from millrace.operators.windows import first_seen, series
+from millrace.plans.catalogue import QUERIES
 
 
 def machines(spark, n=80):
@@ -95,6 +96,23 @@ def test_quality_report_has_all_rows(spark):
     assert status["expectations"] == "PASS" and status["physics_rules"] == "PASS"
 
 
+def test_report_lines_come_from_the_whole_report(spark, monkeypatch):
+    made, whole = [], qa.quality_report
+
+    def noted(df, *args, **named):
+        made.append((df.columns, whole(df, *args, **named)))
+        return made[-1][1]
+
+    monkeypatch.setattr(qa, "quality_report", noted)
+    lines = [r["line"] for r in QUERIES["quality_report_lines"](spark, "/root/testdata/sf0.001").collect()]
+    ((columns, report),) = made
+    rows = report.orderBy("place").collect()
+    assert columns == "event_id timestamp machine_id location temperature vibration pressure speed rul failure".split()
+    assert [r["check"] for r in rows] == list(qa.CHECKS)
+    bad = [f"Quality {r['check']}: {r['detail']}" for r in rows if r["status"] in ("FAIL", "WARN")]
+    assert len(bad) > 2 and lines == bad[:2]
+
+
 def test_jump_rules(spark):
     rows = [(i, 20.0 + (60.0 if i == 5 else 0.0), 0.5 if i != 7 else 9.0) for i in range(10)]
     df = spark.createDataFrame(rows, "id int, temp double, vib double")
