@@ -4,7 +4,7 @@ Three patterns find the known kinds. Beside them, every run of 20 or more token
 20 characters slides over it, the count of each character is kept up to date with one addition and one removal, and
 so is the sum of count * log2(count), from which the window's Shannon entropy follows. A candidate whose highest window
 entropy reaches the limit of its character class is reported as `entropy`, unless an allow-list pattern matches it or
-it touches a span that is known already.
+it touches a span that is known already. The words of the allow-list rule out the windows that touch them, not the run.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Character class -> what it looks like, bits that a window needs. Random windows reach about 3.3, 4.0 and 4.1 bits.
 CLASSES = {"hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 2.8), "alnum": (r"^[A-Za-z0-9]+$", 3.5), "symbols": (r"", 3.7)}
+WORDS = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|1234567890|abcdefgh"
 ALLOWED = (
     r"^[0-9]+$",
     r"^[A-Za-z]+$",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|1234567890|abcdefgh",
+    WORDS,
     r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
     r"^[/_=+-]*([A-Za-z]+|[0-9]{1,4})([/_=+-]+([A-Za-z]+|[0-9]{1,4}))*[/_=+-]*$",
 )
@@ -80,8 +81,13 @@ def _suspicious(token: Column, allowed: tuple[str, ...]) -> Column:
     limit = F.coalesce(*[F.when(token.rlike(shape) if shape else F.lit(True), F.lit(bits)) for shape, bits in CLASSES.values()])
     known = F.lit(False)
     for pattern in allowed:
-        known = known | token.rlike(pattern)
-    return F.when(known, F.lit(False)).otherwise(window_entropy(token) >= limit)
+        if pattern != WORDS:
+            known = known | token.rlike(pattern)
+    bits = window_entropy(token)
+    if WORDS in allowed:
+        between = F.array_max(F.transform(F.split(token, WORDS), lambda part: window_entropy(part)))
+        bits = F.when(token.rlike(WORDS), between).otherwise(bits)
+    return F.when(known, F.lit(False)).otherwise(bits >= limit)
 
 
 def _placed(kind: str, number: int, least: int) -> Column:

@@ -73,6 +73,14 @@ def test_long_text_and_empty_table(spark):
     assert rows(secrets.scan(docs.limit(0))) == []
 
 
+def test_allowed_words_do_not_hide_a_key(spark):
+    key = "qW3rT5yU7iO9pL2kJ4hG6fD8sA0zXcVbNm1Q5eRt"
+    texts = [f"samples/config/{key}", f"{key}xxxx{key}", f"{key[:12]}xxxx{key[:12]}", "samples/config/placeholder_key_12345678901234567890"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert got == {0: f"entropy:0:{len(texts[0])}", 1: f"entropy:0:{len(texts[1])}", 2: "", 3: ""}
+
+
 def test_only_sql_functions(spark):
     plan = secrets.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
