@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, decontaminate, langid, licenses, mixing, neardup, quality, repeats, secrets, tokens
+from millrace.llm import align, ann, decontaminate, langid, licenses, mixing, neardup, quality, repeats, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op9_nearest_neighbours(t):
 def op4_suffix_array_dedup(t):
     """What is left of all documents without strings of 400 bytes that stand elsewhere too."""
     return repeats.without_repeats(t("documents"), give_kept=False)
+
+
+@query()
+def op11_alignment(t):
+    """Tokens of the public 50k byte model and of the public 32k piece model that cover the same bytes of all documents."""
+    return align.align(t("documents"))
