@@ -83,7 +83,7 @@ def trend_impute(
     columns: Sequence[str],
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Fill nulls from the least-squares line over row position; below five known values use the median.
 
@@ -91,7 +91,7 @@ def trend_impute(
     (group, order) is a run of consecutive numbers, so both give the same line.
     """
     columns, groups = list(columns), list(partition_by)
-    indexed = row_index(df, groups + list(order_by), "_at", rows_per_bucket)
+    indexed = row_index(df, groups + list(order_by), "_at", rows_per_range)
     position = F.col("_at").cast("double")
     aggs = []
     for i, n in enumerate(columns):
@@ -229,7 +229,7 @@ def smooth(
     window: int | None = None,
     partition_by: Sequence[str] = (),
     suffix: str = "_smooth",
-    rows_per_bucket: int | None = None,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Trailing mean over ``window`` rows, nulls skipped; the default width follows the table size."""
     if window is None:
@@ -237,7 +237,7 @@ def smooth(
     means = {
         n + suffix: (lambda w, n=n: F.avg(c(n).cast("double")).over(w.rowsBetween(-(window - 1), 0))) for n in columns
     }
-    return trailing(df, means, window - 1, order_by, partition_by, rows_per_bucket)
+    return trailing(df, means, window - 1, order_by, partition_by, rows_per_range)
 
 
 def znorm(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:

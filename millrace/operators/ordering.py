@@ -1,15 +1,14 @@
 """Order-sensitive work over tables that have no small partition key.
 
-A table is cut into buckets of its full sort key. The cut points come from a bounded sample and enter the
-plan as constants, so a recomputed task puts every row in the same bucket again. With a unique sort key a
-value or an entity that holds a third of the rows is spread over many buckets. Each bucket borrows the
-last rows before it, which makes trailing frames exact across bucket edges.
+A table is dealt out by ranges of its full sort key and written in that order, each row with the number of its range and
+its place there. A scan over the sizes of the ranges gives the position of every row. A trailing frame needs the last rows
+before its range too: ranges hand their tails on to the ranges behind. The number of ranges follows that of the rows;
+neither cut points nor sizes go through the driver. With a unique sort key, a value or an entity that holds a third of the
+rows is spread over many ranges.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -18,138 +17,80 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.names import is_time, quoted
-
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 40
-
-
-def _sort_key(df: DataFrame, names: Sequence[str]) -> Column:
-    """Struct of the ordering columns in types that survive a trip through JSON."""
-    parts = []
-    for i, name in enumerate(names):
-        column, dtype = F.col(quoted(name)), df.schema[name].dataType
-        if isinstance(dtype, T.DateType):
-            column = F.unix_date(column)
-        elif is_time(dtype):
-            column = F.unix_micros(column.cast("timestamp"))
-        elif isinstance(dtype, T.DecimalType):
-            column = column.cast("double")
-        elif isinstance(dtype, T.BooleanType):
-            column = column.cast("int")
-        parts.append(column.alias(f"k{i}"))
-    return F.struct(*parts)
-
-
-def bucket_count(rows: int, rows_per_bucket: int) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)))
-
-
-def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> tuple[list, list, T.DataType]:
-    """At most buckets-1 sort keys, evenly spaced in a bounded sample, and the last sampled key of every bucket."""
-    keys = df.select(key.alias("key"))
-    dtype = keys.schema["key"].dataType
-    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / max(rows, 1))
-    drawn = keys.sample(False, fraction, seed=42) if fraction < 1.0 else keys
-    sample = [r["key"] for r in drawn.sort("key").collect()]
-    picks = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
-    cuts = []
-    for pick in picks:
-        if not cuts or pick != cuts[-1]:
-            cuts.append(pick)
-    ends: list = [None] * (len(cuts) + 1)
-    at = 0
-    for value in sample:
-        if at < len(cuts) and value == cuts[at]:
-            at += 1
-        ends[at] = value
-    return cuts, ends, dtype
-
-
-def _plain(value):
-    return value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else value
-
-
-def _literal_array(values: Sequence, dtype: T.DataType) -> Column:
-    """Array of structs as one constant, however many values it has."""
-    rows = [{f.name: _plain(v[f.name]) for f in dtype.fields} for v in values]
-    return F.from_json(F.lit(json.dumps(rows)), T.ArrayType(dtype))
-
-
-def _passed(cuts: Column, key: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut <= key))
-
-
-def _bucket(key: Column, cuts: Sequence, dtype: T.DataType) -> Column:
-    """Number of cut points at or below the key, found in two short steps when there are many."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    if len(cuts) <= 32:
-        return _passed(_literal_array(cuts, dtype), key)
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = _literal_array([b[0] for b in blocks], dtype)
-    nested = [[{f.name: _plain(v[f.name]) for f in dtype.fields} for v in b] for b in blocks]
-    table = F.from_json(F.lit(json.dumps(nested)), T.ArrayType(T.ArrayType(dtype)))
-    block = F.greatest(_passed(heads, key), F.lit(1))
-    return (block - 1) * step + _passed(F.element_at(table, block), key)
+from millrace.functions.names import quoted
+from millrace.session import checkpoint
+
+ROWS_PER_RANGE = 250_000
+# Ranges whose sizes are summed in one task; more are summed in blocks, and then the blocks.
+RANGES_PER_BLOCK = 4096
+# A row's id is the number of its partition, shifted, plus its place there.
+_PLACE_BITS = 33
+_RANGE, _PLACE, _NUMBER, _SIZE, _START, _AT, _OWN = (f"__{n}" for n in ("range", "place", "number", "size", "start", "at", "own"))
+
+
+def _ascending(names: Sequence[str]) -> list[Column]:
+    return [F.col(quoted(n)).asc_nulls_first() for n in names]
 
 
 @dataclass
-class Buckets:
-    """A table with its ``_bucket`` column, ascending along the sort key."""
-
-    table: DataFrame
-    sizes: list[int]
-    # True for the rows among which the last rows of every bucket are sure to be; None when that is not known.
-    near_end: Column | None = None
-
-
-def bucketed(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int | None = None, back: int = 0) -> Buckets:
-    rows = df.count()
-    buckets = bucket_count(rows, rows_per_bucket or ROWS_PER_BUCKET)
-    if buckets == 1:
-        return Buckets(df.withColumn("_bucket", F.lit(0)), [rows])
-    key = _sort_key(df, order_by)
-    cuts, ends, dtype = _cut_points(df, key, rows, buckets)
-    out = df.withColumn("_bucket", _bucket(key, cuts, dtype))
-    near_end = F.lit(True)
-    if back and all(e is not None for e in ends):
-        near_end = key >= F.element_at(_literal_array(ends, dtype), F.col("_bucket") + 1)
-    counted = out.groupBy("_bucket").agg(F.count("*").alias("n"), F.count_if(near_end).alias("late")).collect()
-    sizes = {r["_bucket"]: r["n"] for r in counted}
-    enough = all(r["late"] >= min(back, r["n"]) for r in counted)
-    return Buckets(out, [sizes.get(b, 0) for b in range(len(cuts) + 1)], near_end if enough else None)
+class Ranges:
+    """A written table of (range, place) beside the rows, and (range, number, size, start) of the ranges that have rows.
+
+    Numbers count the ranges with rows from 0 along the sort key; start is the number of rows before.
+    """
+
+    rows: DataFrame
+    sizes: DataFrame
+
+    def placed(self) -> DataFrame:
+        """All rows with the number, size and start of their range, and their position."""
+        return self.rows.join(self.sizes, _RANGE).withColumn(_AT, F.col(_START) + F.col(_PLACE))
+
+
+def _scanned(sizes: DataFrame, ranges: int) -> DataFrame:
+    """Running number and sum of the rows before, over (range, size)."""
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda w, n, size: (F.coalesce(F.sum(n).over(w), F.lit(0)), F.coalesce(F.sum(size).over(w), F.lit(0)))
+    if ranges <= RANGES_PER_BLOCK:
+        number, start = sums(before, F.lit(1), _SIZE)
+        return sizes.select(_RANGE, number.alias(_NUMBER), _SIZE, start.alias(_START))
+    sizes = sizes.withColumn("block", F.floor(F.col(_RANGE) / RANGES_PER_BLOCK))
+    number, start = sums(Window.partitionBy("block").orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1), F.lit(1), _SIZE)
+    blocks = sizes.groupBy("block").agg(F.count("*").alias("n"), F.sum(_SIZE).alias("s"))
+    n, s = sums(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), F.col("n"), F.col("s"))
+    blocks = blocks.select("block", n.alias("n"), s.alias("s"))
+    inner = sizes.select("block", _RANGE, _SIZE, number.alias(_NUMBER), start.alias(_START))
+    return inner.join(blocks, "block").select(_RANGE, (F.col(_NUMBER) + F.col("n")).alias(_NUMBER), _SIZE, (F.col(_START) + F.col("s")).alias(_START))
+
+
+def ranged(df: DataFrame, order_by: Sequence[str], ranges: int) -> Ranges:
+    """Deal `df` out by ranges of `order_by` (missing values first) and write it in that order."""
+    # Columns are written under plain names, those without a type not at all.
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    untyped = {p for p, f in zip(plain, df.schema.fields) if isinstance(f.dataType, T.NullType)}
+    place = {name: p for name, p in zip(df.columns, plain)}
+    keys = _ascending([place[n] for n in order_by if place[n] not in untyped])
+    kept = df.toDF(*plain).select(*[p for p in plain if p not in untyped])
+    dealt = kept.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys) if keys else kept
+    written = checkpoint(dealt.withColumn("id", F.monotonically_increasing_id()))
+    columns = [F.lit(None).alias(n) if p in untyped else F.col(p).alias(n) for p, n in zip(plain, df.columns)]
+    rows = written.select(*columns, F.shiftright("id", _PLACE_BITS).alias(_RANGE), F.col("id").bitwiseAND((1 << _PLACE_BITS) - 1).alias(_PLACE))
+    sizes = rows.groupBy(_RANGE).agg(F.count("*").alias(_SIZE))
+    return Ranges(rows, checkpoint(_scanned(sizes, ranges)))
+
+
+def range_count(rows: int, rows_per_range: int | None) -> int:
+    return max(1, math.ceil(rows / (rows_per_range or ROWS_PER_RANGE)))
 
 
 def row_index(
-    df: DataFrame, order_by: Sequence[str], name: str = "row_index", rows_per_bucket: int | None = None
+    df: DataFrame, order_by: Sequence[str], name: str = "row_index", rows_per_range: int | None = None
 ) -> DataFrame:
     """Dense 0-based position of every row along ``order_by`` (which should end in a unique column)."""
-    cut = bucketed(df, order_by, rows_per_bucket)
-    out = cut.table
-    starts, total = [], 0
-    for size in cut.sizes:
-        starts.append(total)
-        total += size
-    window = Window.partitionBy("_bucket").orderBy(*[F.col(quoted(c)).asc_nulls_first() for c in order_by])
-    offsets = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
-    position = F.row_number().over(window).cast("long") - 1 + F.element_at(offsets, F.col("_bucket") + 1)
-    return out.withColumn(name, position).drop("_bucket")
-
-
-def _lenders(sizes: list[int], back: int) -> list[tuple[int, int]]:
-    """(source, target) buckets: every target sees enough earlier buckets to fill ``back`` rows."""
-    pairs = []
-    for target in range(1, len(sizes)):
-        missing, source = back, target - 1
-        while missing > 0 and source >= 0:
-            if sizes[source]:
-                pairs.append((source, target))
-                missing -= sizes[source]
-            source -= 1
-    return pairs
+    ranges = range_count(df.count(), rows_per_range)
+    if ranges == 1:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_ascending(order_by))).cast("long") - 1)
+    return ranged(df, order_by, ranges).placed().select(*[F.col(quoted(c)) for c in df.columns], F.col(_AT).alias(name))
 
 
 def trailing(
@@ -158,41 +99,35 @@ def trailing(
     back: int,
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Add columns that look at the current row and up to ``back`` rows before it.
 
     ``columns`` maps a new name to a function of the window (ordered, without a frame).
     """
     partition_by, order_by = list(partition_by), list(order_by)
-    limit = rows_per_bucket or ROWS_PER_BUCKET
-    ordering = [F.col(quoted(c)).asc_nulls_first() for c in order_by]
+    groups = [quoted(c) for c in partition_by]
 
     def apply(frame: DataFrame, window: WindowSpec) -> DataFrame:
         return frame.withColumns({name: make(window) for name, make in columns.items()})
 
-    if partition_by:
-        sizes = df.groupBy(*[quoted(c) for c in partition_by]).agg(F.count("*").alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= 4 * limit:
-            return apply(df, Window.partitionBy(*[quoted(c) for c in partition_by]).orderBy(*ordering))
-
-    full_order = partition_by + order_by
-    buckets = bucketed(df, full_order, limit, back)
-    cut, sizes = buckets.table, buckets.sizes
-    groups = ["_bucket"] + [quoted(c) for c in partition_by]
-    window = Window.partitionBy(*groups).orderBy(*ordering)
-    pairs = _lenders(sizes, back)
-    if not pairs:
-        return apply(cut, window).drop("_bucket")
-    newest = Window.partitionBy("_bucket").orderBy(*[F.col(quoted(c)).desc_nulls_last() for c in full_order])
-    # Few rows are ranked: those past the last sampled key of their bucket, if these are proven to be enough.
-    late = cut if buckets.near_end is None else cut.where(buckets.near_end)
-    tails = late.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back).drop("_rank")
-    targets: list[list[int]] = [[] for _ in sizes]
-    for source, target in pairs:
-        targets[source].append(target)
-    lending = F.from_json(F.lit(json.dumps(targets)), "array<array<int>>")
-    halo = tails.withColumn("_bucket", F.explode(F.element_at(lending, F.col("_bucket") + 1)))
-    marked = cut.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
-    return apply(marked, window).where("_own").drop("_own", "_bucket")
-
+    if groups:
+        sizes = df.groupBy(*groups).agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 4 * (rows_per_range or ROWS_PER_RANGE):
+            return apply(df, Window.partitionBy(*groups).orderBy(*_ascending(order_by)))
+    ranges = range_count(df.count(), rows_per_range)
+    if ranges == 1:
+        return apply(df, Window.partitionBy(F.lit(0), *groups).orderBy(*_ascending(order_by)))
+
+    cut = ranged(df, partition_by + order_by, ranges)
+    placed = cut.placed()
+    tails = placed.where(F.col(_PLACE) >= F.col(_SIZE) - back)
+    if (cut.sizes.agg(F.min(_SIZE)).first()[0] or 0) >= back:
+        tails = tails.withColumn(_NUMBER, F.col(_NUMBER) + 1)
+    else:  # a range may need the tails of several short ones
+        after = tails.withColumn(_NUMBER, F.explode(F.sequence(F.col(_NUMBER) + 1, F.col(_NUMBER) + back)))
+        behind = cut.sizes.select(_NUMBER, F.col(_START).alias("__theirs"))
+        tails = after.join(behind, _NUMBER).where(F.col(_AT) >= F.col("__theirs") - back)
+    shown = [F.col(quoted(c)) for c in df.columns] + [F.col(_NUMBER), F.col(_AT)]
+    both = placed.select(*shown, F.lit(True).alias(_OWN)).unionByName(tails.select(*shown, F.lit(False).alias(_OWN)))
+    return apply(both, Window.partitionBy(_NUMBER, *groups).orderBy(_AT)).where(_OWN).drop(_OWN, _NUMBER, _AT)

@@ -90,7 +90,7 @@ def clean_median_variant(t):
     using=("readings",),
 )
 def impute_trend(t):
-    filled = cl.trend_impute(t.readings, ["temperature"], ["timestamp", "event_id"], rows_per_bucket=BUCKET)
+    filled = cl.trend_impute(t.readings, ["temperature"], ["timestamp", "event_id"], rows_per_range=BUCKET)
     return rounded(filled.select("event_id", "temperature"))
 
 
@@ -180,7 +180,7 @@ def smooth_keyed(t):
 )
 def smooth_keyed_split(t):
     """Few large groups: every group is cut into buckets."""
-    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, ["event_type"], rows_per_bucket=400)
+    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, ["event_type"], rows_per_range=400)
     return rounded(out.select("event_id", "value_smooth"))
 
 
@@ -190,7 +190,7 @@ def smooth_keyed_split(t):
        ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS value_smooth FROM events""",
 )
 def smooth_global(t):
-    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, rows_per_bucket=BUCKET)
+    out = cl.smooth(t.events, ["value"], ["ts", "event_id"], 5, rows_per_range=BUCKET)
     return rounded(out.select("event_id", "value_smooth"))
 
 
@@ -264,7 +264,7 @@ def diff_std_pct(t):
 )
 def diff_std_global(t):
     made = {"step": win.step_over("value"), "std6": win.std_over("value", 6)}
-    return rounded(win.rolling(t.events, made, 5, ["ts", "event_id"], rows_per_bucket=BUCKET).select("event_id", *made))
+    return rounded(win.rolling(t.events, made, 5, ["ts", "event_id"], rows_per_range=BUCKET).select("event_id", *made))
 
 
 @query(

@@ -33,7 +33,7 @@ def test_cast_share(spark):
 def test_trend_needs_five(spark):
     rows = [(i, 2.0 * i + 1 if i < 5 else None, float(i) if i < 4 else None) for i in range(8)]
     df = spark.createDataFrame(rows, "id int, a double, b double")
-    got = cl.trend_impute(df, ["a", "b"], ["id"], rows_per_bucket=3).orderBy("id").toPandas()
+    got = cl.trend_impute(df, ["a", "b"], ["id"], rows_per_range=3).orderBy("id").toPandas()
     assert np.allclose(got["a"], [2 * i + 1 for i in range(8)])
     assert got["b"].tolist() == [0, 1, 2, 3, 1.5, 1.5, 1.5, 1.5]
 

@@ -116,7 +116,7 @@ def test_report_lines_come_from_the_whole_report(spark, monkeypatch):
 def test_jump_rules(spark):
     rows = [(i, 20.0 + (60.0 if i == 5 else 0.0), 0.5 if i != 7 else 9.0) for i in range(10)]
     df = spark.createDataFrame(rows, "id int, temp double, vib double")
-    got = {r["column"]: r["jumps"] for r in qa.impossible_jumps(df, ["id"], rows_per_bucket=3).collect()}
+    got = {r["column"]: r["jumps"] for r in qa.impossible_jumps(df, ["id"], rows_per_range=3).collect()}
     assert got == {"temp": 2, "vib": 2}
 
 

@@ -21,7 +21,7 @@ def table(spark, n=400, hot=False):
 def test_trailing_equals_single_task(spark, size):
     df = table(spark)
     made = {"m": mean_over("x", 5), "s": std_over("x", 5), "d": step_over("x")}
-    got = trailing(df, made, 4, ["tie", "id"], rows_per_bucket=size).toPandas().sort_values(["tie", "id"])
+    got = trailing(df, made, 4, ["tie", "id"], rows_per_range=size).toPandas().sort_values(["tie", "id"])
     want = got["x"].reset_index(drop=True)
     assert np.allclose(got["m"].to_numpy(), want.rolling(5, min_periods=1).mean())
     assert np.allclose(got["s"].to_numpy(float), want.rolling(5, min_periods=1).std(), equal_nan=True)
@@ -31,7 +31,7 @@ def test_trailing_equals_single_task(spark, size):
 
 def test_hot_group_is_split(spark):
     df = table(spark, 300, hot=True)
-    got = trailing(df, {"m": mean_over("x", 6)}, 5, ["id"], ["key"], rows_per_bucket=10).toPandas().sort_values(["key", "id"])
+    got = trailing(df, {"m": mean_over("x", 6)}, 5, ["id"], ["key"], rows_per_range=10).toPandas().sort_values(["key", "id"])
     want = got.groupby("key")["x"].rolling(6, min_periods=1).mean().to_numpy()
     assert np.allclose(got["m"].to_numpy(), want)
 
@@ -65,3 +65,21 @@ def test_quantiles_by_narrowing(spark):
     assert np.allclose(got["x"], np.quantile(values, probs))
     assert got["c"] == [2.0] * len(probs)
     assert exact_quantiles(df.where("x is null"), {"x": F.col("x")}, [0.5])["x"] == [None]
+
+
+def test_more_ranges_than_one_task_sums(spark):
+    """Some thousand ranges of two or three rows: sizes are summed in blocks, and ranges need the tails of several others."""
+    n = 9_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), (F.col("id") % 17).cast("double").alias("x"))
+    placed = row_index(df, ["id"], "at", 2)
+    assert placed.where("at != id").count() == 0 and placed.count() == n
+    got = trailing(df, {"m": mean_over("x", 8), "d": step_over("x")}, 7, ["id"], rows_per_range=2).toPandas().sort_values("id")
+    want = df.toPandas().sort_values("id")["x"].reset_index(drop=True)
+    assert np.allclose(got["m"], want.rolling(8, min_periods=1).mean())
+    assert np.allclose(got["d"], want.diff(), equal_nan=True)
+
+
+def test_odd_columns_pass_through(spark):
+    df = spark.createDataFrame([(i, float(i), "a") for i in range(40)], "`my id` int, `x.y` double, `__at` string").withColumn("nothing", F.lit(None))
+    got = row_index(df, ["my id"], "at", 5).orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(40)) and got[3]["nothing"] is None and got[3]["x.y"] == 3.0
