@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import align, ann, decontaminate, langid, licenses, mixing, neardup, quality, repeats, secrets, tokens
+from millrace.llm import align, ann, decontaminate, fingerprint, langid, licenses, manifest, mixing, neardup, quality, repeats, secrets, tokens
 from millrace.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,16 @@ def op4_suffix_array_dedup(t):
 def op11_alignment(t):
     """Tokens of the public 50k byte model and of the public 32k piece model that cover the same bytes of all documents."""
     return align.align(t("documents"))
+
+
+@query()
+def op12_merkle_manifest(t):
+    """Root, proofs and their verification for all documents, some of which are tampered with after the manifest is made."""
+    documents = t("documents")
+    return manifest.manifest(documents, manifest.tampered(documents))
+
+
+@query()
+def op13_fingerprints(t):
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprint.with_edits(t("documents"))
