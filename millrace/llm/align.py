@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from millrace.llm.words import slices
 from millrace.session import checkpoint
 
 MOST_SENT = 4_000_000  # id pairs whose counts may be broadcast, 17 bytes each; with more they are joined
-CACHED_CHARS = 12_000_000  # of distinct parts that a worker remembers
+CACHED = 600_000  # distinct parts that a worker remembers; more are aligned again
 SUMMED_PAIRS = 2_000_000  # id pairs that a task sums before it hands them on
 # White space of any kind before a space keeps the two together, and a last space stays with what is before it.
 _NOT_CUT = re.compile("[\\s\x85\u180e\u200b\ufeff] | \\Z")
@@ -60,6 +61,10 @@ class Aligner:
                 self.b_bytes.append(bytes([int(piece[3:-1], 16)]))
             else:
                 self.b_bytes.append(None if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace("▁", " ").encode())
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_size[i] = len(x or b"")
+        self.b_size = np.array([len(x or b"") for x in self.b_bytes])
         self.wide = (max(self.a_bytes) + 1) * self.n_b >= 2**31
         pieces = [self.b.encode(s, out_type=str) for s in (" a  b ", " a", " b")]
         inner = any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.n_b))
@@ -69,11 +74,9 @@ class Aligner:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.chars = 0
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int, int, int]] = []  # tokens, tokens, groups, links, bytes; -1: bytes differ
-        self.links: list[int] = []
-        self.ends: list[int] = []
+        # For each part tokens, tokens, groups, links, bytes (-1 if the tokens are other bytes); then the links and group ends of all.
+        self.sizes, self.links, self.ends = np.empty((0, 5), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def parts(self, text: str) -> list[str]:
         """Parts that align on their own, each without the space before it."""
@@ -83,62 +86,92 @@ class Aligner:
 
     def learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.number]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            theirs = self.b.encode(some, return_type="proto", num_threads=1)
-            for part, one, two in zip(some, self.a.encode_batch([" " + p for p in some], add_special_tokens=False), theirs):
-                self.number[part] = len(self.sizes)
-                self.chars += len(part) + 40
-                self._add(part, one, two.pieces)
-
-    def _add(self, part: str, one, two) -> None:
-        raw = (" " + part).encode()
-        if len(raw) == len(part) + 1:
-            place = range(len(raw) + 1)
-        else:
-            place = np.cumsum([0, 1, *(len(c.encode()) for c in part)]).tolist()
-        a = _ends(raw, one.ids, [(place[s], place[e]) for s, e in one.offsets], self.a_bytes)
-        b_ids = [p.id for p in two]
-        b = a and _ends(raw, b_ids, [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(two)], self.b_bytes)
-        if not a or not b:
-            self.groups.append("")
-            self.sizes.append((0, 0, 0, 0, -1))
-            return
-        a_ids, i, j, i0, j0, out, n = one.ids, 0, 0, 0, 0, [], 0
-        while i < len(a):
-            self.links.append(a_ids[i] * self.n_b + b_ids[j])
-            n += 1
-            x, y = a[i], b[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-            if x == y:
-                out.append(f"{','.join(map(str, a_ids[i0:i]))}|{','.join(map(str, b_ids[j0:j]))}")
-                self.ends.append(x)
-                i0, j0 = i, j
-        self.groups.append(";".join(out))
-        self.sizes.append((len(a), len(b), len(out), n, len(raw)))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """sizes, links and group ends of all parts as arrays."""
-        return np.array(self.sizes, np.int64).reshape(-1, 5), np.array(self.links, np.int64), np.array(self.ends, np.int64)
-
-
-def _ends(raw: bytes, ids: list[int], spans: list[tuple[int, int]], known) -> list[int] | None:
-    """Where each token ends, in bytes; None if the tokens are not these bytes."""
-    at, out = 0, []
-    for i, (begin, end) in zip(ids, spans):
-        token = known[i]
-        if token is None:
-            return None
-        # A span is exact if it begins where the last token ended and is as long as the token.
-        now = end if begin == at and end - at == len(token) else at + len(token)
-        if raw[at:now] != token:
-            return None
-        out.append(now)
-        at = now
-    return out if at == len(raw) else None
+        made = []
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+            made.append(self._aligned(some))
+        if made:
+            self.sizes, self.links, self.ends = (np.concatenate(x) for x in zip((self.sizes, self.links, self.ends), *made))
+
+    def _aligned(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
+        two = [p.pieces for p in self.b.encode(parts, return_type="proto", num_threads=1)]
+        raw = (" " + " ".join(parts)).encode()
+        chars = np.array([len(p) + 1 for p in parts])
+        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # where each character begins
+        place = np.append(lead, len(raw))
+        first = np.cumsum(chars) - chars
+        edge = place[np.append(first, chars.sum())]  # where each part begins in bytes, and the end
+        n_a, n_b = np.array([len(e) for e in one]), np.array([len(p) for p in two])
+        a = np.fromiter(chain.from_iterable(e.ids for e in one), np.int64)
+        span = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in one)), np.int64).reshape(-1, 2)
+        span = place[span + np.repeat(first, n_a)[:, None]]
+        a_ends, a_bad = _ends(raw, edge, n_a, a, span, self.a_bytes, self.a_size)
+        b = np.fromiter((p.id for some in two for p in some), np.int64)
+        span = np.fromiter(((p.begin, p.end) for some in two for p in some), np.dtype((np.int64, 2)))
+        span = span + np.repeat(edge[:-1] + 1, n_b)[:, None]
+        opening = np.cumsum(n_b) - n_b
+        span[opening[n_b > 0], 0] -= 1  # the added space has no span of its own
+        b_ends, b_bad = _ends(raw, edge, n_b, b, span, self.b_bytes, self.b_size)
+        bad = a_bad | b_bad
+        if bad.any():
+            a, a_ends, b, b_ends = (x[~np.repeat(bad, n)] for x, n in ((a, n_a), (a_ends, n_a), (b, n_b), (b_ends, n_b)))
+            n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
+        # Each end of either side is that of one link, with the token of the other side it falls in.
+        cuts = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, cuts)] * self.n_b + b[np.searchsorted(b_ends, cuts)]
+        owner = np.searchsorted(edge, cuts) - 1
+        both = np.intersect1d(a_ends, b_ends)
+        theirs = np.searchsorted(edge, both) - 1
+        self.groups += _shown(a, b, a_ends, b_ends, both, theirs, bad)
+        count = lambda x: np.bincount(x, minlength=len(parts))
+        sizes = np.stack([n_a, n_b, count(theirs), count(owner), np.where(bad, -1, np.diff(edge))], 1).astype(np.int64)
+        return sizes, links, both - edge[theirs]
+
+
+def _ends(raw: bytes, edge: np.ndarray, n: np.ndarray, ids: np.ndarray, span: np.ndarray, known: dict | list, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token ends in `raw`, and for each part whether its tokens are other bytes than its own.
+
+    The ends of the spans are the cuts. A span is coarse if it does not begin at the cut before or is not as long as the token:
+    there the tokens' own bytes count, from the last cut that is sure.
+    """
+    length = size[ids]
+    ends = span[:, 1].copy()
+    begin = np.cumsum(n) - n
+    before = np.append(0, ends[:-1])[: len(ends)]
+    before[begin[n > 0]] = edge[:-1][n > 0]
+    coarse = (span[:, 0] != before) | (ends - span[:, 0] != length)
+    if coarse.any():
+        total = np.cumsum(length)
+        sure = np.maximum.accumulate(np.where(coarse, -1, np.arange(len(ids))))
+        start = np.repeat(begin, n)
+        inside = sure >= start
+        from_part = np.repeat(edge[:-1], n) + total - (total - length)[start]
+        ends = np.where(coarse, np.where(inside, ends[sure] + total - total[sure], from_part), ends)
+    bytes_of = [known[i] for i in ids.tolist()]
+    bad = np.zeros(len(n), bool)
+    if None in bytes_of or b"".join(bytes_of) != raw:
+        for k, (at, m) in enumerate(zip(begin.tolist(), n.tolist())):
+            mine = bytes_of[at : at + m]
+            bad[k] = None in mine or b"".join(mine) != raw[edge[k] : edge[k + 1]]
+    return ends, bad
+
+
+def _shown(a, b, a_ends, b_ends, both, theirs, bad) -> list[str]:
+    """The groups of each part as text."""
+    tokens = np.concatenate([a, b])
+    side = np.repeat([0, 1], [len(a), len(b)])
+    group = np.searchsorted(both, np.concatenate([a_ends, b_ends]))
+    order = np.lexsort((side, group))
+    tokens, side, group = tokens[order].tolist(), side[order], group[order]
+    if not len(tokens):
+        return [""] * len(bad)
+    # After a token: a comma inside a side, a bar between sides, a semicolon after a group, a line feed after a part.
+    new_group, new_part = np.append(group[1:] != group[:-1], True), np.append(theirs[group[1:]] != theirs[group[:-1]], True)
+    after = np.where(new_part, 3, np.where(new_group, 2, np.append(side[1:] != side[:-1], True).astype(int))).tolist()
+    lines = iter("".join([str(t) + ",|;\n"[x] for t, x in zip(tokens, after)]).split("\n"))
+    return ["" if x else next(lines) for x in bad.tolist()]
 
 
 @lru_cache(2)
@@ -169,12 +202,12 @@ def _aligned(a: str | None, b: str | None, wide: bool, give_groups: bool):
             at = 0
             for texts in slices(batch.column(1), 4_000_000):
                 split = [al.parts(t) if t else [] for t in texts.to_pylist()]
-                if al.chars > CACHED_CHARS:
+                if len(al.number) > CACHED:
                     al.forget()
                 al.learn({p for parts in split for p in parts})
                 number = al.number
                 part = np.fromiter((number[p] for parts in split for p in parts), np.int64)
-                sizes, links, ends = al.tables()
+                sizes, links, ends = al.sizes, al.links, al.ends
                 n = np.array([len(parts) for parts in split], np.int64)
                 doc = np.repeat(np.arange(len(split)), n)
                 bad = np.zeros(len(split), bool)

@@ -128,6 +128,6 @@ def test_forgetting_changes_nothing(limit, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(TRICKY))), pa.array(TRICKY)], ["doc_id", "text"])
-    monkeypatch.setattr(align, "CACHED_CHARS", limit)
+    monkeypatch.setattr(align, "CACHED", limit)
     one = [b.to_pylist() for b in align._aligned(None, None, False, True)(iter([batch, batch]))]
     assert one[0] == one[1]
