@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -20,17 +19,18 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasFeaturesCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cast import number
 from millrace.functions.names import is_number, is_time, numeric_columns, quoted, resolve
+from millrace.operators import trees
 from millrace.operators.neighbours import knn_classify
 from millrace.operators.ordering import row_index
 from millrace.operators.profile import bounded_profile
+from millrace.session import checkpoint
 
 # Model name -> task.
 TASKS = {
@@ -221,9 +221,19 @@ def balanced_weights(data: DataFrame) -> DataFrame:
     return data.withColumn("weight", F.create_map(*pairs)[F.col("label")])
 
 
-def _boosted(classes: int, **params):
-    booster = GBTClassifier(seed=42, **params)
-    return booster if classes <= 2 else OneVsRest(classifier=booster)
+def boosted(model: str, task: str, classes: int) -> trees.Spec | None:
+    """The settings of a boosted model; None for other names.
+
+    The plain kind takes Newton steps without a penalty. The second one has a penalty of 1 on leaf values and a least
+    hessian of 1, the third grows 31 leaves of 20 rows, best first.
+    """
+    if model in ("GradientBoostingClassifier", "GradientBoostingRegressor"):
+        return trees.Spec("boost", task, classes, trees=100, depth=3, rate=0.1, penalty=0.0, least_weight=1e-9)
+    if model in ("XGBClassifier", "XGBRegressor"):
+        return trees.Spec("boost", task, classes, trees=120 if task == "classification" else 140, depth=5, rate=0.08)
+    if model == "LGBMRegressor":
+        return trees.Spec("boost", task, classes, trees=140, depth=6, rate=0.08, penalty=0.0, least_weight=1e-3, least_rows=20, leaves=31)
+    return None
 
 
 def build(model: str, rows: int, classes: int = 2, spread: float = 1.0, features: int = 1):
@@ -235,10 +245,6 @@ def build(model: str, rows: int, classes: int = 2, spread: float = 1.0, features
         return DecisionTreeClassifier(maxDepth=8, seed=42)
     if model == "RandomForestClassifier":
         return RandomForestClassifier(numTrees=120, maxDepth=10, seed=42, weightCol="weight")
-    if model == "GradientBoostingClassifier":
-        return _boosted(classes, maxIter=100, maxDepth=3, stepSize=0.1)
-    if model == "XGBClassifier":
-        return _boosted(classes, maxIter=120, maxDepth=5, stepSize=0.08)
     if model == "SVC":
         machine = LinearSVC(maxIter=100, regParam=1.0 / rows, featuresCol="mapped")
         return machine if classes <= 2 else OneVsRest(classifier=machine, featuresCol="mapped")
@@ -248,12 +254,6 @@ def build(model: str, rows: int, classes: int = 2, spread: float = 1.0, features
         return LinearRegression(solver="normal", standardization=False, regParam=spread / rows)
     if model == "RandomForestRegressor":
         return RandomForestRegressor(numTrees=120, maxDepth=10, seed=42)
-    if model == "GradientBoostingRegressor":
-        return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
-    if model == "XGBRegressor":
-        return GBTRegressor(maxIter=140, maxDepth=5, stepSize=0.08, seed=42)
-    if model == "LGBMRegressor":
-        return GBTRegressor(maxIter=140, maxDepth=6, stepSize=0.08, seed=42)
     if model == "SVR":
         return LinearRegression(loss="huber", epsilon=1.35, maxIter=100, regParam=1.0 / rows, featuresCol="mapped")
     raise ValueError(f"unknown model {model}")
@@ -312,6 +312,13 @@ def run_model(
     ready = prepare(df, target, task, key, features)
     data, width = ready.data, len(ready.features)
     classes = max(len(ready.labels), 2)
+    spec = boosted(model, task, classes)
+    if spec:
+        metrics, shown = _fit_trees(data, width, spec, by_time, 5 if cross_validate else 0)
+        return {
+            "model": model, "task": task, "target": target, "features": ready.features, "labels": ready.labels,
+            "rows": ready.rows, "metrics": metrics, "predictions": shown,
+        }
     if model == "RandomForestClassifier":
         data = balanced_weights(data)
     if model in ("SVC", "SVR"):
@@ -351,6 +358,26 @@ def run_model(
     }
 
 
+def _holdout(data: trees.Binned, by_time: bool) -> trees.Binned:
+    """The same table with fold 1 for the rows held out, 0 for the others."""
+    train, test = split(data.table, by_time)
+    one = train.withColumn("fold", F.lit(0)).unionByName(test.withColumn("fold", F.lit(1)))
+    return replace(data, table=checkpoint(one))
+
+
+def _fit_trees(data: DataFrame, width: int, spec: trees.Spec, by_time: bool, folds: int) -> tuple[dict[str, float], DataFrame]:
+    """Metrics and predictions of the holdout, and the mean score of the folds."""
+    ready = trees.binned(data, width)
+    held, spec = _holdout(ready, by_time), replace(spec, fold=1)
+    (grown,) = trees.fit_many(held, [spec], "trees")
+    found = checkpoint(trees.predictions(held, spec, grown).where("fold = 1"))
+    metrics = _metrics(found, spec.task)
+    if folds:
+        score = "accuracy" if spec.task == "classification" else "r2"
+        metrics["cv_score"] = trees.cross_validated(ready, [spec], folds, score)[0]
+    return metrics, found.select("key", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
 def _neighbours(train: DataFrame, test: DataFrame, width: int) -> DataFrame:
     names = [f"x{i}" for i in range(width)]
 
@@ -431,68 +458,43 @@ def search(
 ) -> dict:
     """Random search over forests and boosted trees, scored by cross-validation, then holdout metrics.
 
-    ``ranges`` narrows ``SEARCH_RANGES``, for instance to fewer boosting rounds on very large tables.
+    The table is binned once, and the models of all trials and folds are fitted together. ``ranges`` narrows
+    ``SEARCH_RANGES``. The result has the score of every trial, in order.
     """
     task = target_task(df, target, 0.8)
     ready = prepare(df, target, task, key)
-    data = ready.data.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(42)), F.lit(folds)).cast("int"))
-    if task == "classification":
-        weighted = balanced_weights(data) if balanced else data.withColumn("weight", F.lit(1.0))
-    else:
-        weighted = data
-    weighted = weighted.cache()
-    try:
-        metric = (
-            MulticlassClassificationEvaluator(labelCol="label", metricName="f1" if balanced else "accuracy")
-            if task == "classification" else RegressionEvaluator(labelCol="label", metricName="rmse")
-        )
-        best = None
-        for family, grid in _trials(task, len(ready.labels), trials, {**SEARCH_RANGES, **(ranges or {})}).items():
-            cv = CrossValidator(
-                estimator=family, estimatorParamMaps=grid, evaluator=metric, numFolds=folds, foldCol="fold", parallelism=2
-            )
-            scores = cv.fit(weighted).avgMetrics
-            for params, score in zip(grid, scores):
-                better = best is None or (score > best[0] if metric.isLargerBetter() else score < best[0])
-                if better:
-                    best = (score, family, params)
-        train, test = split(weighted, by_time)
-        predicted = best[1].copy(best[2]).fit(train).transform(test)
-        metrics = _metrics(predicted, task)
-    finally:
-        weighted.unpersist()
+    fold = F.pmod(F.xxhash64("key", F.lit(42)), F.lit(folds)).cast("int")
+    data = trees.binned(ready.data.withColumn("fold", fold), len(ready.features))
+    classes, weights = max(len(ready.labels), 2), None
+    if task == "classification" and balanced:
+        counts = {int(r["label"]): r["n"] for r in data.table.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        weights = tuple(data.rows / (len(counts) * counts[k]) if k in counts else 0.0 for k in range(classes))
+    specs = _trials(task, classes, trials, {**SEARCH_RANGES, **(ranges or {})}, weights)
+    metric = ("f1" if balanced else "accuracy") if task == "classification" else "rmse"
+    scores = trees.cross_validated(data, specs, folds, metric)
+    best = (min if metric == "rmse" else max)(range(len(specs)), key=scores.__getitem__)
+    held, spec = _holdout(data, by_time), replace(specs[best], fold=1)
+    (grown,) = trees.fit_many(held, [spec], "trees")
+    metrics = _metrics(trees.predictions(held, spec, grown).where("fold = 1"), task)
+    board = [{"trial": i, "kind": s.kind, "trees": s.trees, "depth": s.depth, "least_split": s.least_split, "rate": s.rate, "score": x} for i, (s, x) in enumerate(zip(specs, scores))]
     return {
-        "model": type(best[1]).__name__, "task": task, "target": target, "metrics": {**metrics, "cv_score": float(best[0])},
-        "params": {p.name: v for p, v in best[2].items()}, "trials": trials,
-    }
+        "model": {"forest": "RandomForest", "boost": "GradientBoosting"}[spec.kind] + {"classification": "Classifier", "regression": "Regressor"}[task],
+        "task": task, "target": target, "metrics": {**metrics, "cv_score": scores[best]}, "params": board[best], "trials": len(specs), "board": board,
+    }
 
 
-def _trials(task: str, classes: int, trials: int, ranges: dict[str, tuple]) -> dict[HasFeaturesCol, list[dict]]:
-    """Seeded random settings per model family, within the searched ranges."""
-    rng = random.Random(42)
-    if task == "regression":
-        forest, boosted = RandomForestRegressor(seed=42), GBTRegressor(seed=42)
-    else:
-        forest = RandomForestClassifier(seed=42, weightCol="weight")
-        boosted = GBTClassifier(seed=42, weightCol="weight")
-    # Boosted classifiers separate two classes; for more, one is fitted for each class against the rest.
-    booster = OneVsRest(classifier=boosted, weightCol="weight") if task == "classification" and classes > 2 else boosted
-    grids: dict = {forest: [], booster: []}
+def _trials(task: str, classes: int, trials: int, ranges: dict[str, tuple], weights: tuple[float, ...] | None) -> list[trees.Spec]:
+    """Seeded random settings within the searched ranges, forests and boosted trees in turn."""
+    rng, out = random.Random(42), []
     for i in range(trials):
         if i % 2 == 0:
-            grid = (
-                ParamGridBuilder()
-                .addGrid(forest.numTrees, [rng.randint(*ranges["forest_trees"])])
-                .addGrid(forest.maxDepth, [rng.randint(*ranges["forest_depth"])])
-                .addGrid(forest.minInstancesPerNode, [max(1, rng.randint(*ranges["forest_split"]) // 2)])
-            )
-            grids[forest] += grid.build()
+            out.append(trees.Spec(
+                "forest", task, classes, trees=rng.randint(*ranges["forest_trees"]), depth=rng.randint(*ranges["forest_depth"]),
+                least_split=rng.randint(*ranges["forest_split"]), least_weight=0.0, columns="sqrt" if task == "classification" else "all",
+                class_weights=weights,
+            ))
         else:
-            grid = (
-                ParamGridBuilder()
-                .addGrid(boosted.maxIter, [rng.randint(*ranges["boost_rounds"])])
-                .addGrid(boosted.maxDepth, [rng.randint(*ranges["boost_depth"])])
-                .addGrid(boosted.stepSize, [math.exp(rng.uniform(*(math.log(v) for v in ranges["boost_rate"])))])
-            )
-            grids[booster] += grid.build()
-    return {family: grid for family, grid in grids.items() if grid}
+            rounds, depth = rng.randint(*ranges["boost_rounds"]), rng.randint(*ranges["boost_depth"])
+            rate = math.exp(rng.uniform(*(math.log(v) for v in ranges["boost_rate"])))
+            out.append(trees.Spec("boost", task, classes, trees=rounds, depth=depth, rate=rate, class_weights=weights))
+    return out

@@ -1,9 +1,13 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import domains as dm
 from millrace.operators import models as mo
+from millrace.operators import trees as tr
 from millrace.plans.catalogue import QUERIES
 
 
@@ -144,3 +148,50 @@ def test_registered_queries_run_the_whole_operator(spark, monkeypatch, name):
         QUERIES[f"model_{name}"](spark, "/root/testdata/sf0.001")
     columns = ["o_orderkey", "revenue", "priority", "balance", "segment", "line_count", "qty", "paid", "churn"]
     assert seen == [(columns, ("churn" if name == "search" else "telecom_churn", "o_orderkey"), {})]
+
+
+def test_search_scores_every_trial_on_every_fold(spark):
+    """All trials are accounted for, each with the score of its own fits, and the best one is kept."""
+    _, df = table(spark, 300)
+    ranges = {"forest_trees": (3, 6), "boost_rounds": (3, 6), "forest_depth": (2, 4), "boost_depth": (2, 3)}
+    found = mo.search(df, "ring", "row", trials=6, folds=3, ranges=ranges)
+    assert found["trials"] == len(found["board"]) == 6 and [b["kind"] for b in found["board"]] == ["forest", "boost"] * 3
+    assert found["metrics"]["cv_score"] == max(b["score"] for b in found["board"]) == found["params"]["score"]
+    ready = mo.prepare(df, "ring", "classification", "row")
+    data = tr.binned(ready.data.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(42)), F.lit(3)).cast("int")), len(ready.features))
+    x, y, key, fold = tr._arrays(data.table.toArrow(), data.width)
+    n = np.bincount(y.astype(int))
+    specs = mo._trials("classification", 2, 6, {**mo.SEARCH_RANGES, **ranges}, tuple(len(y) / (2 * n)))
+    for spec, line in zip(specs, found["board"]):
+        scores = []
+        for f in range(3):
+            one = replace(spec, fold=f)
+            grown, held = tr.fit_here(one, x, y, key, fold, data.bins), fold == f
+            scores.append(tr.metrics(one, tr.scored(one, y[held], tr.decided(one, tr.predicted(one, grown, x[held]))))["f1"])
+        assert np.isclose(np.mean(scores), line["score"])
+
+
+def test_search_for_values_takes_the_least_error(spark):
+    _, df = table(spark, 200)
+    found = mo.search(df, "amount", "row", trials=4, folds=2, ranges={"forest_trees": (3, 6), "boost_rounds": (20, 30), "boost_rate": (0.2, 0.3)})
+    assert found["task"] == "regression" and found["metrics"]["cv_score"] == min(b["score"] for b in found["board"])
+    assert found["metrics"]["r2"] > 0.8
+
+
+@pytest.mark.parametrize("model,target", [("GradientBoostingClassifier", "grp"), ("XGBClassifier", "ring"), ("XGBRegressor", "amount"), ("LGBMRegressor", "amount")])
+def test_boosted_models_are_validated(spark, model, target):
+    _, df = table(spark)
+    result = mo.run_model(df, model, "row", target, features=["a", "b"])
+    least = {"grp": 0.9, "ring": 0.85, "amount": 0.9}[target]
+    first = "r2" if target == "amount" else "accuracy"
+    assert result["metrics"][first] >= least and result["metrics"]["cv_score"] >= least and result["predictions"].count() > 40
+
+
+def test_schema_classifier_keeps_the_best_of_its_trials(spark, found):
+    """More trials never score worse, a repeated fit is the same, and schemas of one domain's own words are known."""
+    few, more = (dm.fit_schemas(spark, n) for n in (1, 6))
+    assert few.score <= more.score == max(b["score"] for b in more.board) and len(more.board) == 6 and len(few.board) == 1
+    assert more.board[0] == few.board[0] and dm.fit_schemas(spark, 0).board == few.board
+    got = {r["table"]: (r["domain"], r["probability"]) for r in dm.classify_schemas(found, 6).collect()}
+    assert got["machines"][0] == "predictive_maintenance" and all(1 / len(dm.KEYWORDS) < p <= 1 for _, p in got.values())
+    assert got == {r["table"]: (r["domain"], r["probability"]) for r in dm.classify_schemas(found, 6).collect()}
