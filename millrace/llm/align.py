@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,15 @@ from millrace.llm.words import slices
 from millrace.session import checkpoint
 
 MOST_SENT = 4_000_000  # id pairs whose counts may be broadcast, 17 bytes each; with more they are joined
-CACHED = 600_000  # distinct parts that a worker remembers; more are aligned again
+CACHED = 500_000  # distinct parts that a worker remembers; of more, the half seen most often
+JOINED = 100  # parts that are encoded as one text
+PORTION = 4_000_000  # bytes of texts looked at together, or one longer text
 SUMMED_PAIRS = 2_000_000  # id pairs that a task sums before it hands them on
 # White space of any kind before a space keeps the two together, and a last space stays with what is before it.
 _NOT_CUT = re.compile("[\\s\x85\u180e\u200b\ufeff] | \\Z")
 _CUT = re.compile("(?<=[^\\s\x85\u180e\u200b\ufeff]) (?!\\Z)")
+# The same for RE2, which knows white space of ASCII only: texts that a split at single spaces would not do for.
+_HARD = "(^|[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]) | \\z"
 
 
 def _byte_of() -> dict[str, int]:
@@ -77,6 +82,19 @@ class Aligner:
         self.groups: list[str] = []
         # For each part tokens, tokens, groups, links, bytes (-1 if the tokens are other bytes); then the links and group ends of all.
         self.sizes, self.links, self.ends = np.empty((0, 5), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int64)  # how often each part stood in a text
+
+    def trim(self) -> None:
+        """Forget all but the parts seen most often."""
+        kept = np.sort(np.argsort(-self.seen, kind="stable")[: CACHED // 2])
+        place = np.full(len(self.seen), -1)
+        place[kept] = np.arange(len(kept))
+        self.number = {p: n for p, i in self.number.items() if (n := int(place[i])) >= 0}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        for name, column in (("links", 3), ("ends", 2)):
+            size = self.sizes[:, column]
+            setattr(self, name, _gathered(getattr(self, name), (np.cumsum(size) - size)[kept], size[kept]))
+        self.sizes, self.seen = self.sizes[kept], self.seen[kept] // 2
 
     def parts(self, text: str) -> list[str]:
         """Parts that align on their own, each without the space before it."""
@@ -84,50 +102,63 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _NOT_CUT.search(" " + text) else text.split(" ")
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: list[str]) -> None:
         new = [p for p in parts if p not in self.number]
+        # Parts behind which a space could be cut are encoded many at a time, as one text.
+        joined = [p for p in new if self.splits and p and not _NOT_CUT.search(p[-1] + " x")]
+        alone = [[p] for p in set(new).difference(joined)]
+        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)] + alone
         made = []
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
-            made.append(self._aligned(some))
+        for at in range(0, len(groups), 100):
+            again = self._align(groups[at : at + 100], made)
+            self._align([[p] for g in again for p in g], made)
         if made:
             self.sizes, self.links, self.ends = (np.concatenate(x) for x in zip((self.sizes, self.links, self.ends), *made))
-
-    def _aligned(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        two = [p.pieces for p in self.b.encode(parts, return_type="proto", num_threads=1)]
-        raw = (" " + " ".join(parts)).encode()
-        chars = np.array([len(p) + 1 for p in parts])
-        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # where each character begins
-        place = np.append(lead, len(raw))
+            self.seen = np.append(self.seen, np.zeros(len(self.sizes) - len(self.seen), np.int64))
+
+    def _align(self, groups: list[list[str]], made: list) -> list[list[str]]:
+        """Align each group as one text; gives back groups of several parts that have to be looked at one by one."""
+        if not groups:
+            return []
+        texts = [" ".join(g) for g in groups]
+        one = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        two = [p.pieces for p in self.b.encode(texts, return_type="proto", num_threads=1)]
+        raw = (" " + " ".join(texts)).encode()
+        chars = np.array([len(t) + 1 for t in texts])
+        place = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))  # where characters begin
         first = np.cumsum(chars) - chars
-        edge = place[np.append(first, chars.sum())]  # where each part begins in bytes, and the end
+        edge = place[np.append(first, chars.sum())]  # where each text begins in bytes, and the end
         n_a, n_b = np.array([len(e) for e in one]), np.array([len(p) for p in two])
         a = np.fromiter(chain.from_iterable(e.ids for e in one), np.int64)
         span = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in one)), np.int64).reshape(-1, 2)
         span = place[span + np.repeat(first, n_a)[:, None]]
         a_ends, a_bad = _ends(raw, edge, n_a, a, span, self.a_bytes, self.a_size)
-        b = np.fromiter((p.id for some in two for p in some), np.int64)
-        span = np.fromiter(((p.begin, p.end) for some in two for p in some), np.dtype((np.int64, 2)))
-        span = span + np.repeat(edge[:-1] + 1, n_b)[:, None]
+        read = np.array([(p.id, p.begin, p.end) for some in two for p in some], np.int64).reshape(-1, 3)
+        b, span = read[:, 0], read[:, 1:] + np.repeat(edge[:-1] + 1, n_b)[:, None]
         opening = np.cumsum(n_b) - n_b
         span[opening[n_b > 0], 0] -= 1  # the added space has no span of its own
         b_ends, b_bad = _ends(raw, edge, n_b, b, span, self.b_bytes, self.b_size)
+        # Where each part ends; all are ends of tokens of both sides, or the parts are looked at one by one.
+        length = np.array([len(p.encode()) + 1 for g in groups for p in g])
+        several = np.array([len(g) for g in groups])
+        stop, text = np.cumsum(length), np.repeat(np.arange(len(groups)), several)
+        loose = ~(np.isin(stop, a_ends) & np.isin(stop, b_ends))
         bad = a_bad | b_bad
-        if bad.any():
-            a, a_ends, b, b_ends = (x[~np.repeat(bad, n)] for x, n in ((a, n_a), (a_ends, n_a), (b, n_b), (b_ends, n_b)))
-            n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
+        unclear = (several > 1) & (bad | (np.bincount(text, loose, len(groups)) > 0))
+        a, a_ends, b, b_ends = (x[~np.repeat(bad | unclear, n)] for x, n in ((a, n_a), (a_ends, n_a), (b, n_b), (b_ends, n_b)))
         # Each end of either side is that of one link, with the token of the other side it falls in.
-        cuts = np.union1d(a_ends, b_ends)
+        cuts, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
         links = a[np.searchsorted(a_ends, cuts)] * self.n_b + b[np.searchsorted(b_ends, cuts)]
-        owner = np.searchsorted(edge, cuts) - 1
-        both = np.intersect1d(a_ends, b_ends)
-        theirs = np.searchsorted(edge, both) - 1
-        self.groups += _shown(a, b, a_ends, b_ends, both, theirs, bad)
-        count = lambda x: np.bincount(x, minlength=len(parts))
-        sizes = np.stack([n_a, n_b, count(theirs), count(owner), np.where(bad, -1, np.diff(edge))], 1).astype(np.int64)
-        return sizes, links, both - edge[theirs]
+        part_of = lambda ends: np.searchsorted(stop, ends)
+        count = lambda ends: np.bincount(part_of(ends), minlength=len(stop))
+        sizes = np.stack([count(a_ends), count(b_ends), count(both), count(cuts), np.where(bad[text], -1, length)], 1).astype(np.int64)
+        shown = _shown(a, b, a_ends, b_ends, both, part_of(both), bad[text] | unclear[text])
+        kept = ~unclear[text]
+        made.append((sizes[kept], links, both - (stop - length)[part_of(both)]))
+        names = [p for g, x in zip(groups, unclear.tolist()) if not x for p in g]
+        self.number.update(zip(names, range(len(self.groups), len(self.groups) + len(names))))
+        self.groups += [x for x, k in zip(shown, kept.tolist()) if k]
+        return [g for g, x in zip(groups, unclear.tolist()) if x]
 
 
 def _ends(raw: bytes, edge: np.ndarray, n: np.ndarray, ids: np.ndarray, span: np.ndarray, known: dict | list, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +220,31 @@ def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - size), size)]
 
 
+def _words(al: Aligner, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many parts each text has, and the parts of all."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    plain = pc.and_(pc.invert(pc.match_substring_regex(texts, _HARD)), pc.greater(pc.binary_length(texts), 0)) if al.splits else pa.array([False] * len(texts))
+    easy = pc.split_pattern(texts.filter(plain), " ")
+    hard = pa.array([al.parts(t) if t else [] for t in texts.filter(pc.invert(plain)).to_pylist()], easy.type)
+    # Back in the order of the texts.
+    order = np.argsort(np.argsort(~np.asarray(plain), kind="stable"), kind="stable")
+    lists = pa.concat_arrays([easy, hard]).take(pa.array(order))
+    return np.asarray(lists.value_lengths(), np.int64), lists.flatten()
+
+
+def _counted(owner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of each owner once, and how often it stood there."""
+    if not len(pairs):
+        return owner, pairs, pairs
+    if int(pairs.max()) < 2**40:  # both fit in one number
+        both, times = np.unique((owner << 40) | pairs, return_counts=True)
+        return both >> 40, both & ((1 << 40) - 1), times
+    order = np.lexsort((pairs, owner))
+    owner, pairs = owner[order], pairs[order]
+    begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])))
+    return owner[begin], pairs[begin], np.diff(np.append(begin, len(owner)))
+
+
 def _listed(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, kind))
 
@@ -200,28 +256,30 @@ def _aligned(a: str | None, b: str | None, wide: bool, give_groups: bool):
         al = aligner(a, b)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1), 4_000_000):
-                split = [al.parts(t) if t else [] for t in texts.to_pylist()]
+            for texts in slices(batch.column(1), PORTION):
+                n, words = _words(al, texts)
                 if len(al.number) > CACHED:
-                    al.forget()
-                al.learn({p for parts in split for p in parts})
-                number = al.number
-                part = np.fromiter((number[p] for parts in split for p in parts), np.int64)
+                    al.trim()
+                words = words.dictionary_encode()
+                distinct = words.dictionary.to_pylist()
+                al.learn(distinct)
+                known = np.fromiter(map(al.number.__getitem__, distinct), np.int64, len(distinct))
+                part = known[np.asarray(words.indices)]
+                al.seen += np.bincount(part, minlength=len(al.seen))
                 sizes, links, ends = al.sizes, al.links, al.ends
-                n = np.array([len(parts) for parts in split], np.int64)
-                doc = np.repeat(np.arange(len(split)), n)
-                bad = np.zeros(len(split), bool)
+                doc = np.repeat(np.arange(len(n)), n)
+                bad = np.zeros(len(n), bool)
                 bad[doc[sizes[part, 4] < 0]] = True
                 good = ~bad[doc]
+                named = pa.array([al.groups[i] for i in known.tolist()], pa.string()).take(words.indices.filter(pa.array(good)))
                 part, doc = part[good], doc[good]
-                sums = [np.bincount(doc, sizes[part, k], len(split)).astype(np.int64) for k in range(4)]
+                n = np.where(bad, 0, n)
+                sums = [np.bincount(doc, sizes[part, k], len(n)).astype(np.int64) for k in range(4)]
                 first = np.cumsum(sizes[:, 3]) - sizes[:, 3]
                 pairs = _gathered(links, first[part], sizes[part, 3]) if len(part) else np.empty(0, np.int64)
-                order = np.repeat(doc, sizes[part, 3])
-                both, times = np.unique((order << 40) | pairs if not wide else np.rec.fromarrays([order, pairs]), return_counts=True)
-                owner, pairs = (both >> 40, both & ((1 << 40) - 1)) if not wide else (both["f0"], both["f1"])
-                size = np.bincount(owner.astype(np.int64), minlength=len(split))
-                groups = [";".join([al.groups[number[p]] for p in parts]) if parts and not x else "" for parts, x in zip(split, bad.tolist())]
+                owner, pairs, times = _counted(np.repeat(doc, sizes[part, 3]), pairs)
+                size = np.bincount(owner, minlength=len(n))
+                groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), named), ";").to_pylist()
                 digest = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 columns = [batch.column(0).slice(at, len(texts)), *map(pa.array, sums), pa.array(digest, pa.string())]
                 columns += [_listed(pairs, size, kind), _listed(times, size, pa.int32())]
@@ -229,8 +287,7 @@ def _aligned(a: str | None, b: str | None, wide: bool, give_groups: bool):
                 if give_groups:
                     length = sizes[part, 4]
                     before = np.cumsum(length) - length
-                    begin = np.searchsorted(doc, np.arange(len(split)))
-                    zero = np.append(before, 0)[np.minimum(begin, len(before))]
+                    zero = np.append(before, 0)[np.minimum(np.searchsorted(doc, np.arange(len(n))), len(before))]
                     first = np.cumsum(sizes[:, 2]) - sizes[:, 2]
                     own = _gathered(ends, first[part], sizes[part, 2]) if len(part) else np.empty(0, np.int64)
                     own = own + np.repeat(before - zero[doc], sizes[part, 2])
