@@ -16,24 +16,55 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import word_array
 
-# Label, the notice, its key phrase. Words are lower case; the first three labels are the base ones.
+# Label, the notice or licence text, its key phrase. Words are lower case; the first three keys are the base phrases.
 TEMPLATES = (
-    ("mit", "released under the mit license", "the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("mit", "released under the mit license", "under the mit license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+     "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+     "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+     "see the license for the specific language governing permissions and limitations under the license", "apache license version 2"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+     "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+     "sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+     "copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+     "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose "
+     "and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+     "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+     "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+     "the free software foundation either version 2 of the license or at your option any later version",
+     "gnu general public license as published by the free software foundation either version 2 of the license"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+     "the free software foundation either version 3 of the license or at your option any later version",
+     "gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license version", "gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license version", "gnu affero general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+     "by the free software foundation either version 2 1 of the license or at your option any later version", "gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published "
+     "by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+     "you can obtain one at https mozilla org mpl 2 0", "subject to the terms of the mozilla public license v 2"),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2"),
-    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in "
+     "binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+     "materials provided with the distribution", "redistribution and use in source and binary forms"),
     ("bsd", "released under the bsd license", "bsd license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+     "copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "released under the isc license", "isc license"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc0", "released under cc0 1 0 universal", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+     "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+     "free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+     "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter "
+     "it and redistribute it freely subject to the following restrictions", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("mit", "the mit license", "the mit license"),
 )
 N_BASE = 3
 
@@ -82,9 +113,12 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, n_base: int = N_BASE) ->
         whole = sum(weight[w] for w in notice)
 
         def share(s: Column) -> Column:
-            got = F.lit(0.0)
-            for i, w in enumerate(notice):
-                got = got + F.when(F.get(words, s - lead + i) == w, F.lit(weight[w])).otherwise(0.0)
+            begin = F.greatest(s - lead, F.lit(0))
+            cut = begin - (s - lead)  # words of the notice that would stand before the file
+            there = F.slice(words, begin + 1, F.lit(len(notice)) - cut)
+            pattern = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight[w]).alias("x")) for w in notice])
+            same = F.zip_with(F.slice(pattern, cut + 1, F.lit(len(notice)) - cut), there, lambda p, w: F.when(p["w"] == w, p["x"]).otherwise(0.0))
+            got = F.aggregate(same, F.lit(0.0), lambda a, x: a + x)
             return F.least(F.lit(1.0), F.round(got / whole, 6)) if whole > 0 else F.lit(1.0)
 
         best = F.aggregate(f"t{n}", F.lit(0.0), lambda a, s: F.greatest(a, share(s)))

@@ -83,7 +83,49 @@ def op10_token_counts(t):
     return tokens.count_tokens(t("documents"))
 
 
-@query()
+# Words as lists, templates as rows; a key phrase is looked for at every word of every document.
+_ROWS = ", ".join(f"({i}, '{label}', '{notice}', '{key}')" for i, (label, notice, key) in enumerate(licenses.TEMPLATES))
+LICENSES = rf"""
+WITH t AS (
+    SELECT n, label, string_split(notice, ' ') AS notice, string_split(key, ' ') AS key,
+           list_position(list_transform(generate_series(1, len(string_split(notice, ' '))), lambda i: string_split(notice, ' ')[i:i + len(string_split(key, ' ')) - 1] = string_split(key, ' ')), true) AS lead
+    FROM (VALUES {_ROWS}) v(n, label, notice, key)
+), dw AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[ -/:-`{-]+'), lambda w: w <> '') AS w
+    FROM documents
+), vocabulary AS (
+    SELECT DISTINCT unnest(notice) AS word FROM t
+), df AS (
+    SELECT word, count(*) AS n FROM (SELECT DISTINCT row, unnest(w) AS word FROM dw) WHERE word IN (SELECT word FROM vocabulary) GROUP BY word
+), weight AS (
+    SELECT word, ln(((SELECT count(*) FROM dw) + 1)::DOUBLE / (coalesce(n, 0) + 1)) AS x FROM vocabulary LEFT JOIN df USING (word)
+), parts AS (
+    SELECT t.n, i, notice[i] AS word, x, i - lead AS at FROM t, unnest(generate_series(1, len(notice))) u(i) JOIN weight ON weight.word = notice[i]
+), places AS (
+    SELECT row, n, label, unnest(list_filter(generate_series(1, len(w)), lambda i: w[i] = key[1] AND w[i:i + len(key) - 1] = key)) AS s FROM dw, t
+), shares AS (
+    SELECT p.row, p.n, p.s, least(1.0, round(sum(CASE WHEN p.s + q.at >= 1 AND dw.w[p.s + q.at] = q.word THEN x ELSE 0.0 END ORDER BY i) / sum(x ORDER BY i), 6)) AS share
+    FROM places p JOIN parts q USING (n) JOIN dw USING (row) GROUP BY p.row, p.n, p.s
+), base(n, label, phrase) AS (
+    VALUES (0, 'mit', ['under', 'the', 'mit', 'license']), (1, 'apache-2', ['apache', 'license', 'version', '2']), (2, 'cc-by-nc', ['cc', 'by', 'nc'])
+), based AS (
+    SELECT row, label, unnest(list_filter(generate_series(1, len(w)), lambda i: w[i:i + len(phrase) - 1] = phrase)) - 1 AS s FROM dw, base
+), base_sum AS (
+    SELECT row, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM based GROUP BY row
+), all_sum AS (
+    SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row
+), best AS (
+    SELECT row, max(share) AS score FROM shares GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM dw LEFT JOIN base_sum USING (row) LEFT JOIN all_sum USING (row) LEFT JOIN best USING (row)
+"""
+
+
+@query(LICENSES)
 def op1_license_scan(t):
     """License phrases in all documents."""
     return licenses.scan(t("documents"))
