@@ -62,11 +62,15 @@ def _grown(leaves: DataFrame, most: int) -> list[DataFrame]:
     return levels
 
 
-def _proven(levels: list[DataFrame], above: DataFrame, number: int = 0) -> DataFrame:
-    """`levels[number]` with the columns of `above` (tree, proof, ...), which holds each tree's top: proof grows on the way down."""
-    level, given = levels[number], [c for c in above.columns if c not in ("tree", "proof")]
+def _proven(levels: list[DataFrame], above: DataFrame | None, number: int = 0) -> DataFrame:
+    """`levels[number]` with the columns of `above` (tree, proof, ...), which holds each tree's top: proof grows on the way down.
+
+    Without `above` the tops have nothing above them.
+    """
+    level, given = levels[number], [c for c in above.columns if c not in ("tree", "proof")] if above else []
     shown = [*level.columns, "proof", *given]
-    done = level.where("n = 1").join(above, "tree").select(*shown)
+    done = level.where("n = 1")
+    done = (done.join(above, "tree") if above else done.withColumn("proof", F.array().cast(SIBLINGS))).select(*shown)
     if number + 1 == len(levels):
         return done
     upper = _proven(levels, above, number + 1).select("tree", F.col("at").alias("up"), "proof", *given)
@@ -116,8 +120,7 @@ def manifest(docs: DataFrame, text_now: Column | None = None, give_proof: bool =
     roots = checkpoint(roots.withColumn("subroot", F.col("node")))
     upper = _grown(roots.select("tree", "at", "n", "node"), most)
     root = upper[-1].select("node").first()  # one row at most
-    start = docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(SIBLINGS).alias("proof"))
-    proofs = _proven([roots, *upper[1:]], start).select(F.col("lang").alias("tree"), "proof", "subroot")
+    proofs = _proven([roots, *upper[1:]], None).select(F.col("lang").alias("tree"), "proof", "subroot")
     out = _proven([leaves, *levels[1:]], checkpoint(proofs)).withColumn("root", F.lit(root and root[0]).cast("string"))
     whole = F.aggregate("proof", F.lit(""), lambda x, s: F.concat(x, s["left"], s["right"]))
     out = out.withColumns({"proof_sha256": F.sha2(whole, 256), "folded_root": folded(F.coalesce("now", "node"), F.col("proof"))})
