@@ -1,32 +1,31 @@
-"""Exact k nearest neighbours of many points, by cells around pivots.
+"""Exact k nearest neighbours of many points, by a tree of pivots.
 
-Every point belongs to the cell of its nearest pivot. The pivots' own figures give each query an upper bound of
-its k-th distance, and the triangle inequality then rules out whole cells. Cells are cut into chunks of bounded
-size, so one crowded cell is many tasks.
+The points of a cell are split among some of their own as pivots, and each part again, until a cell has few points or they are
+all the same. Every node keeps the smallest and largest distance of its points to its pivot. A query first meets the points of the
+cells whose pivots are nearest on the way down: the k-th distance found there bounds the true one. Then it goes down again and
+leaves out every node that the triangle inequality puts beyond the bound, on each level, before the nodes below are looked at.
+
+The tree is sent to all tasks; when it would grow beyond MOST_SENT bytes its last cells stay larger. Cells are cut into chunks
+of bounded size, so one crowded cell is many tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 2048
-CHUNK = 4096
-
+from millrace.session import checkpoint
 
-def _sample(points: DataFrame, pivots: int | None) -> np.ndarray:
-    rows = points.count()
-    # About sqrt(n) / 2 cells keep both the cells and the list of cells short.
-    pivots = pivots or min(MAX_PIVOTS, max(16, math.isqrt(rows) // 2))
-    fraction = min(1.0, 4.0 * pivots / max(rows, 1))
-    drawn = points.select("key", "v").sample(False, fraction, seed=42) if fraction < 1 else points.select("key", "v")
-    chosen = drawn.orderBy(F.xxhash64("key", F.lit(42)), "key").limit(pivots).collect()
-    return np.unique(np.array([r["v"] for r in chosen], dtype=float), axis=0)
+FAN = 32  # pivots of a cell that is split
+LEAF = 512  # points of a cell that is not split any more
+CHUNK = 4096  # points of a cell, and a quarter of the queries, that meet in one task
+MOST_SENT = 64_000_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,26 +33,235 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances by differences, free of cancellation, in slices of bounded size."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for s in range(0, len(a), step):
-        d = a[s : s + step, None, :] - b[None, :, :]
-        out[s : s + step] = np.sqrt((d * d).sum(2))
-    return out
+def _closest(a: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the `take` nearest rows of b for each row of a, ties to the smaller row of b.
+
+    Products rule out what is surely farther; the rest is measured by differences, free of cancellation.
+    """
+    middle = b.mean(0)  # products lose less near the origin
+    near = b - middle
+    sb = (near * near).sum(1)
+    out = []
+    for s in range(0, len(a), 1024):
+        part = a[s : s + 1024] - middle
+        sa = (part * part).sum(1)
+        square = sa[:, None] + sb[None, :] - 2.0 * part @ near.T
+        slack = 1e-10 * (sa + sb.max())
+        limit = np.partition(square, take - 1, axis=1)[:, take - 1] + slack
+        rows, columns = np.nonzero(square <= limit[:, None])
+        d, step = np.empty(len(rows)), max(1, 4_000_000 // a.shape[1])
+        for i in range(0, len(rows), step):
+            gap = a[s + rows[i : i + step]] - b[columns[i : i + step]]
+            d[i : i + step] = np.sqrt((gap * gap).sum(1))
+        order = np.lexsort((columns, d, rows))
+        rows, columns, d = rows[order], columns[order], d[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
+        out.append((rows[kept] + s, columns[kept], d[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+@dataclass
+class PivotTree:
+    """Nodes by number, 0 being the root; a node's children stand one after another."""
+
+    pivot: list[np.ndarray] = field(default_factory=list)
+    low: list[float] = field(default_factory=lambda: [0.0])
+    high: list[float] = field(default_factory=lambda: [math.inf])
+    rows: list[int] = field(default_factory=lambda: [0])
+    first: list[int] = field(default_factory=lambda: [0])
+    children: list[int] = field(default_factory=lambda: [0])
+
+    def split(self, node: int, pivots: np.ndarray) -> None:
+        self.first[node], self.children[node] = len(self.first), len(pivots)
+        for p in pivots:
+            self.pivot.append(p)
+            for column, value in ((self.low, 0.0), (self.high, 0.0), (self.rows, 0), (self.first, 0), (self.children, 0)):
+                column.append(value)
+
+    def below(self, node: int) -> np.ndarray:
+        return np.arange(self.first[node], self.first[node] + self.children[node])
+
+    def at(self, nodes: np.ndarray) -> np.ndarray:
+        """Pivots of nodes other than the root."""
+        return np.stack([self.pivot[i - 1] for i in nodes.tolist()])
+
+    def leaves(self, node: int) -> np.ndarray:
+        """The cells under a node."""
+        out, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            todo += self.below(n).tolist()
+            if not self.children[n]:
+                out.append(n)
+        return np.array(sorted(out))
+
+    def nearest(self, v: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each vector the cells with the nearest pivots that hold at least `least` points together.
+
+        A vector follows the nearest pivots down to the last node of so many points, and takes as many of its cells as that needs.
+        """
+        node, rows = np.zeros(len(v), np.int64), np.array(self.rows)
+        todo = np.arange(len(v)) if self.children[0] else np.empty(0, np.int64)
+        while len(todo):
+            going = []
+            for n in np.unique(node[todo]).tolist():
+                some = todo[node[todo] == n]
+                to = self.first[n] + _distances(v[some], self.at(self.below(n))).argmin(1)
+                enough = rows[to] >= least
+                node[some[enough]] = to[enough]
+                going.append(some[enough])
+            todo = np.concatenate(going)
+            todo = todo[np.array(self.children)[node[todo]] > 0]
+        out: list = [None] * len(v)
+        for n in np.unique(node).tolist():
+            some, under = np.flatnonzero(node == n), self.leaves(n)
+            if len(under) == 1:
+                for i in some.tolist():
+                    out[i] = under
+                continue
+            order = np.argsort(_distances(v[some], self.at(under)), axis=1, kind="stable")
+            needed = (np.cumsum(rows[under][order], 1) < least).sum(1) + 1
+            for i, o, m in zip(some.tolist(), order, needed.tolist()):
+                out[i] = under[o[:m]]
+        return out
+
+    def within(self, v: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+        """For each vector the cells that may hold a point no farther than its bound."""
+        query, node = np.arange(len(v)), np.zeros(len(v), np.int64)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        low, high, children = np.array(self.low), np.array(self.high), np.array(self.children)
+        while len(query):
+            leaf = children[node] == 0
+            ends.append((query[leaf], node[leaf]))
+            query, node = query[~leaf], node[~leaf]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for n in np.unique(node).tolist():
+                some, below = query[node == n], self.below(n)
+                d = _distances(v[some], self.at(below))
+                limit = bound[some][:, None] + 1e-6 * (1.0 + d)
+                # Points of a child are no farther from its pivot than from those beside it, so half the gap bounds them too.
+                i, j = np.nonzero((d - high[below] <= limit) & (low[below] - d <= limit) & ((d - d.min(1)[:, None]) / 2 <= limit))
+                found.append((some[i], below[j]))
+            query, node = (np.concatenate(x) for x in zip(*found)) if found else (query[:0], node[:0])
+        query, node = (np.concatenate(x) for x in zip(*ends))
+        order = np.argsort(query, kind="stable")
+        return np.split(node[order], np.searchsorted(query[order], np.arange(1, len(v))))
 
 
-def _placed(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the cell and the distance to its pivot."""
+def _grown(points: DataFrame, fan: int, leaf: int) -> tuple[PivotTree, DataFrame]:
+    """The tree over `points` (key, v), and the points with `cell` and `dist`, the distance to the cell's pivot."""
+    spark, tree = points.sparkSession, PivotTree()
+    placed = points.select("key", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("dist"))
+    tree.rows[0] = placed.count()
+    split, level = [0] if tree.rows[0] > leaf else [], 0
+    while split:
+        level += 1
+        big = spark.createDataFrame([(n,) for n in split], "cell int")
+        first = Window.partitionBy("cell").orderBy(F.xxhash64("key", F.lit(41 + level)), "key")
+        drawn = placed.join(big, "cell").withColumn("r", F.row_number().over(first)).where(F.col("r") <= fan).select("cell", "v")
+        pivots: dict[int, list] = {}
+        for r in drawn.collect():  # at most `fan` for each cell, of which MOST_SENT bounds the number
+            pivots.setdefault(r["cell"], []).append(r["v"])
+        for n, some in pivots.items():
+            unique = np.unique(np.array(some, float), axis=0)
+            if len(unique) > 1:
+                tree.split(n, unique)
+        sent = spark.sparkContext.broadcast(tree)
 
-    @F.pandas_udf("cell int, dist double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(v.to_numpy()).astype(float), pivots)
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(d)), cell]})
+        @F.pandas_udf("cell int, dist double")
+        def moved(cell: pd.Series, dist: pd.Series, v: pd.Series) -> pd.DataFrame:
+            t, cell, dist = sent.value, cell.to_numpy().copy(), dist.to_numpy().copy()
+            for n in np.unique(cell).tolist():
+                if t.children[n]:
+                    some = np.flatnonzero(cell == n)
+                    d = _distances(np.stack(v.iloc[some].to_numpy()).astype(float), t.at(t.below(n)))
+                    to = d.argmin(1)
+                    cell[some], dist[some] = t.first[n] + to, d[np.arange(len(some)), to]
+            return pd.DataFrame({"cell": cell.astype("int32"), "dist": dist})
+
+        placed = checkpoint(placed.withColumn("_p", moved("cell", "dist", "v")).select("key", "v", "_p.cell", "_p.dist"))
+        grown = [i for n in split for i in tree.below(n).tolist()]
+        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("a"), F.max("dist").alias("b")).collect():
+            if r["cell"]:
+                tree.rows[r["cell"]], tree.low[r["cell"]], tree.high[r["cell"]] = r["n"], r["a"], r["b"]
+        split = [i for i in grown if tree.rows[i] > leaf and tree.high[i] > 0]
+        if len(tree.pivot) and (len(tree.pivot) + fan * len(split)) * 8 * len(tree.pivot[0]) > MOST_SENT:
+            split = []
+    return tree, placed
+
+
+def _meet(sent: DataFrame, placed: DataFrame, tree: PivotTree, kept: int, chunk: int, schema: str, whole: bool = True) -> DataFrame:
+    """(query, neighbour, distance): the nearest points of each cell for `sent` (key, v, bound, cell), none beyond the bound.
+
+    Cells are cut into chunks; without `whole` only the first chunk of a cell is met.
+    """
+    spark = placed.sparkSession
+    visits = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row for each cell
+    # A cell that many queries visit serves them in several blocks, so no task holds all of them.
+    deal = spark.createDataFrame(
+        [(c, max(1, math.ceil(tree.rows[c] / chunk)), max(1, math.ceil(n / (4 * chunk)))) for c, n in visits.items()] or [(-1, 1, 1)],
+        "cell int, parts int, blocks int",
+    )
+    part, block = F.pmod(F.xxhash64("key"), "parts").cast("int"), F.pmod(F.xxhash64("key", F.lit(7)), "blocks").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = placed.join(deal, "cell").select("cell", part.alias("part"), "key", "v", every("blocks").alias("block"))
+    parts = every("parts") if whole else F.lit(0)
+    sent = sent.join(deal, "cell").select("cell", parts.alias("part"), "key", "v", "bound", block.alias("block"))
+
+    def match(group_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
+        right = right.sort_values("key")
+        a, b = (np.stack(side["v"].to_numpy()).astype(float) for side in (left, right))
+        i, j, d = _closest(a, b, min(kept, len(b)))
+        near = d <= left["bound"].to_numpy()[i] * (1 + 1e-9) + 1e-12
+        return pd.DataFrame({"query": left["key"].to_numpy()[i[near]], "neighbour": right["key"].to_numpy()[j[near]], "distance": d[near]})
+
+    by = ["cell", "part", "block"]
+    return sent.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(match, schema)
 
-    return points.withColumn("_p", nearest("v")).select("key", "v", "_p.cell", "_p.dist")
+
+@dataclass
+class Search:
+    """What a search has built: its tree, its points, and `sent`, the cells that each query visits."""
+
+    tree: PivotTree
+    placed: DataFrame
+    sent: DataFrame
+    kept: int
+    chunk: int
+    schema: str
+
+    def visited(self) -> int:
+        """Pairs of query and point that are compared when the cells are visited."""
+        rows = self.tree.rows
+        return sum(r["n"] * rows[r["cell"]] for r in self.sent.groupBy("cell").agg(F.count("*").alias("n")).collect())
+
+
+def _prepared(q: DataFrame, p: DataFrame, kept: int, fan: int, leaf: int, chunk: int) -> Search:
+    schema = f"query {q.schema['key'].dataType.simpleString()}, neighbour {p.schema['key'].dataType.simpleString()}, distance double"
+    tree, placed = _grown(p, fan, leaf)
+    sent_tree = p.sparkSession.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        found = sent_tree.value.nearest(np.stack(v.to_numpy()).astype(float), kept) if len(v) else []
+        return pd.Series([x.astype("int32") for x in found])
+
+    @F.pandas_udf("array<int>")
+    def within(v: pd.Series, bound: pd.Series) -> pd.Series:
+        found = sent_tree.value.within(np.stack(v.to_numpy()).astype(float), bound.to_numpy()) if len(v) else []
+        return pd.Series([x.astype("int32") for x in found])
+
+    infinite = F.lit(float("inf"))
+    start = q.select("key", "v", infinite.alias("bound"), F.explode(nearest("v")).alias("cell"))
+    first = _meet(checkpoint(start), placed, tree, kept, chunk, schema, whole=False)
+    # A few cells of a query give at most `kept` distances each; the bound is the k-th of them.
+    distances = F.sort_array(F.collect_list("distance"))
+    bounds = checkpoint(first.groupBy(F.col("query").alias("key")).agg(F.get(distances, F.lit(kept - 1)).alias("bound")))
+    known = q.join(bounds, "key", "left").select("key", "v", F.coalesce("bound", infinite).alias("bound"))
+    sent = checkpoint(known.select("key", "v", "bound", F.explode(within("v", "bound")).alias("cell")))
+    return Search(tree, placed, sent, kept, chunk, schema)
 
 
 def knn(
@@ -65,80 +273,32 @@ def knn(
     query_vector: Column,
     point_vector: Column,
     skip_same_key: bool = False,
-    pivots: int | None = None,
+    fan: int = FAN,
+    leaf: int = LEAF,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """(query, neighbour, distance, rank): the k nearest points of every query; ties go to the smaller key."""
-    spark = points.sparkSession
-    kept = k + 1 if skip_same_key else k
-    q = queries.select(F.col(query_key).alias("key"), query_vector.cast("array<double>").alias("v")).where("v is not null")
-    p = points.select(F.col(point_key).alias("key"), point_vector.cast("array<double>").alias("v")).where("v is not null")
-    centres = _sample(p, pivots)
-    schema = f"query {q.schema['key'].dataType.simpleString()}, neighbour {p.schema['key'].dataType.simpleString()}, distance double"
-    if not len(centres):
-        return spark.createDataFrame([], schema + ", rank int")
-    placed = _placed(p, centres)
-
-    # Per cell: rows, radius and the k smallest distances to the pivot. At most pivots * k numbers.
-    near_pivot = Window.partitionBy("cell").orderBy("dist", "key")
-    closest = placed.select("cell", "dist", "key").withColumn("r", F.row_number().over(near_pivot)).where(F.col("r") <= kept)
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    inner = np.full((len(centres), kept), np.inf)
-    for r in closest.select("cell", "r", "dist").collect():
-        inner[r["cell"], r["r"] - 1] = r["dist"]
-    radius = np.full(len(centres), -np.inf)
-    chunks = np.ones(len(centres), dtype=np.int64)
-    for r in sizes:
-        radius[r["cell"]], chunks[r["cell"]] = r["radius"], math.ceil(r["n"] / chunk)
-
-    @F.pandas_udf("array<int>")
-    def cells_to_visit(v: pd.Series) -> pd.Series:
-        d = _distances(np.stack(v.to_numpy()).astype(float), centres)
-        out = []
-        for row in d:
-            bound = np.partition((row[:, None] + inner).ravel(), kept - 1)[kept - 1]
-            slack = 1e-6 * (1.0 + row)
-            out.append(np.nonzero(row - radius <= bound + slack)[0].astype("int32"))
-        return pd.Series(out)
-
-    chunk_of = F.array(*[F.lit(int(n)) for n in chunks])
-    part_count = F.element_at(chunk_of, F.col("cell") + 1)
-    stored = placed.select("cell", F.pmod(F.xxhash64("key"), part_count).cast("int").alias("part"), "key", "v")
-    sent = q.select("key", "v", F.explode(cells_to_visit("v")).alias("cell"))
-    sent = sent.select("key", "v", "cell", F.explode(F.sequence(F.lit(0), part_count.cast("int") - 1)).alias("part"))
-    # A cell that many queries visit serves them in several blocks, so no task holds all of them.
-    visits = {r["cell"]: r["n"] for r in sent.where("part = 0").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = F.array(*[F.lit(max(1, math.ceil(visits.get(i, 0) / (4 * chunk)))) for i in range(len(centres))])
-    block_count = F.element_at(blocks, F.col("cell") + 1)
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), block_count).cast("int"))
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1)))
-
-    def match(group_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        right = right.sort_values("key")
-        rv, rk = np.stack(right["v"].to_numpy()).astype(float), right["key"].to_numpy()
-        lk = left["key"].to_numpy()
-        lv = np.stack(left["v"].to_numpy()).astype(float)
-        parts = []
-        take = min(kept, len(rk))
-        for s in range(0, len(lk), 1024):
-            d = _exact(lv[s : s + 1024], rv)
-            best = np.argsort(d, axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(d)), take)
-            parts.append(
-                pd.DataFrame({"query": lk[s : s + 1024][rows], "neighbour": rk[best.ravel()], "distance": d[rows, best.ravel()]})
-            )
-        return pd.concat(parts)
-
-    by = ["cell", "part", "block"]
-    found = sent.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(match, schema)
+    """(query, neighbour, distance, rank): the k nearest points of every query; ties go to the smaller key. Keys are unique."""
+    ready = search(queries, points, k + 1 if skip_same_key else k, query_key, point_key, query_vector, point_vector, fan, leaf, chunk)
+    if ready is None:
+        kinds = [f.schema[c].dataType.simpleString() for f, c in ((queries, query_key), (points, point_key))]
+        return points.sparkSession.createDataFrame([], f"query {kinds[0]}, neighbour {kinds[1]}, distance double, rank int")
+    found = _meet(ready.sent, ready.placed, ready.tree, ready.kept, ready.chunk, ready.schema)
     if skip_same_key:
         found = found.where(F.col("query") != F.col("neighbour"))
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search(
+    queries: DataFrame, points: DataFrame, kept: int, query_key: str, point_key: str, query_vector: Column, point_vector: Column,
+    fan: int = FAN, leaf: int = LEAF, chunk: int = CHUNK,
+) -> Search | None:
+    """The tree of the points and the cells each query visits for its `kept` nearest; None without points."""
+    side = lambda f, key, v: f.select(F.col(key).alias("key"), v.cast("array<double>").alias("v")).where("v is not null")
+    q, p = side(queries, query_key, query_vector), side(points, point_key, point_vector)
+    return _prepared(q, p, kept, fan, leaf, chunk) if not p.isEmpty() else None
+
+
 def knn_classify(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from millrace.operators.anomaly import anomaly_summary, score_rows
 from millrace.operators.cluster import assign_kmeans, principal_components
 from millrace.operators.forecast import forecast, step_seconds
 from millrace.operators.impute import chained_impute
-from millrace.operators.neighbours import knn, knn_outliers
+from millrace.operators.neighbours import knn, knn_outliers, search
 
 
 def brute_rules(baskets, support, confidence):
@@ -100,7 +100,7 @@ def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     points = np.vstack([rng.normal(0, 1, (150, 5)), np.zeros((80, 5))])
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<double>")
-    got = knn(df, df, 3, "id", "id", F.col("v"), F.col("v"), skip_same_key=True, pivots=12, chunk=20).toPandas()
+    got = knn(df, df, 3, "id", "id", F.col("v"), F.col("v"), skip_same_key=True, fan=4, leaf=9, chunk=5).toPandas()
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     for i in range(len(points)):
@@ -166,3 +166,30 @@ def test_forecast_recovers_line_and_week(spark):
     t = np.arange(200, 228)
     assert np.abs(ahead["yhat"] - (100 + 0.5 * t + 10 * np.sin(2 * np.pi * t / 7))).max() < 4
     assert (ahead["yhat_lower"] <= ahead["yhat"]).all() and len(ahead) == 28
+
+
+def test_nearest_of_clustered_wide_vectors_visit_few_pairs(spark):
+    """Sixty-four columns, sixty clusters and a crowd of equal points: exact, with a small share of all pairs looked at."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(0, 0.05, (3000, 64))
+    x[:300] = centres[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    shares = []
+    for n in (1500, 3000):
+        some = df.where(F.col("id") < n)
+        shares.append(search(some, some, 6, "id", "id", F.col("v"), F.col("v"), leaf=40, fan=16).visited() / n**2)
+    assert shares[1] < 0.15 and shares[0] < 0.2
+    got = knn(df, df, 5, "id", "id", F.col("v"), F.col("v"), skip_same_key=True, leaf=40, fan=16, chunk=100).toPandas().sort_values(["query", "rank"])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)) if len(x) <= 500 else np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert (got["neighbour"].to_numpy().reshape(-1, 5) == want).mean() > 0.999
+    assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), np.take_along_axis(d, want, 1))
+
+
+def test_nearest_with_few_or_no_points(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, None)], "id int, v array<double>")
+    assert [tuple(r) for r in knn(df, df, 5, "id", "id", F.col("v"), F.col("v"), skip_same_key=True).orderBy("query").collect()] == [(1, 2, 3.0, 1), (2, 1, 3.0, 1)]
+    assert knn(df, df.where("id = 3"), 2, "id", "id", F.col("v"), F.col("v")).collect() == []
+    assert knn(df.where("id = 3"), df, 2, "id", "id", F.col("v"), F.col("v")).collect() == []
