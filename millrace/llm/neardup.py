@@ -225,7 +225,9 @@ def _classes(docs: DataFrame, words_: int, threshold: float, tolerance: float) -
     # Written first, so that the join can be split at a band that very many nodes share.
     met = checkpoint(bands.groupBy("band").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
     groups = components(bands.join(met.hint("merge"), "band").select("a", F.col("v").alias("b")))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    # Written first as well: a group may hold a large share of all nodes.
+    groups = checkpoint(groups)
+    sizes = checkpoint(groups.groupBy("root").agg(F.count("*").alias("size")))
     member = nodes.join(groups.hint("merge"), nodes["k1"] == groups["v"]).join(sizes.hint("merge"), "root")
     member = checkpoint(member.select("root", "v", "copies", "sig", "first.doc_id", "first.h", F.ceil(F.col("size") / TILE).cast("int").alias("parts")))
 
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     Repeated rows are copies of each other. Missing ids come last. An empty table gives an empty result.
     """
     rows, nodes = _classes(docs, words, threshold, tolerance)
-    ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
+    ids = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("least")))
     nodes = checkpoint(nodes.join(ids.hint("merge"), "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("least.doc_id").alias("its"), (F.col("links") + F.col("copies") - 1).alias("links")))
     out = rows.join(nodes.hint("merge"), (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     known = F.col("links").isNotNull()
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one row of each class: that of the smallest id."""
     rows, nodes = _classes(docs, words, threshold, TOLERANCE)
-    ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
+    ids = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("least")))
     nodes = nodes.join(ids.hint("merge"), "root").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "least")
     both = rows.join(nodes.hint("merge"), (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
