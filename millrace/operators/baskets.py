@@ -1,27 +1,33 @@
 """Baskets, frequent itemsets up to three items, and association rules.
 
-Counting follows count distribution: every task counts all candidates over its own baskets with matrix
-products and emits one number per candidate, so neither item pairs nor baskets are shuffled. The candidate
-number depends on the frequent items, not on the data.
+Counting follows count distribution: every task counts all candidates over its own baskets with matrix products and emits one
+number per candidate, so neither item pairs nor baskets are shuffled. Beyond TILE frequent items, or more candidate triples
+than may be sent, the pairs and triples of each basket are counted by aggregations instead. Items, pairs, candidates and
+results are tables; none of them passes through the driver beyond those bounds.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cast import number
 from millrace.functions.names import quoted
+from millrace.operators.ordering import row_index
 from millrace.operators.quantiles import exact_quantiles
+from millrace.session import checkpoint
 
-# Items counted per pass: the task-local count matrix has TILE x TILE cells.
+# Items counted by matrices: a task's counts have TILE x TILE cells.
 TILE = 2048
 CELLS = 4_000_000
+# Candidate triples that may be sent to every task, 24 bytes each.
+MOST_SENT = 500_000
 MIN_BASKETS = 8
 
 
@@ -44,115 +50,126 @@ def baskets_from_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(items.alias("items")).where(F.size("items") > 0)
 
 
-def _frequent(counts: DataFrame, total: int, min_support: float) -> list[tuple[str, int]]:
-    """Items in at least ``min_support * total`` baskets: no more than mean basket size / min_support."""
-    kept = counts.where(F.col("n") / F.lit(max(total, 1)) >= min_support)
-    return sorted((r["item"], r["n"]) for r in kept.collect())
+@dataclass
+class _Short:
+    """Baskets cut down to frequent items as positions, ascending; the items with their counts; both as written tables."""
 
+    baskets: DataFrame  # items array<int>
+    items: DataFrame  # pos, item, n
+    width: int  # number of items
+    total: int  # number of baskets
 
-def _short_baskets(baskets: DataFrame, min_support: float) -> tuple[DataFrame, list[tuple[str, int]], int]:
-    """Baskets cut down to frequent items (as positions), those items with counts, and the basket count.
 
-    Takes either distinct (basket, item) pairs or rows with an ``items`` array.
+def _short_baskets(baskets: DataFrame, min_support: float) -> _Short:
+    """Takes either distinct (basket, item) pairs or rows with an ``items`` array without repeats.
+
+    The frequent items number no more than mean basket size / min_support. They stay a table; only up to TILE of them are
+    put into the plan, to number the items of rows in place.
     """
     if "items" in baskets.columns:
         total = baskets.count()
-        counts = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-        items = _frequent(counts, total, min_support)
-        if not items:
-            return baskets.select(F.array().cast("array<int>").alias("items")), items, total
-        index = F.create_map(*[e for i, (name, _) in enumerate(items) for e in (F.lit(name), F.lit(i))])
-        return baskets.select(F.array_compact(F.transform("items", lambda x: index[x])).alias("items")), items, total
-    total = baskets.agg(F.count_distinct("basket").alias("n")).first()["n"]
-    items = _frequent(baskets.groupBy("item").agg(F.count("*").alias("n")), total, min_support)
-    numbered = baskets.sparkSession.createDataFrame([(i, name) for i, (name, _) in enumerate(items)], "pos int, item string")
-    # After the join a basket holds frequent items only, so its set is short whatever the basket's size was.
-    short = baskets.join(F.broadcast(numbered), "item").groupBy("basket").agg(F.collect_set("pos").alias("items"))
-    return short.select("items"), items, total
-
-
-def _count_pairs(baskets: DataFrame, a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
-    """Baskets that hold item i of tile a and item j of tile b, for all i < j."""
+        pairs = baskets.select(F.explode("items").alias("item"))
+    else:
+        total = baskets.agg(F.count_distinct("basket").alias("n")).first()["n"]
+        pairs = baskets
+    counts = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") / F.lit(max(total, 1)) >= min_support)
+    items = checkpoint(row_index(counts, ["item"], "pos").select(F.col("pos").cast("int").alias("pos"), "item", "n"))
+    width = items.count()
+    if "items" in baskets.columns and width <= TILE:
+        index = F.create_map(*[e for r in items.collect() for e in (F.lit(r["item"]), F.lit(r["pos"]))])
+        found = F.array_compact(F.transform("items", lambda x: index[x])) if width else F.array().cast("array<int>")
+        short = baskets.select(F.array_sort(found).alias("items"))
+    else:
+        if "items" in baskets.columns:
+            numbered = checkpoint(baskets.select("items").withColumn("basket", F.monotonically_increasing_id()))
+            baskets = numbered.select("basket", F.explode("items").alias("item"))
+        # After the join a basket holds frequent items only, so its set is short whatever the basket's size was.
+        short = baskets.join(items, "item").groupBy("basket").agg(F.array_sort(F.collect_set("pos")).alias("items")).select("items")
+    return _Short(checkpoint(short.where(F.size("items") > 1)), items, width, total)
+
+
+def _pairs(short: _Short) -> DataFrame:
+    """(i, j, n): baskets that hold both items, i < j."""
+    if short.width > TILE:
+        first = short.baskets.select("items", F.posexplode("items").alias("at", "i"))
+        both = first.select("i", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("j"))
+        return both.groupBy("i", "j").agg(F.count("*").alias("n"))
+    width = short.width
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((a[1] - a[0], b[1] - b[0]))
+        total = np.zeros((width, width))
         for batch in batches:
-            for left, right in _matrices(batch["items"], a, b):
-                total += left.T @ right
-        i, j = np.nonzero(total)
-        keep = i + a[0] < j + b[0]
-        i, j = i[keep], j[keep]
-        yield pd.DataFrame({"i": i + a[0], "j": j + b[0], "n": total[i, j].astype("int64")})
-
-    return baskets.mapInPandas(count, "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
+            for m in _matrices(batch["items"], width):
+                total += m.T @ m
+        i, j = np.nonzero(np.triu(total, 1))
+        yield pd.DataFrame({"i": i, "j": j, "n": total[i, j].astype("int64")})
 
+    return short.baskets.mapInPandas(count, "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
 
-def _matrices(items: pd.Series, *tiles: tuple[int, int]):
-    """0/1 matrices (basket x item of the tile) in slices of bounded size."""
-    width = max(hi - lo for lo, hi in tiles)
-    step = max(1, CELLS // max(width, 1))
-    for start in range(0, len(items), step):
-        part = items.iloc[start : start + step]
-        rows = np.repeat(np.arange(len(part)), [len(x) for x in part])
-        cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in part]) if len(part) else np.empty(0, np.int64)
-        out = []
-        for lo, hi in tiles:
-            m = np.zeros((len(part), hi - lo), dtype=np.float32)
-            inside = (cols >= lo) & (cols < hi)
-            m[rows[inside], cols[inside] - lo] = 1.0
-            out.append(m)
-        yield out
 
+def _triples(short: _Short, pairs: DataFrame, least: Column, most_sent: int) -> DataFrame:
+    """(i, j, k, n) of the frequent triples. Candidates are a self-join of the frequent pairs.
 
-def _count_triples(baskets: DataFrame, triples: list[tuple[int, int, int]], width: int) -> DataFrame:
-    candidates = np.array(triples, dtype=np.int64)
+    Up to `most_sent` of them are sent to the tasks and counted there; more are counted from the baskets' own triples whose
+    first two items are a frequent pair.
+    """
+    one = pairs.select("i", "j")
+    two, three = one.select("i", F.col("j").alias("k")), one.select(F.col("i").alias("j"), F.col("j").alias("k"))
+    candidates = checkpoint(one.join(two, "i").where("j < k").join(three, ["j", "k"]).select("i", "j", "k"))
+    n = candidates.count() if short.width <= TILE else most_sent + 1
+    if n > most_sent:
+        first = short.baskets.where(F.size("items") > 2).select("items", F.posexplode("items").alias("at", "i"))
+        rest = first.select("i", F.slice("items", F.col("at") + 2, F.size("items")).alias("items"))
+        second = rest.select("i", "items", F.posexplode("items").alias("at", "j")).join(one, ["i", "j"])
+        each = second.select("i", "j", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("k"))
+        return each.groupBy("i", "j", "k").agg(F.count("*").alias("n")).where(least)
+    width = short.width
+    table = candidates.orderBy("i", "j", "k").toArrow()
+    sent = candidates.sparkSession.sparkContext.broadcast(np.array([table[c].to_numpy() for c in "ijk"], dtype=np.int64).reshape(3, -1))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(candidates), dtype=np.int64)
+        x, y, z = sent.value
+        total = np.zeros(len(x), dtype=np.int64)
         for batch in batches:
-            for (m,) in _matrices(batch["items"], (0, width)):
+            for m in _matrices(batch["items"], width):
                 bits = m.astype(bool)
                 step = max(1, CELLS // max(len(bits), 1))
-                for s in range(0, len(candidates), step):
-                    x, y, z = candidates[s : s + step].T
-                    total[s : s + step] += (bits[:, x] & bits[:, y] & bits[:, z]).sum(axis=0)
+                for s in range(0, len(x), step):
+                    e = s + step
+                    total[s:e] += (bits[:, x[s:e]] & bits[:, y[s:e]] & bits[:, z[s:e]]).sum(axis=0)
         hit = np.nonzero(total)[0]
-        yield pd.DataFrame({"t": hit, "n": total[hit]})
+        yield pd.DataFrame({"i": x[hit], "j": y[hit], "k": z[hit], "n": total[hit]})
 
-    return baskets.mapInPandas(count, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    counted = short.baskets.mapInPandas(count, "i int, j int, k int, n bigint")
+    return counted.groupBy("i", "j", "k").agg(F.sum("n").alias("n")).where(least)
 
 
-def frequent_itemsets(source: DataFrame, min_support: float = 0.15, max_k: int = 3) -> tuple[DataFrame, int]:
+def _matrices(items: pd.Series, width: int) -> Iterator[np.ndarray]:
+    """0/1 matrices (basket x item) in slices of bounded size."""
+    step = max(1, CELLS // max(width, 1))
+    for start in range(0, len(items), step):
+        part = items.iloc[start : start + step]
+        m = np.zeros((len(part), width), dtype=np.float32)
+        m[np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate([np.asarray(x, dtype=np.int64) for x in part])] = 1.0
+        yield m
+
+
+def frequent_itemsets(source: DataFrame, min_support: float = 0.15, max_k: int = 3, most_sent: int = MOST_SENT) -> tuple[DataFrame, int]:
     """(items, size, n, support) of every frequent set of one to three items, and the basket count."""
-    spark = source.sparkSession
-    baskets, items, total = _short_baskets(source, min_support)
-    names = [name for name, _ in items]
-    found = {(i,): n for i, (_, n) in enumerate(items)}
     if max_k not in (2, 3):
         raise ValueError(f"sets of up to 2 or 3 items are counted, got {max_k}")
-    tiles = [(lo, min(lo + TILE, len(names))) for lo in range(0, len(names), TILE)]
-    frequent_pairs: set[tuple[int, int]] = set()
-    for a, b in itertools.combinations_with_replacement(tiles, 2):
-        # Kept pairs are the output itself; their number does not follow the number of baskets.
-        for r in _count_pairs(baskets, a, b).where(F.col("n") / F.lit(total) >= min_support).collect():
-            found[(r["i"], r["j"])] = r["n"]
-            frequent_pairs.add((r["i"], r["j"]))
-    if max_k == 3 and frequent_pairs:
-        after: dict[int, list[int]] = {}
-        for i, j in sorted(frequent_pairs):
-            after.setdefault(i, []).append(j)
-        triples = [
-            (i, j, k)
-            for i, js in after.items()
-            for j, k in itertools.combinations(js, 2)
-            if (j, k) in frequent_pairs
-        ]
-        if triples:
-            counted = _count_triples(baskets, triples, len(names))
-            for r in counted.where(F.col("n") / F.lit(total) >= min_support).collect():
-                found[triples[r["t"]]] = r["n"]
-    rows = [([names[i] for i in key], len(key), n, n / total) for key, n in sorted(found.items())]
-    return spark.createDataFrame(rows, "items array<string>, size int, n bigint, support double"), total
+    short = _short_baskets(source, min_support)
+    least = F.col("n") / F.lit(max(short.total, 1)) >= min_support
+    pairs = checkpoint(_pairs(short).where(least))
+    sets = [short.items.select(F.array("pos").alias("at"), "n"), pairs.select(F.array("i", "j").alias("at"), "n")]
+    if max_k == 3:
+        sets.append(_triples(short, pairs, least, most_sent).select(F.array("i", "j", "k").alias("at"), "n"))
+    every = checkpoint(reduce(DataFrame.unionByName, sets).select("n", F.size("at").alias("size"), *[F.get("at", F.lit(i)).alias(f"p{i}") for i in range(max_k)]))
+    # Positions back to names, one join for each place.
+    for i in range(max_k):
+        every = every.join(short.items.select(F.col("pos").alias(f"p{i}"), F.col("item").alias(f"i{i}")), f"p{i}", "left")
+    names = F.array_compact(F.array(*[F.col(f"i{i}") for i in range(max_k)]))
+    return every.select(names.alias("items"), "size", "n", (F.col("n") / F.lit(short.total)).alias("support")), short.total
 
 
 def rules_from_itemsets(itemsets: DataFrame, min_confidence: float = 0.5, limit: int | None = 40) -> DataFrame:
@@ -201,35 +218,24 @@ def association_of_highs(
 
     Baskets need two items, the table twenty baskets. One row per direction.
     """
-    spark = df.sparkSession
     schema = "antecedent string, consequent string, support double, confidence double, max_confidence double, suspicious boolean"
     cuts = exact_quantiles(df, {n: number(df, n) for n in numbers}, [0.9])
     tags = [F.when(F.col(quoted(n)).isNotNull(), F.concat(F.lit(f"{n}="), F.col(quoted(n)).cast("string"))) for n in texts]
     tags += [F.when(number(df, n) >= cuts[n][0], F.lit(f"{n}=HIGH")) for n in numbers if cuts[n][0] is not None]
     if len(tags) < 2:
-        return spark.createDataFrame([], schema)
-    rows = df.select(F.array_compact(F.array(*tags)).alias("items")).where(F.size("items") >= 2)
-    # The items of a row come from at most ten columns, so all pairs of a row are a fixed, small number.
-    stats = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).collect()
-    total = rows.count()
+        return df.sparkSession.createDataFrame([], schema)
+    rows = checkpoint(df.select(F.array_compact(F.array(*tags)).alias("items")).where(F.size("items") >= 2))
+    # Items of a frequent pair are frequent themselves, so no other is counted with others.
+    found, total = frequent_itemsets(rows, min_support, 2)
     if total < 20:
-        return spark.createDataFrame([], schema)
-    names = sorted(r["item"] for r in stats)
-    counts = {r["item"]: r["n"] for r in stats}
-    index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    numbered = rows.select(F.transform("items", lambda x: index[x]).alias("items"))
-    pairs = _count_pairs(numbered, (0, len(names)), (0, len(names)))
-    label = F.array(*[F.lit(n) for n in names])
-    occurrences = F.array(*[F.lit(counts[n]) for n in names])
-    sides = pairs.select(
-        F.element_at(label, F.col("i") + 1).alias("a"),
-        F.element_at(label, F.col("j") + 1).alias("b"),
-        (F.col("n") / F.lit(total)).alias("support"),
-        (F.col("n") / F.element_at(occurrences, F.col("i") + 1)).alias("ab"),
-        (F.col("n") / F.element_at(occurrences, F.col("j") + 1)).alias("ba"),
-    )
+        return df.sparkSession.createDataFrame([], schema)
+    found = checkpoint(found)
+    single = found.where("size = 1").select(F.col("items")[0].alias("item"), F.col("n").alias("times"))
+    pairs = found.where("size = 2").select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "n", "support")
+    pairs = pairs.join(single.withColumnsRenamed({"item": "a", "times": "n_a"}), "a").join(single.withColumnsRenamed({"item": "b", "times": "n_b"}), "b")
+    sides = pairs.select("a", "b", "support", (F.col("n") / F.col("n_a")).alias("ab"), (F.col("n") / F.col("n_b")).alias("ba"))
     strong = F.greatest("ab", "ba")
-    kept = sides.where((F.col("support") >= min_support) & (strong >= min_confidence))
+    kept = sides.where(strong >= min_confidence)
     directions = F.array(
         F.struct(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), F.col("ab").alias("confidence")),
         F.struct(F.col("b").alias("antecedent"), F.col("a").alias("consequent"), F.col("ba").alias("confidence")),

@@ -5,11 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import checkpoint
+
 CHANGEPOINTS = 25
 # Prior scales as in the usual additive model: trend 5, changepoints 0.05, seasons 10.
 TREND_SCALE, HINGE_SCALE, SEASON_SCALE = 5.0, 0.05, 10.0
@@ -129,3 +133,98 @@ def forecast_by_series(points: DataFrame, key: str, periods: int = 30) -> DataFr
     ds = F.date_add("last", F.col("step"))
     yhat = F.col("b") + F.col("a") * F.datediff(ds, F.lit("1970-01-01"))
     return ahead.select(key, ds.alias("ds"), yhat.alias("yhat"), (yhat - INTERVAL * F.col("sigma")).alias("yhat_lower"), (yhat + INTERVAL * F.col("sigma")).alias("yhat_upper"))
+
+
+# Terms of a series by date: one, trend, hinges, then sines and cosines of the year and of the week.
+YEAR, WEEK = 10, 3
+WIDTH = 2 + CHANGEPOINTS + 2 * (YEAR + WEEK)
+# Rows of series that one task sums; longer series are cut into parts of as many.
+ROWS_PER_TASK = 200_000
+LEAST_POINTS = 10
+
+
+def date_terms(day: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(rows, WIDTH): terms of each date (days since 1970) of a series of `n` points from `first` to `last`.
+
+    The year needs two years of dates, the week two weeks with less than a week between dates; the terms of others are 0.
+    """
+    span = np.maximum(last - first, 1.0)
+    scaled = (day - first) / span
+    out = np.zeros((len(day), WIDTH))
+    out[:, 0], out[:, 1] = 1.0, scaled * TREND_SCALE
+    at = 0.8 * np.arange(1, CHANGEPOINTS + 1) / (CHANGEPOINTS + 1)
+    out[:, 2 : 2 + CHANGEPOINTS] = np.maximum(scaled[:, None] - at, 0.0) * HINGE_SCALE
+    place = 2 + CHANGEPOINTS
+    dense = span / np.maximum(n - 1, 1) < 7
+    for period, order, known in ((365.25, YEAR, span >= 730), (7.0, WEEK, (span >= 14) & dense)):
+        angle = (day * 2.0 * math.pi / period)[:, None] * np.arange(1, order + 1)
+        out[:, place : place + order] = np.sin(angle) * SEASON_SCALE * known[:, None]
+        out[:, place + order : place + 2 * order] = np.cos(angle) * SEASON_SCALE * known[:, None]
+        place += 2 * order
+    return out
+
+
+def seasonal_by_series(points: DataFrame, key: str, periods: int = 30, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key, ds, yhat, yhat_lower, yhat_upper): each series of (key, ds date, y) by its own trend, year and week.
+
+    The fit is that of `forecast`: a ridge regression on changepoint hinges and Fourier terms. Its normal equations are summed
+    over parts of the rows and solved for many keys at a time, so neither a long series nor many short ones meet in one task.
+    Series with fewer than LEAST_POINTS dated values are left out; several values of a date all count.
+    """
+    day = F.datediff("ds", F.lit("1970-01-01")).cast("double")
+    known = points.where("ds IS NOT NULL AND y IS NOT NULL").select(F.col(key).alias("key"), day.alias("day"), F.col("y").cast("double").alias("y"))
+    known = known.where("key IS NOT NULL AND NOT isnan(y)")
+    facts = known.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.max(F.abs("y")).alias("top"),
+        F.var_pop("y").alias("variance"), F.corr("y", "day").alias("r"),
+    )
+    facts = checkpoint(facts.where(F.col("n") >= LEAST_POINTS))
+    total = facts.agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()
+    kind = known.schema["key"].dataType.simpleString()
+    buckets = max(1, math.ceil((total["n"] or 0) / rows_per_task), math.ceil(total["keys"] / 5000))
+    parts = F.ceil(F.col("n") / F.lit(rows_per_task))
+    rows = known.join(facts, "key").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("key", "day", "y"), parts)).otherwise(F.lit(-1)))
+    rows = rows.withColumn("place", F.when(F.col("part") < 0, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key")))
+
+    def sums(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "day", "y"], kind="stable")
+        names, begin = np.unique(frame["key"].to_numpy(), return_index=True)
+        edges, out = [*begin.tolist(), len(frame)], []
+        columns = {c: frame[c].to_numpy(float) for c in ("day", "y", "first", "last", "n", "top")}
+        for a, b in zip(edges, edges[1:]):
+            square, cross, own = np.zeros((WIDTH, WIDTH)), np.zeros(WIDTH), 0.0
+            for s in range(a, b, 20_000):
+                some = {c: v[s : min(b, s + 20_000)] for c, v in columns.items()}
+                x, y = date_terms(some["day"], some["first"], some["last"], some["n"]), some["y"] / np.where(some["top"] > 0, some["top"], 1.0)
+                square, cross, own = square + x.T @ x, cross + x.T @ y, own + float(y @ y)
+            out.append((square[np.triu_indices(WIDTH)].tobytes(), cross.tobytes(), own))
+        return pd.DataFrame({"key": names, "square": [o[0] for o in out], "cross": [o[1] for o in out], "own": [o[2] for o in out]})
+
+    part = rows.groupBy("place", "part").applyInPandas(sums, f"key {kind}, square binary, cross binary, own double")
+    solved = part.join(facts, "key").withColumn("place", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "own", "square"], kind="stable").reset_index(drop=True)
+        names, begin = np.unique(frame["key"].to_numpy(), return_index=True)
+        upper = np.add.reduceat(np.stack([np.frombuffer(s) for s in frame["square"]]), begin)
+        cross = np.add.reduceat(np.stack([np.frombuffer(s) for s in frame["cross"]]), begin)
+        own = np.add.reduceat(frame["own"].to_numpy(), begin)
+        n, first, last, top, variance, r = (frame[c].to_numpy(float)[begin] for c in ("n", "first", "last", "top", "variance", "r"))
+        top = np.where(top > 0, top, 1.0)
+        square = np.zeros((len(names), WIDTH, WIDTH))
+        i, j = np.triu_indices(WIDTH)
+        square[:, i, j] = square[:, j, i] = upper
+        noise = np.maximum(variance / top**2 * (1.0 - np.nan_to_num(r) ** 2), 1e-8)
+        held = square + noise[:, None, None] * np.diag([0.0] + [1.0] * (WIDTH - 1))
+        w = np.linalg.solve(held, cross[:, :, None])[:, :, 0]
+        error = own - 2 * (w * cross).sum(1) + np.einsum("ki,kij,kj->k", w, square, w)
+        sigma = np.sqrt(np.maximum(error, 0.0) / n) * top
+        ahead = np.tile(np.arange(1, periods + 1), len(names))
+        at = np.repeat(np.arange(len(names)), periods)
+        days = last[at] + ahead
+        yhat = (date_terms(days, first[at], last[at], n[at]) * w[at]).sum(1) * top[at]
+        ds = (np.datetime64("1970-01-01") + days.astype(int)).astype(object)
+        return pd.DataFrame({"key": names[at], "ds": ds, "yhat": yhat, "yhat_lower": yhat - INTERVAL * sigma[at], "yhat_upper": yhat + INTERVAL * sigma[at]})
+
+    ahead = solved.groupBy("place").applyInPandas(solve, f"key {kind}, ds date, yhat double, yhat_lower double, yhat_upper double")
+    return ahead.withColumnRenamed("key", key)

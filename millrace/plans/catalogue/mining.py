@@ -6,7 +6,7 @@ from millrace.functions.cast import moment
 from millrace.operators import models as mo
 from millrace.operators.baskets import baskets_from_pairs, baskets_from_rows, frequent_itemsets, mine_rules
 from millrace.operators.cluster import assign_kmeans, principal_components
-from millrace.operators.forecast import forecast_by_series, daily_last, forecast, outlook
+from millrace.operators.forecast import daily_last, forecast, forecast_by_series, outlook, seasonal_by_series
 from millrace.operators.impute import chained_impute, imputation_preview
 from millrace.operators.neighbours import knn, knn_classify
 from millrace.plans.catalogue.base import query, rounded
@@ -181,6 +181,14 @@ def forecast_series(t):
     return rounded(found.withColumn("ds", F.date_format("ds", "yyyy-MM-dd")), 2)
 
 
+@query("forecast_seasonal_by_series")
+def forecast_seasonal_series(t):
+    """Daily order values of each nation, carried on by trend, year and week."""
+    points = t.sql("SELECT c_nationkey AS nation, CAST(o_orderdate AS DATE) AS ds, SUM(o_totalprice) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+    found = seasonal_by_series(points, "nation", 30)
+    return rounded(found.withColumn("ds", F.date_format("ds", "yyyy-MM-dd")), 2)
+
+
 @query("forecast_outlook")
 def forecast_outlook(t):
     points = daily_last(t.events, moment(t.events, "ts"), F.col("value"), F.col("event_id"))

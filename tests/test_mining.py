@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import baskets as bk
 from millrace.operators import density
+from millrace.operators import forecast as fc
 from millrace.operators.anomaly import anomaly_summary, score_rows
 from millrace.operators.cluster import assign_kmeans, principal_components
 from millrace.operators.forecast import forecast, step_seconds
@@ -193,3 +194,65 @@ def test_nearest_with_few_or_no_points(spark):
     assert [tuple(r) for r in knn(df, df, 5, "id", "id", F.col("v"), F.col("v"), skip_same_key=True).orderBy("query").collect()] == [(1, 2, 3.0, 1), (2, 1, 3.0, 1)]
     assert knn(df, df.where("id = 3"), 2, "id", "id", F.col("v"), F.col("v")).collect() == []
     assert knn(df.where("id = 3"), df, 2, "id", "id", F.col("v"), F.col("v")).collect() == []
+
+
+@pytest.mark.parametrize("tile,most", [(2048, 500_000), (2048, 0), (3, 0)])
+def test_itemsets_of_rows_are_the_same_by_every_way_of_counting(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(bk, "TILE", tile)
+    rng = np.random.default_rng(9)
+    sets = [sorted({str(x) for x in rng.choice(list("abcdefgh"), size=rng.integers(0, 7))}) for _ in range(90)]
+    df = spark.createDataFrame([(s,) for s in sets], "items array<string>")
+    found, total = bk.frequent_itemsets(df, 0.08, most_sent=most)
+    got = {tuple(r["items"]): (r["size"], r["n"], round(r["support"], 9)) for r in found.collect()}
+    want = {}
+    for size in (1, 2, 3):
+        for c in itertools.combinations("abcdefgh", size):
+            n = sum(set(c) <= set(s) for s in sets)
+            if n / 90 >= 0.08:
+                want[c] = (size, n, round(n / 90, 9))
+    assert total == 90 and got == want and max(len(k) for k in got) == 3
+    assert bk.frequent_itemsets(df.limit(0), 0.2, most_sent=most)[0].collect() == []
+
+
+def test_seasonal_forecast_of_each_series_is_its_own_ridge(spark):
+    """Against the closed form for each series, in one part and in many; the week and the year come back."""
+    rng = np.random.default_rng(5)
+    frames = []
+    for name, n in (("a", 900), ("b", 60), ("c", 9), ("d", 300)):
+        day = np.arange(n) * (10 if name == "d" else 1)
+        y = 50 + 0.03 * day + 4 * np.sin(2 * np.pi * day / 7) + (6 * np.cos(2 * np.pi * day / 365.25) if n > 800 else 0) + rng.normal(0, 0.3, n)
+        frames.append(pd.DataFrame({"k": name, "ds": pd.to_datetime("2020-01-06") + pd.to_timedelta(day, "D"), "y": y}))
+    frame = pd.concat(frames)
+    frame["ds"] = frame["ds"].dt.date
+    df = spark.createDataFrame(frame)
+    bad = spark.createDataFrame([("a", None, 1.0), (None, None, 2.0)], df.schema)
+    for size in (100_000, 70):
+        got = fc.seasonal_by_series(df.unionByName(bad), "k", 14, rows_per_task=size).toPandas().sort_values(["k", "ds"])
+        assert sorted(set(got["k"])) == ["a", "b", "d"] and len(got) == 42
+        for name, one in frame.groupby("k"):
+            if name == "c":
+                continue
+            day = (pd.to_datetime(one["ds"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
+            y, n = one["y"].to_numpy(), len(one)
+            ahead = day[-1] + np.arange(1, 15)
+            terms = lambda d: fc.date_terms(d, np.full(len(d), day[0]), np.full(len(d), day[-1]), np.full(len(d), float(n)))
+            x, top = terms(day), np.abs(y).max()
+            noise = max(y.var() / top**2 * (1 - np.corrcoef(y, day)[0, 1] ** 2), 1e-8)
+            w = np.linalg.solve(x.T @ x + noise * np.diag([0] + [1] * (x.shape[1] - 1)), x.T @ (y / top))
+            mine = got[got["k"] == name]
+            assert np.allclose(mine["yhat"], terms(ahead) @ w * top, rtol=1e-6)
+            sigma = np.sqrt(((y / top - x @ w) ** 2).mean()) * top
+            assert np.allclose(mine["yhat_upper"] - mine["yhat"], 1.2816 * sigma, rtol=1e-4)
+    a = got[got["k"] == "a"]
+    days = 900 + np.arange(14)
+    truth = 50 + 0.03 * days + 4 * np.sin(2 * np.pi * days / 7) + 6 * np.cos(2 * np.pi * days / 365.25)
+    assert np.abs(a["yhat"].to_numpy() - truth).max() < 1.5
+
+
+def test_seasonal_forecast_of_one_series_equals_the_single_one(spark):
+    day = np.arange(800)
+    y = 20 + 0.01 * day + 3 * np.sin(2 * np.pi * day / 7) + np.random.default_rng(6).normal(0, 0.2, 800)
+    ds = pd.to_datetime("2021-03-01") + pd.to_timedelta(day, "D")
+    single = fc.forecast(spark.createDataFrame(pd.DataFrame({"ds": ds, "y": y})), 10).toPandas().sort_values("ds")
+    by = fc.seasonal_by_series(spark.createDataFrame(pd.DataFrame({"k": 1, "ds": ds.date, "y": y})), "k", 10).toPandas().sort_values("ds")
+    assert np.allclose(single["yhat"], by["yhat"], rtol=1e-3) and np.allclose(single["yhat_lower"], by["yhat_lower"], rtol=2e-3)
