@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.ordering import row_index
 from millrace.operators.windows import last_rows, trend_slope
+from millrace.session import drop_folder
 
 # Register name -> (address, scale).
 REGISTERS = {
@@ -116,42 +116,87 @@ def start_alerts(stream: DataFrame, entity: str, time: str, tie: str, folder: st
     return writer.outputMode("append").start()
 
 
-def _replace(df: DataFrame, folder: str, batch: int) -> None:
-    """Write a state beside the former one and point to it last, so readers and repeated batches see a whole one."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{folder}/state={batch}")
-    spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{folder}/done")
+# Parts of a keyed state; a batch rewrites those that its rows belong to.
+PARTS = 64
 
 
-def _state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole state, or the newest before a batch that is being repeated."""
-    try:
-        done = spark.read.schema("batch long").parquet(f"{folder}/done")
-    except AnalysisException:
-        return None
-    newest = (done if before is None else done.where(F.col("batch") < before)).agg(F.max("batch").alias("b")).first()["b"]
-    return None if newest is None else spark.read.parquet(f"{folder}/state={newest}")
+def _manifests(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches whose states are complete and still there, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [s.getPath() for s in files.listStatus(path)]
+    done = [p.getName() for p in found if p.getName().startswith("at=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[3:]) for n in done)
+
+
+def _pointers(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """Which batch wrote each part of a state; at most as many rows as parts."""
+    return {r["part"]: r["batch"] for r in spark.read.parquet(f"{folder}/at={number}").collect()}
+
+
+def _parts(spark: SparkSession, folder: str, pointers: Mapping[int, int]) -> DataFrame | None:
+    paths = [f"{folder}/batch={b}/part={p}" for p, b in sorted(pointers.items())]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     """What a job of this module has kept up to date in a folder."""
-    state = _state(spark, folder)
+    done = _manifests(spark, folder)
+    state = _parts(spark, folder, _pointers(spark, folder, done[-1])) if done else None
     if state is None:
         raise ValueError(f"nothing has been written to {folder} yet")
     return state
 
 
-def _upsert(stream: DataFrame, folder: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], once: bool):
-    """Merge every batch into the table kept in a folder; nothing passes through the driver."""
+def _upsert(stream: DataFrame, folder: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], once: bool, key: str | None = None, parts: int = PARTS):
+    """Merge every batch into the table kept in a folder; nothing but part numbers passes through the driver.
+
+    The state lies in parts by a hash of the key, or in one without a key. A batch reads and writes the parts of its own rows,
+    beside the former ones, and then a list of all parts: readers and repeated batches see a whole state. The state before
+    stays until the next batch; what only older lists name is deleted.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int") if key else F.lit(0)
 
     def step(batch: DataFrame, number: int) -> None:
-        _replace(merge(_state(batch.sparkSession, folder, number), batch), folder, number)
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
+            done = [n for n in _manifests(spark, folder) if n < number]
+            before = _pointers(spark, folder, done[-1]) if done else {}
+            if touched:
+                old = _parts(spark, folder, {p: b for p, b in before.items() if p in touched})
+                merge(old, batch).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/batch={number}")
+            now = {**before, **dict.fromkeys(touched, number)}
+            if now:
+                listed = spark.createDataFrame([(p, b) for p, b in now.items()], "part int, batch long")
+                listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/at={number}")
+            _forget(spark, folder, done, before, now)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
 
 
-def start_latest(stream: DataFrame, entity: str, time: str, tie: str, folder: str, checkpoint: str, once: bool = True):
+def _forget(spark: SparkSession, folder: str, done: list[int], before: Mapping[int, int], now: Mapping[int, int]) -> None:
+    """Delete the lists older than the last one, and the parts that only they name."""
+    kept = {*before.items(), *now.items()}
+    for number in done[:-1]:
+        for p, b in set(_pointers(spark, folder, number).items()) - kept:
+            drop_folder(spark, f"{folder}/batch={b}/part={p}")
+        drop_folder(spark, f"{folder}/at={number}")
+    named = {b for _, b in kept}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+        name = s.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) not in named:
+            drop_folder(spark, f"{folder}/{name}")
+
+
+def start_latest(stream: DataFrame, entity: str, time: str, tie: str, folder: str, checkpoint: str, once: bool = True, parts: int = PARTS):
     """Keep the latest values per machine as a table of one row for each."""
     columns = [c for c in METRICS if c in stream.columns]
 
@@ -162,7 +207,7 @@ def start_latest(stream: DataFrame, entity: str, time: str, tie: str, folder: st
         rank = F.struct(time, tie)
         return both.groupBy(entity).agg(F.max_by(F.struct(time, tie, *columns), rank).alias("_last")).select(entity, "_last.*")
 
-    return _upsert(stream, folder, checkpoint, merge, once)
+    return _upsert(stream, folder, checkpoint, merge, once, entity, parts)
 
 
 def start_trend(stream: DataFrame, value: str, order_by: list[str], folder: str, checkpoint: str, last: int = 50, once: bool = True):

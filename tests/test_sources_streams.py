@@ -122,3 +122,33 @@ def test_expired_days(spark):
     days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in range(1, 11)], "day date")
     assert live.expired_days(days, 7).count() == 2
     assert days.where(F.col("day").isNull()).count() == 0
+
+
+def test_polling_runs_by_the_clock_and_rewrites_touched_parts_only(spark, tmp_path):
+    """The 5 s trigger runs again and again until it is stopped; a batch leaves other parts alone, and old states go."""
+    landed, kept, state = (str(tmp_path / n) for n in ("landed", "kept", "state"))
+    first = [(m, f"M{m}", [700 + m] * 10) for m in range(12)]
+    raw(spark, first).coalesce(1).write.mode("append").parquet(landed)
+    stream = live.decode(live.as_stream(spark, landed, raw(spark, []).schema, per_trigger=1))
+    query = live.start_latest(stream, "device", "timestamp", "source", kept, state, once=False, parts=8)
+    try:
+        query.processAllAvailable()
+        files = lambda: {str(p.relative_to(kept)) for p in (tmp_path / "kept").rglob("*.parquet") if "batch=" in str(p)}
+        one = files()
+        assert live.read_latest(spark, kept).count() == 12
+        for turn in range(4):  # one machine at a time
+            raw(spark, [(100 + turn, "M3", [900 + turn] * 10)]).coalesce(1).write.mode("append").parquet(landed)
+            query.processAllAvailable()
+        runs = [p for p in query.recentProgress if p["numInputRows"]]
+        starts = [dt.datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")) for p in runs]
+        assert len(runs) >= 5 and all((b - a).total_seconds() >= 4.9 for a, b in zip(starts, starts[1:]))
+    finally:
+        query.stop()
+    assert not query.isActive
+    got = {r["device"]: r["temperature"] for r in live.read_latest(spark, kept).collect()}
+    assert len(got) == 12 and got["M3"] == 90.3 and got["M5"] == 70.5
+    # All parts but that of the one machine are the files of the first batch; of the others the last two are left.
+    late = {f for f in files() if not f.startswith("batch=0/")}
+    assert len({f.split("/")[0] for f in late}) == 2 and len({f.split("/")[1] for f in late}) == 1
+    assert {f for f in files() if f.startswith("batch=0/")} == {f for f in one if f.split("/")[1] != next(iter(late)).split("/")[1]}
+    assert len(live._manifests(spark, kept)) == 2
