@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,30 +66,86 @@ def keyword_search(docs: DataFrame, question: str, top_k: int = 6, key: str = "r
     return kept.orderBy("place").select("row_id", "document", "score", source.alias("source"))
 
 
-def keyword_search_many(docs: DataFrame, questions: DataFrame, top_k: int = 6, key: str = "row_id", text: str = "document") -> DataFrame:
-    """The same for many questions (question_id, question) at once.
+# Questions whose words are sent to the tasks at a time; more are asked in further passes over the documents.
+BLOCK = 20_000
+# (document, question) pairs that a task scores at a time.
+PAIRS = 2_000_000
 
-    Question words meet document words in one equi-join; counts are combined before the shuffle, and the top-k
-    limit is applied on the map side.
+
+def keyword_search_many(docs: DataFrame, questions: DataFrame, top_k: int = 6, key: str = "row_id", text: str = "document", block: int = BLOCK) -> DataFrame:
+    """The same for many questions (question_id, question) at once: question_id, row_id, score, rank.
+
+    A block of questions goes to every task as an index from words to questions. A task keeps the best `top_k` documents of each
+    question and lets go of what scores less than the last of them, so no more than that leaves it for the final ranking.
+    Documents that share no word with a question are not listed for it.
     """
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(quoted(text))), F.lit(f"({TOKEN})"), 1)))
-    doc_words = docs.select(F.col(quoted(key)).alias("row_id"), words.alias("word"))
-    asked = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(f"({TOKEN})"), 1)))
-    question_words = questions.select("question_id", asked.alias("word"))
-    overlap = doc_words.join(question_words, "word").groupBy("question_id", "row_id").agg(F.count("*").cast("int").alias("score"))
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN})"), 1))
     trouble = F.lit(False)
     for w in TROUBLE_QUESTIONS:
         trouble = trouble | F.contains(F.lower("question"), F.lit(w))
     told = F.lit(False)
     for w in TROUBLE_ROWS:
         told = told | F.contains(F.lower(F.col(quoted(text))), F.lit(w))
-    troubled = docs.where(told).select(F.col(quoted(key)).alias("row_id"), F.lit(True).alias("told"))
-    asks = questions.select("question_id", trouble.alias("asks"))
-    boosted = overlap.join(asks, "question_id").join(troubled, "row_id", "left")
-    score = F.col("score") + F.when(F.col("asks") & F.col("told"), 2).otherwise(0)
+    asked = questions.select("question_id", tokens(F.col("question")).alias("words"), F.coalesce(trouble, F.lit(False)).alias("asks"))
+    read = docs.select(F.col(quoted(key)).alias("row_id"), tokens(F.col(quoted(text))).alias("words"), F.coalesce(told, F.lit(False)).alias("told"))
+    kinds = [f.schema[c].dataType.simpleString() for f, c in ((asked, "question_id"), (read, "row_id"))]
+    schema = f"question_id {kinds[0]}, row_id {kinds[1]}, score int"
+    blocks = max(1, math.ceil(asked.count() / block))
+    found = []
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        found.append(read.mapInArrow(_ranked(some.toArrow(), top_k), schema))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "row_id")
-    ranked = boosted.select("question_id", "row_id", score.alias("score")).withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= top_k)
+    every = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return every.where(F.col("rank") <= top_k)
+
+
+def _ranked(questions: pa.Table, top_k: int):
+    """Keep the best documents of each question while the documents go by."""
+    names, asks = questions["question_id"].combine_chunks(), np.asarray(questions["asks"], bool)
+    lists = questions["words"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(names)), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+    order = np.argsort(np.asarray(words.indices), kind="stable")
+    asking, vocabulary = owner[order], words.dictionary
+    size = np.bincount(np.asarray(words.indices), minlength=len(vocabulary))
+    first = np.cumsum(size) - size
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pd.DataFrame({"q": np.empty(0, np.int64), "row_id": [], "score": np.empty(0, np.int64)})
+        least = np.zeros(len(names), np.int64)  # the score of the last document kept, 0 before there are enough
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            ids, told = b.column(0).to_pandas(), np.asarray(b.column(2), bool)
+            lengths = np.asarray(b.column(1).value_lengths().fill_null(0), np.int64)
+            flat = b.column(1).flatten()
+            place = pc.index_in(flat, value_set=vocabulary.cast(flat.type))
+            doc = np.repeat(np.arange(len(ids)), lengths)[np.asarray(place.is_valid())]
+            word = np.asarray(place.drop_null(), np.int64)
+            load = np.cumsum(size[word])
+            cuts = np.searchsorted(load, np.arange(PAIRS, load[-1] if len(load) else 0, PAIRS))
+            # A cut never goes through a document.
+            edges = np.unique([0, *np.searchsorted(doc, doc[cuts]).tolist(), len(doc)])
+            for s, e in zip(edges, edges[1:]):
+                n = size[word[s:e]]
+                total = np.cumsum(n)
+                question = asking[np.arange(total[-1]) + np.repeat(first[word[s:e]] - (total - n), n)]
+                pair, score = np.unique(np.repeat(doc[s:e], n) * len(names) + question, return_counts=True)
+                d, q = pair // len(names), pair % len(names)
+                score = score + 2 * (asks[q] & told[d])
+                fair = score >= least[q]
+                new = pd.DataFrame({"q": q[fair], "row_id": ids.iloc[d[fair]].to_numpy(), "score": score[fair]})
+                kept = pd.concat([kept, new]) if len(kept) else new
+                kept = kept.sort_values(["q", "score", "row_id"], ascending=[True, False, True]).groupby("q").head(top_k)
+                full = kept.groupby("q")["score"].agg(["size", "min"])
+                full = full[full["size"] == top_k]
+                least[full.index.to_numpy(np.int64)] = full["min"]
+        if len(kept):
+            columns = [names.take(pa.array(kept["q"].to_numpy())), pa.array(kept["row_id"], kind), pa.array(kept["score"].to_numpy(), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", "row_id", "score"])
+
+    return rank
 
 
 def cosine(a: Column, b: Column) -> Column:
