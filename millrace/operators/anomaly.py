@@ -29,7 +29,7 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow(points: np.ndarray, depth_limit: int, seed: int) -> list[tuple]:
+def grow(points: np.ndarray, depth_limit: int, seed: int) -> list[tuple]:
     """One tree as (node, feature, cut, path) rows; children of node i are 2i+1 and 2i+2."""
     rng = np.random.default_rng(seed)
     nodes, todo = [], [(0, 0, points)]
@@ -102,13 +102,13 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, size:
     depth = math.ceil(math.log2(size))
     names = [f"x{i}" for i in range(len(columns))]
 
-    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        nodes = _grow(group[names].to_numpy(float), depth, seed + int(key[0]))
+    def one_tree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        nodes = grow(group[names].to_numpy(float), depth, seed + int(key[0]))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "path"])
         out.insert(0, "tree", int(key[0]))
         return out
 
-    grown = _samples(data, rows, trees, size, seed).groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    grown = _samples(data, rows, trees, size, seed).groupBy("tree").applyInPandas(one_tree, TREE_SCHEMA)
     # At most trees * (2 * size - 1) nodes.
     return Forest(grown.collect(), trees, size, depth)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
@@ -12,13 +15,17 @@ from pyspark.sql import functions as F
 
 from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns, quoted, resolve
-from millrace.operators.anomaly import anomaly_summary
+from millrace.operators import trees
+from millrace.operators.anomaly import SAMPLE, TREES, Forest, anomaly_summary, grow
 from millrace.operators.features import add_features
 from millrace.operators.models import balanced_weights
 from millrace.operators.windows import last_rows, latest
 from millrace.session import checkpoint
 
 BASE_RISK = 15.0
+LEAST_ROWS = 15  # rows that anomalies need
+RECENT = 24  # latest rows whose label probability counts
+GROUP_ROWS = 500_000  # rows of an entity that one task judges
 LABELS = ("failure", "fault", "alarm", "label", "churn", "default", "readmission")
 
 
@@ -77,7 +84,8 @@ def risk_score(df: DataFrame, domain: str, order_by: Sequence[str], entity: str
     """(entity, rule_risk, anomaly_rate, label_probability, risk): rules, then anomalies, then a classifier.
 
     Half of the score is the anomaly rate; with a label of two to five values 60 % of the result is the mean
-    forest probability of the last 24 rows. The result stays within 0.5 and 99.5.
+    forest probability of the last 24 rows. The result stays within 0.5 and 99.5. With an entity each one has its own
+    forests over its own rows.
     """
     # Scored, sampled and trained on several times below; the windows behind it run once.
     work = checkpoint(add_features(df, domain, order_by))
@@ -88,11 +96,20 @@ def risk_score(df: DataFrame, domain: str, order_by: Sequence[str], entity: str
         *[F.col(quoted(o)).alias(f"_o{i}") for i, o in enumerate(order_by)],
         *[F.coalesce(number(work, n), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)],
         (F.coalesce(number(work, label), F.lit(0.0)) if label else F.lit(0.0)).alias("raw_label"),
+        *([F.col(quoted(entity)).alias("_entity")] if entity else []),
     )
     features = [f"x{i}" for i in range(len(names))]
+    if entity:
+        order = [f"_o{i}" for i in range(len(order_by))]
+        filled = filled.withColumn("entity", F.col("_entity").cast("string"))
+        judged = _judged_entities(filled.drop("_entity"), features, order, bool(label))
+        both = rules.alias("r").join(judged.alias("j"), F.col("r.entity").eqNullSafe(F.col("j.entity")), "left")
+        risk = F.when(F.col("anomaly_rate").isNull(), F.col("rule_risk")).otherwise(0.5 * F.col("rule_risk") + 50.0 * F.col("anomaly_rate"))
+        risk = F.when(F.col("label_probability").isNull(), risk).otherwise(0.4 * risk + 60.0 * F.col("label_probability"))
+        return both.select("r.entity", "rule_risk", "anomaly_rate", "label_probability", F.least(F.lit(99.5), F.greatest(F.lit(0.5), risk)).alias("risk"))
     rate, probability = None, None
     shape = filled.agg(F.count("*").alias("n"), F.approx_count_distinct("raw_label").alias("d"), F.count_if(F.col("raw_label") > 0).alias("pos")).first()
-    if shape["n"] >= 15 and names:
+    if shape["n"] >= LEAST_ROWS and names:
         rate = anomaly_summary(filled, features, contamination=0.1).first()["rate"]
         if label and shape["d"] <= 5 and 0 < shape["pos"] < shape["n"]:
             probability = _recent_probability(filled, features, [f"_o{i}" for i in range(len(order_by))])
@@ -108,7 +125,61 @@ def risk_score(df: DataFrame, domain: str, order_by: Sequence[str], entity: str
     )
 
 
-def _recent_probability(filled: DataFrame, features: Sequence[str], order: Sequence[str], last: int = 24) -> float:
+def judge_rows(x: np.ndarray, raw_label: np.ndarray | None) -> tuple[float | None, float | None]:
+    """(anomaly rate, label probability) of rows in time order, by forests over these rows alone."""
+    n = len(x)
+    if n < LEAST_ROWS or not x.shape[1]:
+        return None, None
+    size = min(SAMPLE, n)
+    depth = math.ceil(math.log2(size))
+    nodes = []
+    for t in range(TREES):
+        draw = np.random.default_rng(42 + t).choice(n, size, replace=False)
+        nodes += [{"tree": t, "node": node, "feature": feature, "cut": cut, "path": path} for node, feature, cut, path in grow(x[draw], depth, 42 + t)]
+    scores = Forest(nodes, TREES, size, depth).scores(x)
+    rate = float((scores > np.quantile(scores, 0.9)).mean())
+    if raw_label is None or not 0 < (raw_label > 0).sum() < n or len(np.unique(raw_label)) > 5:
+        return rate, None
+    y = (raw_label > 0).astype(float)
+    cuts = []
+    for c in x.T:
+        values = np.unique(np.quantile(c, np.arange(1, trees.BINS) / trees.BINS, method="inverted_cdf"))
+        cuts.append(values[values < c.max()])
+    bins = trees.cut_up(x, cuts)
+    weights = tuple(n / (2 * (y == k).sum()) for k in (0, 1))
+    spec = trees.Spec("forest", "classification", 2, trees=100, depth=8, least_weight=0.0, columns="sqrt", class_weights=weights)
+    grown = trees.fit_here(spec, bins, y, np.arange(n, dtype=np.uint64), np.zeros(n, int))
+    return rate, float(trees.likely(spec, trees.predicted(spec, grown, bins[-RECENT:]))[:, 1].mean())
+
+
+def _judged_entities(filled: DataFrame, features: Sequence[str], order: Sequence[str], labelled: bool, most: int = GROUP_ROWS) -> DataFrame:
+    """(entity, anomaly_rate, label_probability). Entities of up to `most` rows are judged many at a time, each in one
+    task; the few that have more, one after another over the whole cluster."""
+    schema = "entity string, anomaly_rate double, label_probability double"
+    sizes = checkpoint(filled.groupBy("entity").agg(F.count("*").alias("n")))
+    large = [r["entity"] for r in sizes.where(F.col("n") > most).collect()]
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, *features], na_position="first")
+        found = judge_rows(rows[list(features)].to_numpy(float), rows["raw_label"].to_numpy(float) if labelled else None)
+        return pd.DataFrame({"entity": rows["entity"].iloc[:1], "anomaly_rate": [found[0]], "label_probability": [found[1]]}).astype({"anomaly_rate": float, "label_probability": float})
+
+    small = filled
+    for name in large:
+        small = small.where(~F.col("entity").eqNullSafe(F.lit(name)))
+    out = small.groupBy("entity").applyInPandas(judge, schema)
+    for name in large:
+        mine = filled.where(F.col("entity").eqNullSafe(F.lit(name)))
+        rate = anomaly_summary(mine, features, contamination=0.1).first()["rate"]
+        shape = mine.agg(F.count("*").alias("n"), F.approx_count_distinct("raw_label").alias("d"), F.count_if(F.col("raw_label") > 0).alias("pos")).first()
+        split = labelled and shape["d"] <= 5 and 0 < shape["pos"] < shape["n"]
+        one = [(name, rate, _recent_probability(mine, features, order) if split else None)]
+        out = out.unionByName(filled.sparkSession.createDataFrame(one, schema))
+    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("entity", clean("anomaly_rate"), clean("label_probability"))
+
+
+def _recent_probability(filled: DataFrame, features: Sequence[str], order: Sequence[str], last: int = RECENT) -> float:
     data = filled.withColumn("label", (F.col("raw_label") > 0).cast("double"))
     data = balanced_weights(VectorAssembler(inputCols=list(features), outputCol="features").transform(data))
     model = RandomForestClassifier(numTrees=100, maxDepth=8, seed=42, weightCol="weight").fit(data)

@@ -267,6 +267,12 @@ def risk(t):
     return rounded(risk_score(t.readings, "predictive_maintenance", ["event_id"]), 4)
 
 
+@query("risk_by_machine")
+def risk_by_machine(t):
+    """Rules, anomalies and failure probability of each machine by its own rows."""
+    return rounded(risk_score(t.readings, "predictive_maintenance", ["event_id"], "machine_id"), 4)
+
+
 @query(
     "actions_maintenance",
     """WITH s AS (SELECT AVG(vibration) + 2 * STDDEV_SAMP(vibration) AS cut FROM readings),

@@ -11,6 +11,7 @@ from millrace.operators.briefs import top_actions, weekly_briefs
 from millrace.operators.features import add_features
 from millrace.operators.profile import column_kinds, column_profile, date_columns
 from millrace.operators.retrieval import extract_answer, keyword_search, row_documents
+from millrace.operators import risk as rk
 from millrace.operators.risk import risk_score
 from millrace.operators.shape import top_with_other
 from millrace.operators.star import money_impact, star
@@ -180,3 +181,40 @@ def test_kpi_missing_columns(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [1.0, 2.0]}))
     got = {r["kpi"]: r["value"] for r in kp.kpi_table(df, "sales_forecasting").collect()}
     assert got["Rows"] == 2 and got["Total_Revenue"] is None
+
+
+def test_risk_of_each_entity_is_that_of_its_own_rows(spark):
+    """Anomaly rate and failure probability by entity equal those of a loop over the entities, and differ between them."""
+    rng = np.random.default_rng(4)
+    parts = []
+    for name, n, level in (("M1", 120, 0.2), ("M2", 90, 2.5), ("M3", 10, 1.0), (None, 40, 0.5)):
+        vib = rng.normal(level, 0.3, n)
+        parts.append(pd.DataFrame({"machine_id": name, "vibration": vib, "temperature": rng.normal(60, 5, n), "failure": (vib + rng.normal(0, 0.2, n) > level + 0.3).astype(int)}))
+    frame = pd.concat(parts, ignore_index=True)
+    frame["at"] = rng.permutation(len(frame))
+    df = spark.createDataFrame(frame)
+    got = {r["entity"]: r for r in rk.risk_score(df, "predictive_maintenance", ["at"], "machine_id").collect()}
+    assert set(got) == {"M1", "M2", "M3", None}
+    work = add_features(df, "predictive_maintenance", ["at"]).toPandas()
+    names = [c for c in work.columns if c not in ("machine_id", "failure") and pd.api.types.is_numeric_dtype(work[c])]
+    for name, one in work.groupby("machine_id", dropna=False):
+        one, key = one.sort_values("at"), None if pd.isna(name) else name
+        rate, p = rk.judge_rows(one[names].fillna(0.0).to_numpy(float), one["failure"].to_numpy(float))
+        assert (got[key]["anomaly_rate"], got[key]["label_probability"]) == (rate, p)
+        risk = got[key]["rule_risk"]
+        if rate is not None:
+            risk = 0.5 * risk + 50 * rate
+            risk = risk if p is None else 0.4 * risk + 60 * p
+        assert np.isclose(got[key]["risk"], min(99.5, max(0.5, risk)))
+    assert got["M3"]["anomaly_rate"] is None and got["M1"]["label_probability"] != got["M2"]["label_probability"]
+    assert 0.05 < got["M1"]["anomaly_rate"] <= 0.1
+
+
+def test_a_large_entity_is_judged_over_the_cluster(spark):
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"entity": ["a"] * 200 + ["b"] * 60, "_o0": np.arange(260), "x0": rng.normal(0, 1, 260), "x1": rng.normal(0, 1, 260)})
+    frame["raw_label"] = (frame["x0"] > 0.5).astype(float)
+    df = spark.createDataFrame(frame)
+    one, two = ({r["entity"]: r for r in rk._judged_entities(df, ["x0", "x1"], ["_o0"], True, most).collect()} for most in (10**6, 100))
+    assert one["b"] == two["b"] and abs(one["a"]["anomaly_rate"] - two["a"]["anomaly_rate"]) < 0.02
+    assert abs(one["a"]["label_probability"] - two["a"]["label_probability"]) < 0.1
