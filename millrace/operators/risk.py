@@ -167,7 +167,10 @@ def _judged_entities(filled: DataFrame, features: Sequence[str], order: Sequence
     small = filled
     for name in large:
         small = small.where(~F.col("entity").eqNullSafe(F.lit(name)))
-    out = small.groupBy("entity").applyInPandas(judge, schema)
+    # Rows are few for the work they make, so their size must not decide how many tasks share it.
+    facts, spark = sizes.agg(F.count("*").alias("n"), F.sum("n").alias("rows")).first(), filled.sparkSession
+    tasks = max(1, min(facts["n"], max(4 * spark.sparkContext.defaultParallelism, math.ceil((facts["rows"] or 0) / most))))
+    out = small.repartition(tasks, "entity").groupBy("entity").applyInPandas(judge, schema)
     for name in large:
         mine = filled.where(F.col("entity").eqNullSafe(F.lit(name)))
         rate = anomaly_summary(mine, features, contamination=0.1).first()["rate"]
