@@ -67,13 +67,19 @@ class PrefixCounter:
             some = new[at : at + 10_000]
             self.seen.update(zip(some, map(len, self.library.encode(some, num_threads=1))))
 
-    def totals(self, texts: list[str]) -> list[int]:
+    def prefixes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts before each segment boundary of all texts, one text after another, and how many boundaries each text has.
+
+        The count at a boundary is that at the boundary before plus the tokens of the segment between; the first one is 0.
+        """
         split = [self.segments(t) for t in texts]
         self.learn({p for parts in split for p in parts if len(p) <= LONGEST_CACHED})
-        seen = self.seen
-        if all(len(p) <= LONGEST_CACHED for parts in split for p in parts):
-            return [sum(map(seen.__getitem__, parts)) for parts in split]
-        return [sum(seen[p] if len(p) <= LONGEST_CACHED else len(self.library.encode(p)) for p in parts) for parts in split]
+        seen, size = self.seen, np.array([len(parts) for parts in split], np.int64)
+        tokens = (seen[p] if len(p) <= LONGEST_CACHED else len(self.library.encode(p)) for parts in split for p in parts)
+        running = np.append(0, np.cumsum(np.fromiter(tokens, np.int64, int(size.sum()))))
+        first = np.cumsum(size) - size
+        text = np.repeat(np.arange(len(split)), size + 1)
+        return running[np.arange(len(text)) - text] - running[first][text], size + 1
 
     def at_boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Characters before each segment boundary, and the exact count of tokens there."""
@@ -140,17 +146,19 @@ class PrefixCounter:
 def count_tokens(docs: DataFrame, limit: int = 4096, model: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of `docs` (doc_id, text); a missing text is empty.
 
-    Counts are those of the library without added tokens. Empty tables give empty results, repeated rows repeat.
+    The count is the last of the stored prefix counts. Counts are those of the library without added tokens. Empty tables give empty results, repeated rows repeat.
     """
 
-    @F.arrow_udf("struct<n_bytes: bigint, n_tokens: bigint>")
+    @F.arrow_udf("struct<n_bytes: bigint, tokens: array<bigint>>")
     def counted(text: pa.Array) -> pa.Array:
         text = text.fill_null("")
-        size = pc.binary_length(text).cast(pa.int64())
-        return pa.StructArray.from_arrays([size, pa.array(counter(model).totals(text.to_pylist()), pa.int64())], ["n_bytes", "n_tokens"])
+        counts, size = counter(model).prefixes(text.to_pylist())
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(counts))
+        return pa.StructArray.from_arrays([pc.binary_length(text).cast(pa.int64()), tokens], ["n_bytes", "tokens"])
 
-    out = docs.select("doc_id", counted("text").alias("counts"))
-    return out.select("doc_id", "counts.n_bytes", "counts.n_tokens", (F.col("counts.n_tokens") > limit).alias("over_limit"))
+    out = docs.select("doc_id", counted("text").alias("prefix"))
+    out = out.select("doc_id", "prefix.n_bytes", F.element_at("prefix.tokens", -1).alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def cut_to_budget(docs: DataFrame, budget: int, model: str | None = None) -> DataFrame:
