@@ -24,7 +24,7 @@ HEADLINE = [
     "features_predictive_maintenance", "features_sales_forecasting", "board_share", "board_pareto", "board_hist", "board_corr",
     "duplicate_rows", "quality_outliers", "quantiles", "quality_jumps", "quality_physics", "assoc_highs",
     "itemsets", "rules", "kmeans", "pca", "iforest_summary", "dbscan_summary", "knn_join", "iterative_impute", "forecast",
-    "model_LinearRegression", "model_DecisionTreeClassifier",
+    "model_LinearRegression", "model_DecisionTreeClassifier", "model_XGBClassifier", "model_LGBMRegressor", "knn_outliers", "forecast_seasonal_by_series",
     "keyword_topk", "keyword_topk_many", "cosine_topk", "register_decode", "live_latest_stream", "live_alerts_stream",
     "weekly_briefs", "top3_actions",
 ]
