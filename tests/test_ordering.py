@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import ordering
 from millrace.operators.ordering import row_index, trailing
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.windows import change_over, mean_over, std_over, step_over
@@ -67,13 +68,14 @@ def test_quantiles_by_narrowing(spark):
     assert exact_quantiles(df.where("x is null"), {"x": F.col("x")}, [0.5])["x"] == [None]
 
 
-def test_more_ranges_than_one_task_sums(spark):
-    """Some thousand ranges of two or three rows: sizes are summed in blocks, and ranges need the tails of several others."""
-    n = 9_000
+def test_more_ranges_than_one_task_sums(spark, monkeypatch):
+    """More ranges than one task sums, of three rows: sizes are summed in blocks, and ranges need the tails of several others."""
+    monkeypatch.setattr(ordering, "RANGES_PER_BLOCK", 16)
+    n = 300
     df = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), (F.col("id") % 17).cast("double").alias("x"))
-    placed = row_index(df, ["id"], "at", 2)
+    placed = row_index(df, ["id"], "at", 3)
     assert placed.where("at != id").count() == 0 and placed.count() == n
-    got = trailing(df, {"m": mean_over("x", 8), "d": step_over("x")}, 7, ["id"], rows_per_range=2).toPandas().sort_values("id")
+    got = trailing(df, {"m": mean_over("x", 8), "d": step_over("x")}, 7, ["id"], rows_per_range=3).toPandas().sort_values("id")
     want = df.toPandas().sort_values("id")["x"].reset_index(drop=True)
     assert np.allclose(got["m"], want.rolling(8, min_periods=1).mean())
     assert np.allclose(got["d"], want.diff(), equal_nan=True)
