@@ -196,6 +196,24 @@ def test_nearest_with_few_or_no_points(spark):
     assert knn(df.where("id = 3"), df, 2, "id", "id", F.col("v"), F.col("v")).collect() == []
 
 
+def test_a_query_goes_once_to_a_chunk_whatever_the_number_of_cells(spark):
+    x = np.random.default_rng(8).normal(0, 1, (900, 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>")
+    ready = search(df, df, 6, "id", "id", F.col("v"), F.col("v"), leaf=40, fan=16, chunk=300)
+    chunks = len(ready.tree.chunks(300)[0])
+    assert 3 <= chunks <= 16 < len(ready.tree.leaves(0))
+    assert ready.sent.count() <= 900 * chunks
+
+
+def test_neighbours_of_other_groups_only(spark):
+    rng = np.random.default_rng(9)
+    x, fold = np.vstack([rng.normal(0, 1, (120, 3)), np.ones((60, 3))]), rng.integers(0, 5, 180)
+    df = spark.createDataFrame([(i, r.tolist(), int(f)) for i, (r, f) in enumerate(zip(x, fold))], "id int, v array<double>, fold int")
+    got = knn(df, df, 3, "id", "id", F.col("v"), F.col("v"), leaf=30, fan=4, apart="fold").toPandas().sort_values(["query", "rank"])
+    d = np.where(fold[:, None] == fold[None], np.inf, np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    assert got["neighbour"].to_numpy().reshape(-1, 3).tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].tolist()
+
+
 @pytest.mark.parametrize("tile,most", [(2048, 500_000), (2048, 0), (3, 0)])
 def test_itemsets_of_rows_are_the_same_by_every_way_of_counting(spark, monkeypatch, tile, most):
     monkeypatch.setattr(bk, "TILE", tile)
