@@ -1,7 +1,10 @@
 import pandas as pd
 import pytest
 
-from millrace.operators.joins import join_many, join_two, suggest_keys
+from pyspark.sql import functions as F
+
+from millrace.operators import joins
+from millrace.operators.joins import join_many, join_totals, join_two, suggest_keys
 from millrace.plans.sql_lab import Workspace, example_queries, run_sql
 
 
@@ -88,3 +91,26 @@ def test_workspace(spark, loads):
     assert work.active == "names" and work.join("my table", "names", "left", on=["id"]).count() == 2
     assert work.active == "joined" and ("joined", 3, True) in work.listing() and work.working().columns == ["id", "load", "name"]
     assert work.sql("SELECT COUNT(name) AS n FROM joined").first()["n"] == 1
+
+
+def test_totals_of_a_join_make_no_pairs(spark):
+    left = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS k", "id * 0.5D AS v")
+    right = spark.range(2000).selectExpr("CASE WHEN id % 4 > 0 THEN id % 4 END AS k", "id * 1.0D AS v")
+    for null_safe in (True, False):
+        joined, _ = join_two(left, right, on=["k"], null_safe=null_safe)
+        want = joined.groupBy("k").agg(F.count("*").alias("pairs"), F.sum("v_l").alias("a"), F.sum("v_r").alias("b"))
+        got = join_totals(left, right, ["k"], {"l.v": "a", "r.v": "b"}, null_safe=null_safe)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("how,sent", [("inner", 1000), ("left", 1000), ("left", 0)])
+def test_a_spread_join_deals_a_key_over_tasks(spark, monkeypatch, how, sent):
+    monkeypatch.setattr(joins, "SPREAD_ROWS", 1000)
+    monkeypatch.setattr(joins, "SPREAD_SENT", sent)
+    left = spark.range(400).selectExpr("CASE WHEN id % 5 > 0 THEN id % 2 END AS k", "id AS a")
+    right = spark.range(60).selectExpr("CASE WHEN id % 7 > 0 THEN id % 2 * 3 END AS k", "id AS b")
+    plain, _ = join_two(left, right, how, on=["k"])
+    spread, _ = join_two(left, right, how, on=["k"], spread=True)
+    assert sorted(map(tuple, spread.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    if sent:
+        assert spread.groupBy(F.spark_partition_id().alias("p"), "k").count().where("k = 0").count() > 2
