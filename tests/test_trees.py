@@ -95,6 +95,22 @@ def test_passes_and_one_task_grow_the_same_trees(spark):
         assert np.allclose(a, b)
 
 
+def test_boosting_needs_no_passes_over_rows_that_are_alike(spark, monkeypatch):
+    _, df = table(spark, 3000)
+    coarse = df.select("key", "label", "fold", tr.vector_to_array("features").alias("v"))
+    few = coarse.select("key", "label", "fold", *[F.floor(F.col("v")[i] / 4).alias(f"f{i}") for i in range(3)])
+    data = tr.binned(VectorAssembler(inputCols=["f0", "f1", "f2"], outputCol="features").transform(few), 3)
+    each = [
+        [tr.Spec("boost", "classification", trees=3, depth=3, fold=1, class_weights=(1.0, 2.0))],
+        [tr.Spec("boost", "regression", trees=3, depth=4, rate=0.5, leaves=5, least_rows=40, penalty=0.0, least_weight=1e-3, fold=2)],
+    ]
+    monkeypatch.setattr(tr, "_fit_by_passes", lambda *a: pytest.fail("passes"))
+    for specs in each:
+        assert same(tr.fit_many(data, specs, "trees"), tr.fit_many(data, specs, "trees", 10_000))
+        for a, b in zip(tr.fit_many(data, specs, "sums"), tr.fit_many(data, specs, "sums", 10_000)):
+            assert np.allclose(a, b)
+
+
 def test_best_leaf_first_keeps_to_its_leaves(spark):
     frame, df = table(spark, 400)
     data = tr.binned(df.withColumn("label", F.col("key") % 7 + F.col("label") * 20), 3)
