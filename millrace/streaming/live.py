@@ -89,6 +89,12 @@ def alert_test(vibration: Column, mean: Column) -> Column:
     return vibration > mean * 1.5 + 0.1
 
 
+def exact_mean(name: str) -> Column:
+    """The mean by a decimal sum, so it hangs on no order of the rows; values that fit into none are averaged as they are."""
+    value, exact = F.col(name), F.col(name).try_cast("decimal(38,12)")
+    return F.when(F.count(exact) == F.count(value), F.sum(exact).cast("double") / F.nullif(F.count(value), F.lit(0))).otherwise(F.avg(value))
+
+
 def alerts(df: DataFrame, entity: str, time: str, tie: str, window: str = "1 day") -> DataFrame:
     """(entity, window start, latest vibration, mean, spike, failed) per event-time window.
 
@@ -96,7 +102,7 @@ def alerts(df: DataFrame, entity: str, time: str, tie: str, window: str = "1 day
     """
     rank = F.struct(time, tie)
     grouped = df.groupBy(F.window(time, window).alias("w"), F.col(entity)).agg(
-        F.avg("vibration").alias("mean_vibration"),
+        exact_mean("vibration").alias("mean_vibration"),
         F.max_by(F.struct("vibration", "failure"), rank).alias("last"),
         F.count("*").alias("rows"),
     )
@@ -243,7 +249,7 @@ def recent_forecast(buffer: DataFrame, value: str, order_by: list[str], last: in
 def insights(df: DataFrame, entity: str, time: str, tie: str) -> DataFrame:
     """(entity, seq, line): what a right-hand rail would say about every machine."""
     latest = latest_values(df, entity, time, tie).alias("l")
-    means = df.groupBy(entity).agg(F.avg("vibration").alias("mean_v"), F.count("*").alias("rows"))
+    means = df.groupBy(entity).agg(exact_mean("vibration").alias("mean_v"), F.count("*").alias("rows"))
     both = latest.join(means, entity)
     spike = F.format_string("Vibration spike %.3f (mean %.3f): inspect bearings.", "vibration", "mean_v")
     calm = F.format_string("Vibration %.3f within recent envelope.", "vibration")

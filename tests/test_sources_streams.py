@@ -152,3 +152,9 @@ def test_polling_runs_by_the_clock_and_rewrites_touched_parts_only(spark, tmp_pa
     assert len({f.split("/")[0] for f in late}) == 2 and len({f.split("/")[1] for f in late}) == 1
     assert {f for f in files() if f.startswith("batch=0/")} == {f for f in one if f.split("/")[1] != next(iter(late)).split("/")[1]}
     assert len(live._manifests(spark, kept)) == 2
+
+
+def test_means_do_not_hang_on_the_order_of_rows(spark):
+    rows = spark.createDataFrame([(i, "M1", 0.1) for i in range(3)] + [(3, "M2", None)], "id int, device string, v double")
+    got = rows.groupBy("device").agg(live.exact_mean("v").alias("m")).orderBy("device").collect()
+    assert [r["m"] for r in got] == [0.3 / 3, None]
