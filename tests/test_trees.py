@@ -163,3 +163,41 @@ def test_columns_of_one_value_and_single_rows(spark):
     for most in (10**9, 0):
         (grown,) = tr.fit_many(data, [tr.Spec("forest", "classification", trees=2)], "trees", most)
         assert [t.column for t in grown] == [[-1], [-1]]
+
+
+def test_forests_need_no_passes_over_rows_that_are_alike(spark, monkeypatch):
+    _, df = table(spark, 3000)
+    coarse = df.select("key", "label", "fold", tr.vector_to_array("features").alias("v"))
+    few = coarse.select("key", "label", "fold", *[F.floor(F.col("v")[i] / 4).alias(f"f{i}") for i in range(3)])
+    data = tr.binned(VectorAssembler(inputCols=["f0", "f1", "f2"], outputCol="features").transform(few), 3)
+    monkeypatch.setattr(tr, "_fit_by_passes", lambda *a: pytest.fail("passes"))
+    x, y, key, fold = tr._arrays(data.table.toArrow(), 3)
+    for task in ("classification", "regression"):
+        plain = tr.Spec("forest", task, trees=2, depth=4, draw=False, columns=2, fold=1)
+        assert same(tr.fit_many(data, [plain], "trees"), tr.fit_many(data, [plain], "trees", 10_000))
+        drawn = tr.Spec("forest", task, trees=60, depth=4, least_split=8, fold=1)
+        (one,), (two,) = tr.fit_many(data, [drawn], "trees"), tr.fit_many(data, [drawn], "trees", 10_000)
+        assert len(two) == 60 and np.abs(tr.predicted(drawn, one, x) - tr.predicted(drawn, two, x)).max() < 0.03
+        # The parts of a forest, grown in other tasks, are the trees of the whole.
+        with monkeypatch.context() as m:
+            m.setattr(tr, "_parts", lambda specs, tasks: list(enumerate(specs)))
+            assert same([two], tr.fit_many(data, [drawn], "trees", 10_000))
+            (whole,) = tr.fit_many(data, [drawn], "squares", 10_000)
+        (found,) = tr.fit_many(data, [drawn], "squares", 10_000)
+        held = fold == 1
+        want = tr.scored(drawn, y[held], tr.decided(drawn, tr.predicted(drawn, two, x[held])))
+        assert np.allclose(found[:4], want[:4]) and np.allclose(whole[:4], want[:4])
+
+
+def test_rows_alike_are_drawn_as_often_as_single_rows():
+    rng, n = np.random.default_rng(1), np.full(20_000, 7.0)
+    some, draws = tr.drawn_together(n, rng)
+    assert ((some <= draws) & (some <= n)).all() and ((some == 0) == (draws == 0)).all()
+    assert abs(some.mean() - 7 * (1 - np.exp(-1))) < 0.05 and abs(draws.mean() - 7) < 0.1 and abs(draws.var() - 7) < 0.3
+
+
+def test_parts_of_forests_hold_all_trees():
+    specs = [tr.Spec("forest", "regression", trees=120, depth=10), tr.Spec("boost", "regression", trees=120, depth=10), tr.Spec("forest", "regression", trees=1, depth=1)]
+    parts = tr._parts(specs, 32)
+    assert [t for i, s in parts if i == 0 for t in range(s.first, s.first + s.trees)] == list(range(120))
+    assert sum(i == 0 for i, _ in parts) > 10 and sum(i == 1 for i, _ in parts) == sum(i == 2 for i, _ in parts) == 1
