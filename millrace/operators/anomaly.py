@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns, quoted
 from millrace.operators.quantiles import exact_quantiles
+from millrace.operators.trees import mixed, salts
 from millrace.session import checkpoint
 
 TREES = 100
@@ -48,6 +50,47 @@ def grow(points: np.ndarray, depth_limit: int, seed: int) -> list[tuple]:
     return nodes
 
 
+@functools.lru_cache(16)
+def _average_paths(most: int) -> np.ndarray:
+    return np.array([average_path(n) for n in range(most + 1)])
+
+
+def forest_here(points: np.ndarray, trees: int = TREES, size: int = SAMPLE, seed: int = 42) -> Forest:
+    """A forest over rows at hand, its trees grown side by side, level by level; column and cut of a node follow a hash of tree and node."""
+    n = len(points)
+    size = min(size, n)
+    depth = math.ceil(math.log2(size))
+    row = np.arange(n) if size == n else None
+    row = np.concatenate([np.random.default_rng(seed + t).choice(n, size, replace=False) if row is None else row for t in range(trees)])
+    forest = Forest([], trees, size, depth)
+    salt, paths = [salts([2 * (seed * 1_000_003 + t) + k for t in range(trees)]) for k in (0, 1)], _average_paths(size)
+    tree, node = np.arange(trees), np.zeros(trees, np.int64)  # of the nodes of a level
+    slot = np.repeat(np.arange(trees), size)
+    for level in range(depth + 1):
+        starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        tree, node, slot = tree[slot[starts]], node[slot[starts]], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slot))))
+        part = points[row]
+        low, high = np.minimum.reduceat(part, starts), np.maximum.reduceat(part, starts)
+        spread = high > low
+        some = spread.any(1) & (level < depth)
+        forest.path[tree, node] = np.where(some, 0.0, level + paths[np.diff(np.append(starts, len(slot)))])
+        if not some.any():
+            break
+        u, v = ((mixed(node, s[tree]) >> np.uint64(11)).astype(float) / 2.0**53 for s in salt)
+        feature = np.argmax(np.cumsum(spread, 1) > np.floor(u * spread.sum(1))[:, None], 1)
+        each = np.arange(len(tree))
+        cut = low[each, feature] + v * (high - low)[each, feature]
+        forest.feature[tree[some], node[some]], forest.cut[tree[some], node[some]] = feature[some], cut[some]
+        right = part[np.arange(len(row)), feature[slot]] > cut[slot]
+        going = np.flatnonzero(some[slot])
+        order = going[np.argsort(2 * slot[going] + right[going], kind="stable")]
+        slot, row = 2 * slot[order] + right[order], row[order]
+        tree, node = np.repeat(tree, 2), (2 * node[:, None] + [1, 2]).ravel()
+        # Children that get no row of the sample.
+        forest.path[tree[np.repeat(some, 2)], node[np.repeat(some, 2)]] = level + 1
+    return forest
+
+
 def _samples(data: DataFrame, rows: int, trees: int, size: int, seed: int) -> DataFrame:
     """At most ``size`` rows per tree, drawn from the whole table by the hash ``_u`` of each row.
 
@@ -80,16 +123,19 @@ class Forest:
         self.depth, self.scale = depth, average_path(size)
 
     def scores(self, points: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(points))
-        rows = np.arange(len(points))
-        for feature, cut, path in zip(self.feature, self.cut, self.path):
-            at = np.zeros(len(points), dtype=np.int64)
+        total, rows = np.zeros(len(points)), np.arange(len(points))
+        # For few rows many trees are walked together; their paths are added in one order either way.
+        beside = max(1, 20_000 // max(len(points), 1))
+        for first in range(0, len(self.feature), beside):
+            feature, cut, path = (a[first : first + beside] for a in (self.feature, self.cut, self.path))
+            tree = np.arange(len(feature))[:, None]
+            at = np.zeros((len(feature), len(points)), dtype=np.int64)
             for _ in range(self.depth):
-                f = feature[at]
-                inner = f >= 0
-                step = 2 * at + 1 + (points[rows, np.maximum(f, 0)] > cut[at])
-                at = np.where(inner, step, at)
-            total += path[at]
+                f = feature[tree, at]
+                step = 2 * at + 1 + (points[rows, np.maximum(f, 0)] > cut[tree, at])
+                at = np.where(f >= 0, step, at)
+            for found in path[tree, at]:
+                total += found
         return 2.0 ** (-total / len(self.feature) / max(self.scale, 1e-12))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cast import number
 from millrace.functions.names import numeric_columns, quoted, resolve
 from millrace.operators import trees
-from millrace.operators.anomaly import SAMPLE, TREES, Forest, anomaly_summary, grow
+from millrace.operators.anomaly import anomaly_summary, forest_here
 from millrace.operators.features import add_features
 from millrace.operators.models import balanced_weights
 from millrace.operators.windows import last_rows, latest
@@ -130,26 +130,20 @@ def judge_rows(x: np.ndarray, raw_label: np.ndarray | None) -> tuple[float | Non
     n = len(x)
     if n < LEAST_ROWS or not x.shape[1]:
         return None, None
-    size = min(SAMPLE, n)
-    depth = math.ceil(math.log2(size))
-    nodes = []
-    for t in range(TREES):
-        draw = np.random.default_rng(42 + t).choice(n, size, replace=False)
-        nodes += [{"tree": t, "node": node, "feature": feature, "cut": cut, "path": path} for node, feature, cut, path in grow(x[draw], depth, 42 + t)]
-    scores = Forest(nodes, TREES, size, depth).scores(x)
+    scores = forest_here(x).scores(x)
     rate = float((scores > np.quantile(scores, 0.9)).mean())
     if raw_label is None or not 0 < (raw_label > 0).sum() < n or len(np.unique(raw_label)) > 5:
         return rate, None
     y = (raw_label > 0).astype(float)
     cuts = []
-    for c in x.T:
-        values = np.unique(np.quantile(c, np.arange(1, trees.BINS) / trees.BINS, method="inverted_cdf"))
-        cuts.append(values[values < c.max()])
+    for c, most in zip(np.quantile(x, np.arange(1, trees.BINS) / trees.BINS, axis=0, method="inverted_cdf").T, x.max(0)):
+        values = np.unique(c)
+        cuts.append(values[values < most])
     bins = trees.cut_up(x, cuts)
     weights = tuple(n / (2 * (y == k).sum()) for k in (0, 1))
     spec = trees.Spec("forest", "classification", 2, trees=100, depth=8, least_weight=0.0, columns="sqrt", class_weights=weights)
-    grown = trees.fit_here(spec, bins, y, np.arange(n, dtype=np.uint64), np.zeros(n, int))
-    return rate, float(trees.likely(spec, trees.predicted(spec, grown, bins[-RECENT:]))[:, 1].mean())
+    found = trees.forest_here(spec, bins, y, np.arange(n, dtype=np.uint64), bins[-RECENT:])
+    return rate, float(trees.likely(spec, found)[:, 1].mean())
 
 
 def _judged_entities(filled: DataFrame, features: Sequence[str], order: Sequence[str], labelled: bool, most: int = GROUP_ROWS) -> DataFrame:

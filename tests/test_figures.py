@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import kpis as kp
 from millrace.operators import quality as qa
+from millrace.operators.anomaly import average_path, forest_here
 from millrace.operators.board import Board, board_source, pareto
 from millrace.operators.briefs import top_actions, weekly_briefs
 from millrace.operators.features import add_features
@@ -218,3 +219,23 @@ def test_a_large_entity_is_judged_over_the_cluster(spark):
     one, two = ({r["entity"]: r for r in rk._judged_entities(df, ["x0", "x1"], ["_o0"], True, most).collect()} for most in (10**6, 100))
     assert one["b"] == two["b"] and abs(one["a"]["anomaly_rate"] - two["a"]["anomaly_rate"]) < 0.02
     assert abs(one["a"]["label_probability"] - two["a"]["label_probability"]) < 0.1
+
+
+def test_trees_of_rows_at_hand_isolate_their_samples():
+    """Every leaf's path is its depth and the mean depth of the rows that end there; an outlier has the highest score."""
+    x = np.random.default_rng(5).normal(0, 1, (60, 3)).round(1)
+    x[7] = 9.0
+    forest = forest_here(x, trees=20)
+    for feature, cut, path in zip(forest.feature, forest.cut, forest.path):
+        ends = []
+        for row in x:
+            at, depth = 0, 0
+            while feature[at] >= 0:
+                at, depth = 2 * at + 1 + (row[feature[at]] > cut[at]), depth + 1
+            ends.append((at, depth))
+        for at, depth in ends:
+            alike = [r for r, e in zip(x, ends) if e[0] == at]
+            assert path[at] == depth + average_path(len(alike))
+            assert depth == forest.depth or len(np.unique(alike, axis=0)) == 1
+    assert forest.scores(x).argmax() == 7
+    assert np.array_equal(forest.scores(x), np.concatenate([forest.scores(x[i : i + 7]) for i in range(0, 60, 7)]))

@@ -201,3 +201,19 @@ def test_parts_of_forests_hold_all_trees():
     parts = tr._parts(specs, 32)
     assert [t for i, s in parts if i == 0 for t in range(s.first, s.first + s.trees)] == list(range(120))
     assert sum(i == 0 for i, _ in parts) > 10 and sum(i == 1 for i, _ in parts) == sum(i == 2 for i, _ in parts) == 1
+
+
+def test_a_forest_grown_side_by_side_is_that_grown_tree_by_tree():
+    rng = np.random.default_rng(6)
+    for n, width, most in ((67, 10, 60_000), (300, 4, 1_000), (20, 1, 60_000)):
+        values = rng.normal(0, 1, (n, width)).round(1)
+        y = (values[:, 0] + rng.normal(0, 0.5, n) > 0.5).astype(float)
+        cuts = [np.unique(v)[:-1][:63] for v in values.T]
+        x, key = tr.cut_up(values, cuts), np.arange(n, dtype=np.uint64)
+        weights = tuple(n / (2 * (y == k).sum()) for k in (0, 1))
+        for spec in (
+            tr.Spec("forest", "classification", 2, trees=30, depth=8, least_weight=0.0, columns="sqrt", class_weights=weights),
+            tr.Spec("forest", "classification", 2, trees=3, depth=4, least_rows=3, draw=False, penalty=0.0),
+        ):
+            want = tr.predicted(spec, tr.fit_here(spec, x, y, key, np.zeros(n, int)), x)
+            assert np.allclose(tr.forest_here(spec, x, y, key, x, most), want, atol=1e-12)
