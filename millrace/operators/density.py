@@ -104,14 +104,23 @@ def dbscan_points(
     return checkpoint(dense.unionByName(rest))
 
 
-def _thin_links(points: DataFrame, offsets, limit: float) -> DataFrame:
-    """Links from core points of thin cells to core cells around them."""
-    core = points.where("core").select("cell", _head("cell", offsets).alias("head"), "z", "dense")
-    reach = core.where("not dense").select(
-        F.col("cell").alias("a"), F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head")
-    )
-    near = core.join(reach, "head").where((F.col("a") != F.col("cell")) & (_distance2(F.col("z"), F.col("tz")) <= limit))
-    return near.select("a", F.col("cell").alias("b")).distinct()
+def _labelled(points: DataFrame, labels: DataFrame) -> DataFrame:
+    return points.join(labels, points["cell"] == labels["node"]).drop("node")
+
+
+def _thin_links(points: DataFrame, labels: DataFrame, offsets, limit: float) -> DataFrame:
+    """Links from core points of thin cells to core cells around them that have another label."""
+    core = _labelled(points.where("core"), labels).select("cell", _head("cell", offsets).alias("head"), "z", "dense", "label", "main")
+    found = None
+    # One of the two is outside of the main component.
+    for thin, others in (("not main", "true"), ("main", "not main")):
+        reach = core.where("not dense").where(thin).select(
+            F.col("cell").alias("a"), F.col("z").alias("tz"), F.col("label").alias("a_label"), _around(F.col("cell"), offsets).alias("head")
+        )
+        near = core.where(others).join(reach, "head").where((F.col("a_label") != F.col("label")) & (_distance2(F.col("z"), F.col("tz")) <= limit))
+        part = near.select("a", F.col("cell").alias("b")).distinct()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _boxes(dense: DataFrame, width: float, level: int, dims: int) -> DataFrame:
@@ -130,15 +139,41 @@ def _boxes(dense: DataFrame, width: float, level: int, dims: int) -> DataFrame:
     )
 
 
-def _dense_links(points: DataFrame, offsets, eps: float, width: float, dims: int) -> DataFrame:
-    """Links between dense cells. Boxes decide most pairs; the open ones are split into smaller boxes."""
-    limit = eps * eps
+def _main(labels: DataFrame) -> DataFrame:
+    """(node, label, main): whether the label is that of the most nodes."""
+    most = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    return checkpoint(labels.crossJoin(F.broadcast(most)).select("node", "label", (F.col("label") == F.col("most")).alias("main")))
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after the components of linked nodes become one."""
+    names = labels.select("node", "label")
+    ends = found.join(names.toDF("a", "a_label"), "a").join(names.toDF("b", "b_label"), "b")
+    parts = components(names.select(F.col("label").alias("node")).distinct(), ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    return _main(names.join(parts.toDF("label", "whole"), "label").select("node", F.col("whole").alias("label")))
+
+
+def cell_labels(points: DataFrame, offsets, eps: float, width: float, dims: int) -> DataFrame:
+    """(node, label, main): the component of every core cell.
+
+    One point of each cell links most cells with those next to them. What is left are pairs of cells of different components:
+    points of thin cells are compared, and boxes decide pairs of dense cells; the open ones are split into smaller boxes.
+    """
+    limit, core = eps * eps, points.where("core")
     dense = points.where("dense").select("cell", "z")
-    boxes = _boxes(dense, width, 0, dims)
-    left = boxes.select(F.col("cell").alias("a"), "sub", "rep", "lo", "hi", _around(F.col("cell"), offsets).alias("head"))
-    right = boxes.select(F.col("cell").alias("b"), _head("cell", offsets).alias("head"), *[F.col(n).alias("r_" + n) for n in ("sub", "rep", "lo", "hi")])
-    pairs = left.join(right, "head").where(F.col("a") < F.col("b"))
-    links = None
+    boxes = checkpoint(_boxes(dense, width, 0, dims))
+    one = checkpoint(boxes.select("cell", "rep").unionByName(core.where("not dense").groupBy("cell").agg(F.min("z").alias("rep"))))
+    beside = [o for o in offsets if max(map(abs, o)) <= 1]
+    left = one.select(F.col("cell").alias("a"), F.col("rep").alias("a_rep"), _around(F.col("cell"), beside).alias("head"))
+    right = one.select(F.col("cell").alias("b"), F.col("rep").alias("b_rep"), _head("cell", beside).alias("head"))
+    links = left.join(right, "head").where((F.col("a") < F.col("b")) & (_distance2(F.col("a_rep"), F.col("b_rep")) <= limit))
+    labels = _main(components(one.select(F.col("cell").alias("node")), links.select("a", "b").distinct()))
+
+    known = _labelled(boxes, labels)
+    left = known.where("not main").select(F.col("cell").alias("a"), "sub", "rep", "lo", "hi", F.col("label").alias("a_label"), _around(F.col("cell"), offsets).alias("head"))
+    right = known.select(F.col("cell").alias("b"), "label", "main", _head("cell", offsets).alias("head"), *[F.col(n).alias("r_" + n) for n in ("sub", "rep", "lo", "hi")])
+    pairs = left.join(right, "head").where((F.col("a_label") != F.col("label")) & (F.col("main") | (F.col("a") < F.col("b"))))
+    thin = _thin_links(points, labels, offsets, limit)
     for level in range(1, MAX_LEVELS):
         gap = F.zip_with(
             F.zip_with("lo", "r_hi", lambda x, y: x - y),
@@ -147,11 +182,17 @@ def _dense_links(points: DataFrame, offsets, eps: float, width: float, dims: int
         )
         gap2 = F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v * v)
         judged = checkpoint(
-            pairs.where(gap2 <= limit).withColumn("linked", _distance2(F.col("rep"), F.col("r_rep")) <= limit)
+            pairs.where(gap2 <= limit).select("a", "b", "sub", "r_sub", (_distance2(F.col("rep"), F.col("r_rep")) <= limit).alias("linked"))
         )
         found = judged.where("linked").select("a", "b").distinct()
-        links = found if links is None else links.unionByName(found)
-        open_pairs = judged.where("not linked").select("a", "b", "sub", "r_sub").join(found, ["a", "b"], "left_anti")
+        found = checkpoint(found.unionByName(thin) if level == 1 else found)
+        if not found.isEmpty():
+            labels = _merged(labels, found)
+        names = labels.select("node", "label")
+        open_pairs = checkpoint(
+            judged.where("not linked").join(names.toDF("a", "a_label"), "a").join(names.toDF("b", "b_label"), "b")
+            .where("a_label != b_label").select("a", "b", "sub", "r_sub")
+        )
         if open_pairs.isEmpty():
             break
         cells = open_pairs.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
@@ -164,7 +205,7 @@ def _dense_links(points: DataFrame, offsets, eps: float, width: float, dims: int
         pairs = open_pairs.join(left, ["a", "sub"]).join(right, ["b", "r_sub"]).select(
             "a", "b", F.col("n_sub").alias("sub"), F.col("n_r_sub").alias("r_sub"), "rep", "lo", "hi", "r_rep", "r_lo", "r_hi"
         )
-    return links
+    return labels
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,9 +237,7 @@ def dbscan_summary(
     dims = len(columns)
     points = dbscan_points(df, columns, eps, min_points)
     width, offsets = eps / math.sqrt(dims), _offsets(dims)
-    links = _thin_links(points, offsets, eps * eps).unionByName(_dense_links(points, offsets, eps, width, dims))
-    nodes = points.where("core").select(F.col("cell").alias("node")).distinct()
-    clusters = components(nodes, links).agg(F.count_distinct("label").alias("clusters")).first()["clusters"]
+    clusters = cell_labels(points, offsets, eps, width, dims).agg(F.count_distinct("label").alias("clusters")).first()["clusters"]
     return points.agg(
         F.coalesce(F.sum("m"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("noise"), F.col("m")).otherwise(0)), F.lit(0)).alias("noise_points"),

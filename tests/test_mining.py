@@ -97,6 +97,21 @@ def test_dense_cells_split_until_decided(spark):
     assert (got["noise_points"], got["clusters"]) == brute_dbscan(scaled, 0.25, 5)
 
 
+def test_boxes_are_split_only_between_components(spark, monkeypatch):
+    """Cells of one component need no smaller boxes to tell whether they touch."""
+    levels, boxes = [], density._boxes
+    monkeypatch.setattr(density, "_boxes", lambda dense, width, level, dims: levels.append(level) or boxes(dense, width, level, dims))
+    rng = np.random.default_rng(1)
+    blob = rng.uniform(0, 4, (3000, 2))
+    near = rng.uniform(0, 1, (300, 2)) + [4.45, 0]
+    for points in (blob, np.vstack([blob, near])):
+        levels.clear()
+        scaled = (points - points.mean(0)) / points.std(0)
+        got = density.dbscan_summary(spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"])), eps=0.4).first()
+        assert (got["noise_points"], got["clusters"]) == brute_dbscan(scaled, 0.4, 5)
+        assert len(points) > 3000 or max(levels) == 0
+
+
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     points = np.vstack([rng.normal(0, 1, (150, 5)), np.zeros((80, 5))])
