@@ -36,8 +36,22 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return merged.select(F.array(*z).alias("z"), "m")
 
 
-def _distance2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
+def _sum_squares(parts: Sequence[Column]) -> Column:
+    # Written out by coordinate, as functions over arrays are not compiled.
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + part * part
+    return total
+
+
+def _distance2(a: str, b: str, dims: int) -> Column:
+    return _sum_squares([F.col(a)[i] - F.col(b)[i] for i in range(dims)])
+
+
+def _gap2(dims: int) -> Column:
+    """Squared distance of the boxes (lo, hi) and (r_lo, r_hi)."""
+    at = lambda n, i: F.col(n)[i]
+    return _sum_squares([F.greatest(at("lo", i) - at("r_hi", i), at("r_lo", i) - at("hi", i), F.lit(0.0)) for i in range(dims)])
 
 
 def _offsets(dims: int) -> list[tuple[int, ...]]:
@@ -81,7 +95,7 @@ def dbscan_points(
     offsets, limit = _offsets(dims), eps * eps
     thin = points.where(~F.col("dense")).select("z", "m", "cell")
     reach = thin.select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head"))
-    near = points.select(_head("cell", offsets).alias("head"), "z", "m", "dense").join(reach, "head").where(_distance2(F.col("z"), F.col("tz")) <= limit)
+    near = points.select(_head("cell", offsets).alias("head"), "z", "m", "dense").join(reach, "head").where(_distance2("z", "tz", dims) <= limit)
     counted = near.groupBy("tz").agg(F.sum("m").alias("around"), F.max("dense").alias("by_dense"))
     judged = checkpoint(
         thin.join(counted, thin["z"] == counted["tz"]).select(
@@ -92,7 +106,7 @@ def dbscan_points(
     open_points = judged.where("not core and not by_dense").select(F.col("z").alias("tz"), _around(F.col("cell"), offsets).alias("head"))
     touched = (
         judged.where("core").select("z", _head("cell", offsets).alias("head")).join(open_points, "head")
-        .where(_distance2(F.col("z"), F.col("tz")) <= limit).select("tz").distinct()
+        .where(_distance2("z", "tz", dims) <= limit).select("tz").distinct()
     )
     rest = judged.join(touched, judged["z"] == touched["tz"], "left").select(
         "z", "m", "cell", F.lit(False).alias("dense"), "core",
@@ -108,7 +122,7 @@ def _labelled(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(labels, points["cell"] == labels["node"]).drop("node")
 
 
-def _thin_links(points: DataFrame, labels: DataFrame, offsets, limit: float) -> DataFrame:
+def _thin_links(points: DataFrame, labels: DataFrame, offsets, limit: float, dims: int) -> DataFrame:
     """Links from core points of thin cells to core cells around them that have another label."""
     core = _labelled(points.where("core"), labels).select("cell", _head("cell", offsets).alias("head"), "z", "dense", "label", "main")
     found = None
@@ -117,7 +131,7 @@ def _thin_links(points: DataFrame, labels: DataFrame, offsets, limit: float) ->
         reach = core.where("not dense").where(thin).select(
             F.col("cell").alias("a"), F.col("z").alias("tz"), F.col("label").alias("a_label"), _around(F.col("cell"), offsets).alias("head")
         )
-        near = core.where(others).join(reach, "head").where((F.col("a_label") != F.col("label")) & (_distance2(F.col("z"), F.col("tz")) <= limit))
+        near = core.where(others).join(reach, "head").where((F.col("a_label") != F.col("label")) & (_distance2("z", "tz", dims) <= limit))
         part = near.select("a", F.col("cell").alias("b")).distinct()
         found = part if found is None else found.unionByName(part)
     return found
@@ -166,23 +180,17 @@ def cell_labels(points: DataFrame, offsets, eps: float, width: float, dims: int)
     beside = [o for o in offsets if max(map(abs, o)) <= 1]
     left = one.select(F.col("cell").alias("a"), F.col("rep").alias("a_rep"), _around(F.col("cell"), beside).alias("head"))
     right = one.select(F.col("cell").alias("b"), F.col("rep").alias("b_rep"), _head("cell", beside).alias("head"))
-    links = left.join(right, "head").where((F.col("a") < F.col("b")) & (_distance2(F.col("a_rep"), F.col("b_rep")) <= limit))
+    links = left.join(right, "head").where((F.col("a") < F.col("b")) & (_distance2("a_rep", "b_rep", dims) <= limit))
     labels = _main(components(one.select(F.col("cell").alias("node")), links.select("a", "b").distinct()))
 
     known = _labelled(boxes, labels)
     left = known.where("not main").select(F.col("cell").alias("a"), "sub", "rep", "lo", "hi", F.col("label").alias("a_label"), _around(F.col("cell"), offsets).alias("head"))
     right = known.select(F.col("cell").alias("b"), "label", "main", _head("cell", offsets).alias("head"), *[F.col(n).alias("r_" + n) for n in ("sub", "rep", "lo", "hi")])
     pairs = left.join(right, "head").where((F.col("a_label") != F.col("label")) & (F.col("main") | (F.col("a") < F.col("b"))))
-    thin = _thin_links(points, labels, offsets, limit)
+    thin = _thin_links(points, labels, offsets, limit, dims)
     for level in range(1, MAX_LEVELS):
-        gap = F.zip_with(
-            F.zip_with("lo", "r_hi", lambda x, y: x - y),
-            F.zip_with("r_lo", "hi", lambda x, y: x - y),
-            lambda x, y: F.greatest(x, y, F.lit(0.0)),
-        )
-        gap2 = F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v * v)
         judged = checkpoint(
-            pairs.where(gap2 <= limit).select("a", "b", "sub", "r_sub", (_distance2(F.col("rep"), F.col("r_rep")) <= limit).alias("linked"))
+            pairs.where(_gap2(dims) <= limit).select("a", "b", "sub", "r_sub", (_distance2("rep", "r_rep", dims) <= limit).alias("linked"))
         )
         found = judged.where("linked").select("a", "b").distinct()
         found = checkpoint(found.unionByName(thin) if level == 1 else found)
