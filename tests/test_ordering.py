@@ -85,3 +85,18 @@ def test_odd_columns_pass_through(spark):
     df = spark.createDataFrame([(i, float(i), "a") for i in range(40)], "`my id` int, `x.y` double, `__at` string").withColumn("nothing", F.lit(None))
     got = row_index(df, ["my id"], "at", 5).orderBy("at").collect()
     assert [r["at"] for r in got] == list(range(40)) and got[3]["nothing"] is None and got[3]["x.y"] == 3.0
+
+
+@pytest.mark.parametrize("sums", [4096, 8])
+def test_small_ranges_are_cut_out_of_few_tasks(spark, monkeypatch, sums):
+    monkeypatch.setattr(ordering, "MOST_TASKS", 3)
+    monkeypatch.setattr(ordering, "RANGES_PER_BLOCK", sums)
+    df = table(spark)
+    cut = ordering.ranged(df, ["tie", "id"], 58, 7)
+    assert len(cut.rows.inputFiles()) <= 3
+    sizes = [r["__size"] for r in cut.sizes.orderBy("__number").collect()]
+    assert max(sizes) <= 7 and sum(sizes) == 400 and len(sizes) >= 58
+    got = trailing(df, {"m": mean_over("x", 5)}, 4, ["tie", "id"], rows_per_range=7).toPandas().sort_values(["tie", "id"])
+    assert np.allclose(got["m"].to_numpy(), got["x"].rolling(5, min_periods=1).mean())
+    at = row_index(df, ["tie", "id"], "at", 7).toPandas().sort_values(["tie", "id"])
+    assert at["at"].tolist() == list(range(400))
