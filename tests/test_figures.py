@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators import kpis as kp
+from millrace.operators import profile as pf
 from millrace.operators import quality as qa
 from millrace.operators.anomaly import average_path, forest_here
 from millrace.operators.board import Board, board_source, pareto
@@ -239,3 +240,13 @@ def test_trees_of_rows_at_hand_isolate_their_samples():
             assert depth == forest.depth or len(np.unique(alike, axis=0)) == 1
     assert forest.scores(x).argmax() == 7
     assert np.array_equal(forest.scores(x), np.concatenate([forest.scores(x[i : i + 7]) for i in range(0, 60, 7)]))
+
+
+def test_kinds_count_exactly_only_what_a_sketch_leaves_open(spark, monkeypatch):
+    counted, exact = [], pf.distinct_counts
+    monkeypatch.setattr(pf, "distinct_counts", lambda df: counted.append(df.columns) or exact(df))
+    n = 4000
+    frame = pd.DataFrame({"amount": np.arange(n) % 1000 * 1.5, "reading": np.arange(n) * 0.5, "close": np.arange(n) % 3401, "below": np.arange(n) % 3399, "flag": np.arange(n) % 2})
+    got = column_kinds(spark.createDataFrame(frame))
+    assert got == {"amount": "number", "reading": "id_like", "close": "id_like", "below": "number", "flag": "boolean"}
+    assert counted == [["close", "below", "flag"]]
