@@ -217,3 +217,32 @@ def test_a_forest_grown_side_by_side_is_that_grown_tree_by_tree():
         ):
             want = tr.predicted(spec, tr.fit_here(spec, x, y, key, np.zeros(n, int)), x)
             assert np.allclose(tr.forest_here(spec, x, y, key, x, most), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_forests_that_share_trees_equal_those_grown_alone(spark, monkeypatch, task, most):
+    _, df = table(spark, 400)
+    data = tr.binned(df, 3)
+    sizes = [(7, 3, 2), (3, 6, 9), (9, 5, 4), (2, 1, 30)]
+    each = [tr.Spec("forest", task, trees=n, depth=d, least_split=s, columns="sqrt", least_weight=0.0, paths=True, fold=f) for n, d, s in sizes for f in (0, 1)]
+    x, y, key, fold = tr._arrays(data.table.orderBy("key").toArrow(), 3)
+    alone = [tr.scored(s, y[fold == s.fold], tr.decided(s, tr.predicted(s, tr.fit_here(s, x, y, key, fold), x[fold == s.fold]))) for s in each]
+    got = tr.fit_many(data, each, "sums", most)
+    assert all(np.allclose(a, b) for a, b in zip(got, alone, strict=True))
+    # One forest of nine trees of six levels for each fold.
+    assert [(s.trees, s.depth, s.least_split) for s in (tr.largest([each[i] for i in g]) for g in tr.shared(each))] == [(9, 6, 2)] * 2
+
+
+def test_sums_of_a_sibling_follow_from_the_parent(spark):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 9, (500, 4)).astype(np.uint8)
+    y, key, fold = (x[:, 0] + 3.0 * (x[:, 1] > 4)), np.arange(500, dtype=np.uint64), np.zeros(500, int)
+    for spec in (tr.Spec("boost", "regression", trees=3, depth=5, rate=0.4), tr.Spec("boost", "regression", trees=3, depth=9, leaves=9)):
+        for tree in tr.fit_here(spec, x, y, key, fold)[1:]:
+            rows, at = np.zeros(len(tree.column)), tree.nodes(x)
+            for n in at:
+                while n:
+                    rows[n] += 1
+                    n = tree.parent[n]
+            assert tree.rows[1:] == rows[1:].tolist()
