@@ -195,3 +195,38 @@ def test_schema_classifier_keeps_the_best_of_its_trials(spark, found):
     got = {r["table"]: (r["domain"], r["probability"]) for r in dm.classify_schemas(found, 6).collect()}
     assert got["machines"][0] == "predictive_maintenance" and all(1 / len(dm.KEYWORDS) < p <= 1 for _, p in got.values())
     assert got == {r["table"]: (r["domain"], r["probability"]) for r in dm.classify_schemas(found, 6).collect()}
+
+
+def test_a_bake_off_prepares_its_table_once(spark, monkeypatch):
+    _, df = table(spark, 200)
+    df = df.withColumnRenamed("kind", "churn")
+    made = {"prepare": [], "binned": []}
+    prepare, binned = mo.prepare, tr.binned
+    monkeypatch.setattr(mo, "prepare", lambda *a: made["prepare"].append(a[1:3]) or prepare(*a))
+    monkeypatch.setattr(tr, "binned", lambda *a: made["binned"].append(1) or binned(*a))
+    results, board = mo.bake_off(df, "telecom_churn", "row", ["RandomForestClassifier", "LogisticRegression", "GradientBoostingClassifier"])
+    assert made == {"prepare": [("churn", "classification")], "binned": [1]}
+    assert [r["place"] for r in board.collect()] == [1, 2, 3]
+    for r in results:
+        if r["model"] == "LogisticRegression":
+            alone = mo.run_model(df, r["model"], "row", "churn", by_time=True)
+            assert alone["metrics"] == pytest.approx(r["metrics"], abs=1e-9)
+
+
+@pytest.mark.parametrize("model,target", [("DecisionTreeClassifier", "ring"), ("LinearRegression", "amount")])
+@pytest.mark.parametrize("beside", [10**9, 0])
+def test_folds_are_fitted_once_each_and_no_fit_is_thrown_away(spark, monkeypatch, model, target, beside):
+    """The cross-validator fitted the folds one after another, and then all rows for a model that nothing asked for."""
+    from pyspark.ml.tuning import CrossValidator
+
+    _, df = table(spark, 200)
+    ready = mo.prepare(df, target, mo.TASKS[model], "row", ["a", "b"])
+    estimator = mo.build(model, ready.rows)
+    old = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=mo._evaluator(ready.task), numFolds=5, foldCol="fold")
+    want = old.fit(ready.data).avgMetrics[0]
+    fits, kind = [], type(estimator)
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    monkeypatch.setattr(mo, "ROWS_BESIDE", beside)
+    found = mo.run_model(df, model, "row", target, features=["a", "b"])["metrics"]["cv_score"]
+    assert found == pytest.approx(want, abs=1e-9) and len(fits) == 6
