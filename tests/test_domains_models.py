@@ -230,3 +230,10 @@ def test_folds_are_fitted_once_each_and_no_fit_is_thrown_away(spark, monkeypatch
     monkeypatch.setattr(mo, "ROWS_BESIDE", beside)
     found = mo.run_model(df, model, "row", target, features=["a", "b"])["metrics"]["cv_score"]
     assert found == pytest.approx(want, abs=1e-9) and len(fits) == 6
+
+
+def test_the_briefing_joins_once_for_both_models(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mo, "run_model", lambda df, model, key, target, features: seen.append(df) or {"model": model, "target": target, "metrics": {"r2": 1.0}})
+    assert len(QUERIES["model_briefing"](spark, "/root/testdata/sf0.001").collect()) == 2
+    assert seen[0] is seen[1] and all("table-" in f for f in seen[0].inputFiles())
