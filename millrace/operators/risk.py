@@ -7,8 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +16,6 @@ from millrace.functions.names import numeric_columns, quoted, resolve
 from millrace.operators import trees
 from millrace.operators.anomaly import anomaly_summary, forest_here
 from millrace.operators.features import add_features
-from millrace.operators.models import balanced_weights
 from millrace.operators.windows import last_rows, latest
 from millrace.session import checkpoint
 
@@ -140,8 +137,7 @@ def judge_rows(x: np.ndarray, raw_label: np.ndarray | None) -> tuple[float | Non
         values = np.unique(c)
         cuts.append(values[values < most])
     bins = trees.cut_up(x, cuts)
-    weights = tuple(n / (2 * (y == k).sum()) for k in (0, 1))
-    spec = trees.Spec("forest", "classification", 2, trees=100, depth=8, least_weight=0.0, columns="sqrt", class_weights=weights)
+    spec = _label_forest(n, y.sum())
     found = trees.forest_here(spec, bins, y, np.arange(n, dtype=np.uint64), bins[-RECENT:])
     return rate, float(trees.likely(spec, found)[:, 1].mean())
 
@@ -177,11 +173,19 @@ def _judged_entities(filled: DataFrame, features: Sequence[str], order: Sequence
 
 
 def _recent_probability(filled: DataFrame, features: Sequence[str], order: Sequence[str], last: int = RECENT) -> float:
-    data = filled.withColumn("label", (F.col("raw_label") > 0).cast("double"))
-    data = balanced_weights(VectorAssembler(inputCols=list(features), outputCol="features").transform(data))
-    model = RandomForestClassifier(numTrees=100, maxDepth=8, seed=42, weightCol="weight").fit(data)
-    scored = model.transform(last_rows(data, last, order))
-    return scored.select(F.avg(vector_to_array("probability")[1]).alias("p")).first()["p"]
+    """Mean probability of a label in the latest rows, by a forest of the settings of `judge_rows` over all rows."""
+    # Rows are drawn by their key.
+    rows = filled.withColumn("key", F.xxhash64(*order, *features)).withColumn("label", (F.col("raw_label") > 0).cast("double")).withColumn("fold", F.lit(0))
+    ready = trees.binned(VectorAssembler(inputCols=list(features), outputCol="features").transform(rows).select("key", "label", "features", "fold"), len(features))
+    (grown,) = trees.fit_many(ready, [spec := _label_forest(ready.rows, ready.table.agg(F.sum("label")).first()[0])], "trees")
+    x = np.array([list(r) for r in last_rows(filled, last, order).select(*features).collect()], float)
+    return float(trees.likely(spec, trees.predicted(spec, grown, trees.cut_up(x, ready.cuts)))[:, 1].mean())
+
+
+def _label_forest(rows: int, labelled: float) -> trees.Spec:
+    """Both classes weigh alike."""
+    weights = rows / (2 * (rows - labelled)), rows / (2 * labelled)
+    return trees.Spec("forest", "classification", 2, trees=100, depth=8, least_weight=0.0, columns="sqrt", class_weights=weights)
 
 
 def action_findings(df: DataFrame, domain: str, order_by: Sequence[str], risk: float | None = None) -> DataFrame:

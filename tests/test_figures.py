@@ -250,3 +250,23 @@ def test_kinds_count_exactly_only_what_a_sketch_leaves_open(spark, monkeypatch):
     got = column_kinds(spark.createDataFrame(frame))
     assert got == {"amount": "number", "reading": "id_like", "close": "id_like", "below": "number", "flag": "boolean"}
     assert counted == [["close", "below", "flag"]]
+
+
+def test_the_label_forest_is_that_of_one_task(spark, monkeypatch):
+    """The probability of a whole table comes from the forest that an entity of these rows gets, over passes too."""
+    import pytest
+
+    from millrace.operators import risk as rk
+    from millrace.operators import trees as tr
+
+    draw = np.random.default_rng(5)
+    n = 300
+    x = draw.integers(0, 30, (n, 3)).astype(float)
+    frame = pd.DataFrame({"_o0": np.arange(n), "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "raw_label": (x[:, 0] + draw.integers(0, 9, n) > 24).astype(float)})
+    df = spark.createDataFrame(frame)
+    fit, found = tr.fit_many, []
+    for most in (10**9, 0):
+        monkeypatch.setattr(tr, "fit_many", lambda data, specs, give, most=most: fit(data, specs, give, most))
+        found.append(rk._recent_probability(df, ["x0", "x1", "x2"], ["_o0"]))
+    alone = rk.judge_rows(x, frame["raw_label"].to_numpy())[1]
+    assert found[0] == pytest.approx(found[1], abs=1e-9) and found[0] == pytest.approx(alone, abs=0.05)
