@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from millrace.functions.names import numeric_columns, quoted, resolve
 from millrace.operators import trees
 from millrace.operators.anomaly import anomaly_summary, forest_here
 from millrace.operators.features import add_features
+from millrace.operators.models import balanced_weights
 from millrace.operators.windows import last_rows, latest
 from millrace.session import checkpoint
 
@@ -173,7 +176,14 @@ def _judged_entities(filled: DataFrame, features: Sequence[str], order: Sequence
 
 
 def _recent_probability(filled: DataFrame, features: Sequence[str], order: Sequence[str], last: int = RECENT) -> float:
-    """Mean probability of a label in the latest rows, by a forest of the settings of `judge_rows` over all rows."""
+    """Mean probability of a label in the latest rows, by the forest of `judge_rows` over all rows, or Spark's for tables too large to send."""
+    if filled.count() * (len(features) + 17) > trees.MOST_SENT:
+        # Passes of the library's trees take longer than Spark's forest.
+        data = filled.withColumn("label", (F.col("raw_label") > 0).cast("double"))
+        data = balanced_weights(VectorAssembler(inputCols=list(features), outputCol="features").transform(data))
+        model = RandomForestClassifier(numTrees=100, maxDepth=8, seed=42, weightCol="weight").fit(data)
+        scored = model.transform(last_rows(data, last, order))
+        return scored.select(F.avg(vector_to_array("probability")[1]).alias("p")).first()["p"]
     # Rows are drawn by their key.
     rows = filled.withColumn("key", F.xxhash64(*order, *features)).withColumn("label", (F.col("raw_label") > 0).cast("double")).withColumn("fold", F.lit(0))
     ready = trees.binned(VectorAssembler(inputCols=list(features), outputCol="features").transform(rows).select("key", "label", "features", "fold"), len(features))
