@@ -111,6 +111,37 @@ def test_boosting_needs_no_passes_over_rows_that_are_alike(spark, monkeypatch):
             assert np.allclose(a, b)
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_rows_alike_of_all_folds_are_sent_in_few_bytes(spark, monkeypatch, classes):
+    _, df = table(spark, 3000, classes)
+    data = tr.binned(df.withColumn("value", F.col("label")), 3)
+    specs = [
+        tr.Spec("boost", "classification", classes, trees=3, depth=3, fold=1, class_weights=(1.0, 2.0, 3.0)[:classes]),
+        tr.Spec("forest", "classification", classes, trees=2, depth=4, draw=False, columns=2, penalty=0.0, least_weight=0.0, fold=2, class_weights=(1.0, 2.0, 3.0)[:classes]),
+    ]
+    alike = data.table.select("bins", "label", "fold").distinct().count()
+    # Fewer bytes than rows alike took as numbers of 8 bytes, or than the rows themselves.
+    most = alike * (data.width + 12) // 2 + 1
+    assert most < alike * (data.width + 33) and most < data.rows * (data.width + 17)
+    want = tr.fit_many(data, specs, "trees"), tr.fit_many(data, specs, "sums")
+    monkeypatch.setattr(tr, "_fit_by_passes", lambda *a: pytest.fail("passes"))
+    assert same(want[0], tr.fit_many(data, specs, "trees", most))
+    for a, b in zip(want[1], tr.fit_many(data, specs, "sums", most)):
+        assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("split", [2, 3])
+def test_rows_alike_are_drawn_as_often_as_single_rows(split):
+    spec = tr.Spec("forest", "classification", least_split=split)
+    n = np.repeat([1.0, 4.0, 30.0], 20_000)
+    some, draws = tr._drawn_alike(spec, n, np.random.default_rng(3))
+    assert (some is None) == (split == 2)
+    for size in (1, 4, 30):
+        here = draws[n == size]
+        assert abs(here.mean() / size - 1) < 0.03 and abs(here.var() / size - 1) < 0.05
+        assert abs((here == 0).mean() - np.exp(-size)) < 0.01
+
+
 def test_best_leaf_first_keeps_to_its_leaves(spark):
     frame, df = table(spark, 400)
     data = tr.binned(df.withColumn("label", F.col("key") % 7 + F.col("label") * 20), 3)
